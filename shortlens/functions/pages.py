@@ -73,12 +73,12 @@ class PageReader(HTMLParser):
         for element in self.open:
             element.end = len(html)
 
-    def offset(self) -> int:
+    def place(self) -> int:
         line, column = self.getpos()
         return self.line_starts[line - 1] + column
 
     def handle_starttag(self, tag, attrs):
-        element = Element(tag, dict(attrs), self.offset() + len(self.get_starttag_text()))
+        element = Element(tag, dict(attrs), self.place() + len(self.get_starttag_text()))
         self.open[-1].inside.append(element)
         if tag in VOID_TAGS:
             element.end = element.start
@@ -88,13 +88,13 @@ class PageReader(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
-            self.open.pop().end = self.offset() + len(self.get_starttag_text())
+            self.open.pop().end = self.place() + len(self.get_starttag_text())
 
     def handle_endtag(self, tag):
         if any(e.tag == tag for e in self.open[1:]):
             while True:
                 element = self.open.pop()
-                element.end = self.offset()
+                element.end = self.place()
                 if element.tag == tag:
                     return
 

@@ -119,7 +119,8 @@ def normalize_badge(c: Column, badges: Sequence[str] = BADGES) -> Column:
 def title_case(c: Column) -> Column:
     """Capitalise a letter after anything that is no letter, lower the rest: `c++/java` becomes `C++/Java`."""
     pieces = F.split(c, r"(?<=\P{L})(?=\p{L})")
-    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))), "")
+    first = lambda p: F.initcap(F.upper(F.left(p, F.lit(1))))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(first(p), F.lower(F.substr(p, F.lit(2))))), "")
 
 
 def render_prompt(template: str, *columns: Column) -> Column:

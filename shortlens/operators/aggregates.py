@@ -44,7 +44,7 @@ def list_stats(sizes: DataFrame, size: str, by=None) -> DataFrame:
         keys.alias("keys"),
         F.sum(F.col(size) * F.col("_f")).alias("total"),
         F.try_divide(total, keys).alias("mean"),
-        F.percentile(size, 0.5, "_f").alias("median"),
+        F.percentile(size, 0.5, F.col("_f")).alias("median"),
         variance.alias("variance"),
     )
 
@@ -72,8 +72,15 @@ def nest(df: DataFrame, key, order, columns: Sequence[str], into: str = "items",
         numbered = numbered.withColumn("chunk", F.floor((F.col("_position") - 1) / chunk_rows))
     sort_by = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
     item = F.struct(*[F.col(c) for c in columns]).alias("_item")
-    rows = F.array_sort(F.collect_list(F.struct(*sort_by, item)))
-    return numbered.groupBy(*keys, "chunk").agg(F.transform(rows, lambda r: r["_item"]).alias(into))
+    grouped = numbered.groupBy(*keys, "chunk").agg(F.collect_list(F.struct(*sort_by, item)).alias("_rows"))
+    if any("map<" in df.schema[c].dataType.simpleString() for c in columns):
+        # Maps have no order, so only the sort keys are compared, with the place of their row.
+        place = lambda r, i: F.struct(*[r[f"_o{n}"] for n in range(len(order))], i.alias("_at"))
+        sorted_places = F.array_sort(F.transform("_rows", place))
+        items = F.transform(sorted_places, lambda p: F.get(F.col("_rows"), p["_at"])["_item"])
+    else:
+        items = F.transform(F.array_sort("_rows"), lambda r: r["_item"])
+    return grouped.select(*keys, "chunk", items.alias(into))
 
 
 def collect_ordered(df: DataFrame, key, column: str, order, into: str = "items", chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -69,6 +69,8 @@ def meet(members: DataFrame, visitors: DataFrame, on: list[str], kernel: Callabl
     left = left.withColumn("_v", F.explode(F.sequence(zero, F.col("_vs") - 1))).drop("_ms", "_vs")
     right = visitors.join(sizes, on).withColumn("_v", F.pmod(own, F.col("_vs")))
     right = right.withColumn("_m", F.explode(F.sequence(zero, F.col("_ms") - 1))).drop("_ms", "_vs")
+    # Fresh column ids, since both sides often come from one table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     key = [*on, "_m", "_v"]
 
     def run(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:

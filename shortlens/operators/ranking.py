@@ -52,9 +52,8 @@ def top_words(df: DataFrame, cluster: str, word: str, n: int, start: int = 0) ->
 
 def with_occurrences(df: DataFrame, column: str, into: str = "occurrences") -> DataFrame:
     """How often the row's value occurs. Counted first, then joined, so a frequent value never gathers in one task."""
-    counts = df.groupBy(column).agg(F.count("*").alias(into))
-    match = df[column].eqNullSafe(counts[column])
-    return df.join(counts, match, "left").select(*[df[c] for c in df.columns], counts[into])
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias(into))
+    return df.join(counts, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def index_distinct(df: DataFrame, category: str, column: str, into: str = "index", hot_rows: int = HOT_ROWS) -> DataFrame:

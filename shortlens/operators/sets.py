@@ -15,8 +15,8 @@ def supplement(df: DataFrame, missing: DataFrame, key: str, words: str, default:
 
 def symmetrize(pairs: DataFrame, left: str = "id1", right: str = "id2") -> DataFrame:
     """Every edge in both directions."""
-    turned = pairs.withColumnsRenamed({left: right, right: left})
-    return pairs.unionByName(turned)
+    other = {left: right, right: left}
+    return pairs.unionByName(pairs.select(*[F.col(other.get(c, c)).alias(c) for c in pairs.columns]))
 
 
 def flatten_lists(column) -> Column:
