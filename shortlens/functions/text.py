@@ -63,8 +63,8 @@ def tokens(c: Column, lowered: bool = True) -> Column:
 
 def drop_stopwords(words: Column, keep: Sequence[str] = KEPT_STOPWORDS) -> Column:
     """Tokens that are no stop words, whatever their case."""
-    gone = F.array(*[F.lit(w) for w in STOPWORDS if w not in keep])
-    return F.filter(words, lambda w: ~F.array_contains(gone, F.lower(w)))
+    gone = [w for w in STOPWORDS if w not in keep]
+    return F.filter(words, lambda w: ~F.lower(w).isin(gone))
 
 
 def remove_stopwords(df: DataFrame, column: str, keep: Sequence[str] = KEPT_STOPWORDS, lowered: bool = True) -> DataFrame:

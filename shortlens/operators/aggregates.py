@@ -13,7 +13,7 @@ from shortlens.operators.ranking import with_position
 from shortlens.runtime import as_list, largest_group
 
 # A nested row holds at most this many items; a larger group becomes several rows numbered by `chunk`.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 10_000
 
 
 def row_count(df: DataFrame, into: str = "n") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shortlens.functions.vectors import doubles, l2_normalize, norm
 from shortlens.operators.aggregates import group_means
 from shortlens.operators.sets import symmetrize
-from shortlens.runtime import as_list, settle
+from shortlens.runtime import as_list, settle, small_table
 
 # Rows of one side of a block pair: bounds what a task holds and what it can emit.
 BLOCK = 1024
@@ -64,6 +64,9 @@ def meet(members: DataFrame, visitors: DataFrame, on: list[str], kernel: Callabl
     """
     sizes = members.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_ms"))
     sizes = sizes.join(visitors.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_vs")), on)
+    if on in (["_cell"], ["_all"]):
+        # At most MAX_PIVOTS cells exist, so this table is small whatever the data.
+        sizes = F.broadcast(sizes)
     zero, own = F.lit(0), F.xxhash64("id")
     left = members.join(sizes, on).withColumn("_m", F.pmod(own, F.col("_ms")))
     left = left.withColumn("_v", F.explode(F.sequence(zero, F.col("_vs") - 1))).drop("_ms", "_vs")
@@ -79,14 +82,25 @@ def meet(members: DataFrame, visitors: DataFrame, on: list[str], kernel: Callabl
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
 
 
-def choose_pivots(points: DataFrame, n: int) -> np.ndarray:
-    """A repeatable spread of points: the first n by hash. Dense regions get more of them."""
-    rows = points.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(min(n, MAX_PIVOTS)).collect()
-    return np.unique(np.array([r["vec"] for r in rows], dtype=np.float64), axis=0)
+def choose_pivots(points: DataFrame, n: int, apart: float = 0.0) -> tuple[list, np.ndarray]:
+    """(ids, vectors) of a repeatable spread of points: the first by hash, leaving out those within `apart` of another.
+
+    A dense clump then has one cell and not many that all reach each other.
+    """
+    wanted = min(n if apart == 0 else 4 * n, MAX_PIVOTS)
+    rows = points.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    vectors = np.array([r["vec"] for r in rows], dtype=np.float64)
+    nearest_kept = np.full(len(rows), np.inf)
+    kept = []
+    for i in range(len(rows)):
+        if len(kept) < n and nearest_kept[i] > apart:
+            kept.append(i)
+            nearest_kept = np.minimum(nearest_kept, np.sqrt(((vectors - vectors[i]) ** 2).sum(1)))
+    return [rows[i]["id"] for i in kept], vectors[kept]
 
 
 def place(vec: Column, reach: Column, pivots: np.ndarray, half: bool) -> Column:
-    """struct(home, visits): the nearest pivot's cell, and every cell that may hold a point within reach.
+    """struct(home, off, visits): the nearest pivot's cell, the distance to it, and every cell that may hold a point within reach.
 
     A point at signed distance h beyond the plane between two pivots is at least h away from all points of the other cell.
     With `half`, only cells numbered up to the home are visited, so each pair meets from one side.
@@ -94,32 +108,45 @@ def place(vec: Column, reach: Column, pivots: np.ndarray, half: bool) -> Column:
     squares = (pivots * pivots).sum(1)
     gaps = distances(pivots, pivots)
 
-    @F.pandas_udf("struct<home:int,visits:array<int>>")
+    @F.pandas_udf("struct<home:int,off:double,visits:array<int>>")
     def run(vecs: pd.Series, reaches: pd.Series) -> pd.DataFrame:
         x = matrix(vecs)
         square = (x * x).sum(1)[:, None] + squares[None, :] - 2 * (x @ pivots.T)
         home = square.argmin(1)
         beyond = square - square[np.arange(len(x)), home][:, None]
-        near = beyond <= 2 * (reaches.to_numpy(np.float64)[:, None] + 1e-9) * gaps[home] + 1e-9
+        with np.errstate(invalid="ignore"):
+            near = beyond <= 2 * (reaches.to_numpy(np.float64)[:, None] + 1e-9) * gaps[home] + 1e-9
         if half:
             near &= np.arange(len(pivots))[None, :] <= home[:, None]
         near[np.arange(len(x)), home] = True
-        return pd.DataFrame({"home": home.astype("int32"), "visits": [np.flatnonzero(r).astype("int32") for r in near]})
+        off = np.sqrt(((x - pivots[home]) ** 2).sum(1))
+        visits = [np.flatnonzero(r).astype("int32") for r in near]
+        return pd.DataFrame({"home": home.astype("int32"), "off": off, "visits": visits})
 
     return run(vec, reach)
 
 
-def cover(points: DataFrame, reach: Column, half: bool, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, visitors) with `_cell`, and on visitors `_home`, so that all points within reach of each other meet."""
+def cover(points: DataFrame, reach: float, half: bool, block: int = BLOCK) -> tuple[DataFrame, list]:
+    """(placed, pivot ids): points with `_home`, `_off` (distance to the pivot) and `_visits`; few points share one cell.
+
+    `points` should be settled, as it is read for the count, the pivots and the placing.
+    """
     n = points.count()
     if n <= 2 * block:
-        one = points.withColumns({"_cell": F.lit(0), "_home": F.lit(0)})
-        return one, one
-    pivots = choose_pivots(points, -(-n // block))
-    placed = settle(points.withColumn("_at", place(F.col("vec"), reach, pivots, half)).withColumn("_home", F.col("_at.home")))
-    members = placed.withColumn("_cell", F.col("_home")).drop("_at")
-    visitors = placed.withColumn("_cell", F.explode("_at.visits")).drop("_at")
-    return members, visitors
+        zero = F.lit(0)
+        return points.withColumns({"_home": zero, "_off": F.lit(float("inf")), "_visits": F.array(zero)}), []
+    ids, pivots = choose_pivots(points, -(-n // block), reach / 2)
+    placed = points.withColumn("_at", place(F.col("vec"), F.lit(float(reach)), pivots, half))
+    fields = {f"_{f}": F.col(f"_at.{f}") for f in ("home", "off", "visits")}
+    return settle(placed.withColumns(fields).drop("_at")), ids
+
+
+def members_of(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("_cell", F.col("_home")).drop("_off", "_visits")
+
+
+def visitors_of(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("_cell", F.explode("_visits")).drop("_off", "_visits")
 
 
 def _once(m: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
@@ -145,8 +172,9 @@ def close_pairs(points: DataFrame, limit: float, metric: str, within=None, block
     within = as_list(within) if within else []
     by_cosine = metric == "cosine"
     points = unit(points) if by_cosine else points
+    points = settle(points)
     kind = _type_of(points, "id")
-    members, visitors = cover(points, F.lit(_reach_of(limit) if by_cosine else float(limit)), True, block)
+    placed, _ = cover(points, _reach_of(limit) if by_cosine else float(limit), True, block)
 
     def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(v["vec"]), matrix(m["vec"])
@@ -161,7 +189,7 @@ def close_pairs(points: DataFrame, limit: float, metric: str, within=None, block
 
     extra = "".join(f", {w} {_type_of(points, w)}" for w in within)
     schema = f"id1 {kind}, id2 {kind}, value double{extra}"
-    return meet(members, visitors, [*within, "_cell"], kernel, schema, block)
+    return meet(members_of(placed), visitors_of(placed), [*within, "_cell"], kernel, schema, block)
 
 
 def similar_pairs(df: DataFrame, id: str, vec: str, min_sim: float, within=None, block: int = BLOCK) -> DataFrame:
@@ -185,16 +213,27 @@ def pairs(df: DataFrame, id: str, vec: str, metric: str, limit: float, within=No
     return (similar_pairs if metric == "cosine" else near_pairs)(df, id, vec, limit, within)
 
 
-def degrees(points: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
-    """(id, neighbors): how many other points lie within eps; points without any are absent. No pair is emitted."""
-    members, visitors = cover(points.select("id", "vec"), F.lit(float(eps)), False, block)
+def core_points(points: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
+    """(id): points with at least `min_samples` others within eps. No pair is emitted.
+
+    Points within eps/2 of one pivot are all within eps of each other, so a clump that is large enough is decided by
+    counting; only the others look around.
+    """
+    points = points.select("id", "vec")
+    placed, _ = cover(points, eps, False, block)
+    inner = F.col("_off") <= eps / 2 - 1e-9
+    clumps = placed.filter(inner).groupBy("_home").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_samples)
+    # One row per cell at most, so the flag costs no shuffle of the points.
+    flagged = placed.join(F.broadcast(clumps), "_home", "left").withColumn("_sure", inner & F.col("_n").isNotNull())
+    sure, unsure = flagged.filter("_sure").select("id"), flagged.filter("NOT _sure").drop("_n", "_sure")
 
     def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         n = ((distances(matrix(v["vec"]), matrix(m["vec"])) <= eps) & _other(m, v)).sum(1)
         return pd.DataFrame({"id": v["id"], "n": n})[n > 0]
 
-    part = meet(members, visitors, ["_cell"], kernel, f"id {_type_of(points, 'id')}, n bigint", block)
-    return part.groupBy("id").agg(F.sum("n").alias("neighbors"))
+    part = meet(members_of(placed), visitors_of(unsure), ["_cell"], kernel, f"id {_type_of(points, 'id')}, n bigint", block)
+    found = part.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("id")
+    return found.unionByName(sure)
 
 
 def _forest(linked: np.ndarray, v_ids: np.ndarray, m_ids: np.ndarray) -> pd.DataFrame:
@@ -221,26 +260,33 @@ def _forest(linked: np.ndarray, v_ids: np.ndarray, m_ids: np.ndarray) -> pd.Data
 def links(points: DataFrame, limit: float, metric: str, block: int = BLOCK) -> DataFrame:
     """(a, b): edges that connect exactly the points a chain of close pairs connects.
 
-    A block pair emits at most one edge per point, however dense it is.
+    Points within half the reach of their pivot are close to each other, so they just link to it and need not meet; a block
+    pair of the rest emits at most one edge per point. A dense clump therefore costs one edge per point.
     """
     by_cosine = metric == "cosine"
-    points = unit(points.select("id", "vec")) if by_cosine else points.select("id", "vec")
-    members, visitors = cover(points, F.lit(_reach_of(limit) if by_cosine else float(limit)), True, block)
+    points = settle(unit(points.select("id", "vec"))) if by_cosine else points.select("id", "vec")
+    reach = _reach_of(limit) if by_cosine else float(limit)
+    placed, pivots = cover(points, reach, True, block)
 
     def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         x, y = matrix(v["vec"]), matrix(m["vec"])
         near = (x @ y.T >= limit) if by_cosine else (distances(x, y) <= limit)
-        return _forest(near & _once(m, v), v["id"].to_numpy(), m["id"].to_numpy())
+        return _forest(near & _other(m, v), v["id"].to_numpy(), m["id"].to_numpy())
 
     kind = _type_of(points, "id")
-    return meet(members, visitors, ["_cell"], kernel, f"a {kind}, b {kind}", block)
+    inner = F.col("_off") <= reach / 2 - 1e-9
+    asking = visitors_of(placed.withColumn("_inner", inner)).filter(~(F.col("_inner") & (F.col("_cell") == F.col("_home"))))
+    found = meet(members_of(placed), asking, ["_cell"], kernel, f"a {kind}, b {kind}", block)
+    if not pivots:
+        return found
+    centers = small_table(points.sparkSession, list(enumerate(pivots)), f"_home int, b {kind}")
+    stars = placed.filter(inner).join(centers, "_home").select(F.col("id").alias("a"), "b").filter("a <> b")
+    return found.unionByName(stars)
 
 
-def _nearest(k: int, round_two: bool):
+def _nearest(k: int):
     def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         dist = np.where(_other(m, v), distances(matrix(v["vec"]), matrix(m["vec"])), np.inf)
-        if round_two:
-            dist[(v["_home"] == v["_cell"]).to_numpy()] = np.inf
         kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
         i, j = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
         out = pd.DataFrame({"id": v["id"].to_numpy()[i], "neighbor": m["id"].to_numpy()[j], "distance": dist[i, j]})
@@ -249,34 +295,41 @@ def _nearest(k: int, round_two: bool):
     return kernel
 
 
+def placed_by_pivot(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, np.ndarray]:
+    """(placed, pivots): settled points with `_home` and `_cell` of their nearest pivot; no pivots when one cell will do."""
+    n = points.count()
+    if n <= 2 * block:
+        return points.withColumns({"_cell": F.lit(0), "_home": F.lit(0)}), np.empty((0, 0))
+    _, pivots = choose_pivots(points, -(-n // block))
+    placed = points.withColumn("_home", place(F.col("vec"), F.lit(0.0), pivots, False)["home"])
+    return settle(placed.withColumn("_cell", F.col("_home"))), pivots
+
+
 def nearest(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, rank, neighbor, distance): the k nearest other points, exact; ties go to the smaller id.
 
     First each cell answers for its own points; the k-th distance found there bounds how far a point must look in others.
     """
-    points = points.select("id", "vec")
+    points = settle(points.select("id", "vec"))
     kind = _type_of(points, "id")
     schema = f"id {kind}, neighbor {kind}, distance double"
     ranked = Window.partitionBy("id").orderBy("distance", "neighbor")
 
     def best(df: DataFrame) -> DataFrame:
-        return df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-
-    n = points.count()
-    if n <= 2 * block:
-        one = points.withColumns({"_cell": F.lit(0), "_home": F.lit(0)})
-        return best(meet(one, one, ["_cell"], _nearest(k, False), schema, block)).select("id", "rank", "neighbor", "distance")
-    pivots = choose_pivots(points, -(-n // block))
-    placed = points.withColumn("_home", place(F.col("vec"), F.lit(0.0), pivots, False)["home"])
-    placed = settle(placed.withColumn("_cell", F.col("_home")))
-    own = settle(best(meet(placed, placed, ["_cell"], _nearest(k, False), schema, block)))
+        top = df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+        return top.select("id", "rank", "neighbor", "distance")
+
+    placed, pivots = placed_by_pivot(points, block)
+    own = best(meet(placed, placed, ["_cell"], _nearest(k), schema, block))
+    if not len(pivots):
+        return own
+    own = settle(own)
     bound = own.filter(F.col("rank") == k).select("id", F.col("distance").alias("_reach"))
     far = F.coalesce(F.col("_reach"), F.lit(float("inf")))
     asking = placed.drop("_cell").join(bound, "id", "left")
     asking = asking.withColumn("_cell", F.explode(place(F.col("vec"), far, pivots, False)["visits"])).drop("_reach")
     asking = asking.filter(F.col("_cell") != F.col("_home"))
-    others = meet(placed, asking, ["_cell"], _nearest(k, True), schema, block)
-    return best(own.drop("rank").unionByName(others)).select("id", "rank", "neighbor", "distance")
+    return best(own.drop("rank").unionByName(meet(placed, asking, ["_cell"], _nearest(k), schema, block)))
 
 
 def knn(df: DataFrame, id: str, vec: str, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:

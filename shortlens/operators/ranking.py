@@ -39,12 +39,13 @@ def with_position(df: DataFrame, keys, order, into: str = "position", hot_rows:
     return numbered.join(offsets, match).select(*df.columns, position.cast("bigint").alias(into))
 
 
-def top_words(df: DataFrame, cluster: str, word: str, n: int, start: int = 0) -> DataFrame:
+def top_words(df: DataFrame, cluster: str, word: str, n: int, start: int = 0, weight: str | None = None) -> DataFrame:
     """(cluster, word, count, rank): the most frequent words of each cluster, ties in word order.
 
-    Counting combines before the shuffle and the rank limit is applied before the sort of a whole cluster.
+    Counting combines before the shuffle and the rank limit is applied before the sort of a whole cluster. `weight` names
+    a column of counts already made.
     """
-    counts = df.groupBy(cluster, word).count()
+    counts = df.groupBy(cluster, word).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     ranked = Window.partitionBy(cluster).orderBy(F.desc("count"), F.asc(word))
     ranked = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= start + n)
     return ranked.filter(F.col("rank") > start)

@@ -15,7 +15,7 @@ from shortlens.operators.neighbors import (
     BLOCK,
     copies_of,
     core_distances,
-    degrees,
+    core_points,
     distances,
     distinct_vectors,
     links,
@@ -56,7 +56,7 @@ def similarity_clusters(
     found = None
     for threshold in thresholds:
         left = points if found is None else points.join(found, "id", "left_anti")
-        chains = settle(components(links(left, threshold, "cosine")))
+        chains = components(links(left, threshold, "cosine"))
         members = left.select("id", "vec").join(chains, "id")
         kept = mean_intra_similarity(members, "component", "vec").filter(F.col("mean_similarity") >= min_mean_sim)
         clusters = chains.join(kept, "component").select("id", F.col("component").alias("cluster"))
@@ -73,9 +73,8 @@ def density_clusters(
     `min_cluster_size` are noise. One cut replaces the choice of leaves in a cluster tree.
     """
     points = settle(distinct_vectors(df, id, vec))
-    busy = degrees(points, eps).filter(F.col("neighbors") >= min_samples)
-    cores = settle(points.select("id", "vec").join(busy.select("id"), "id"))
-    groups = settle(components(links(cores, eps, "euclidean")))
+    cores = settle(points.select("id", "vec").join(core_points(points, eps, min_samples), "id"))
+    groups = components(links(cores, eps, "euclidean"))
     big = groups.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") >= min_cluster_size)
     found = groups.join(big, "component").select("id", F.col("component").alias("cluster"))
     return _to_rows(df, id, vec, points, found)
@@ -115,6 +114,8 @@ def soft_clusters(df: DataFrame, cents: DataFrame, id: str, vec: str, cluster: s
     cents = cents.filter(F.col(cluster) != -1).select(F.col(cluster).alias("id"), doubles(F.col("centroid")).alias("vec"))
     carried = sorted(cents.limit(CARRIED_CENTROIDS + 1).collect())
     answer = f"struct<total:double,soft_cluster:{kind},least:double>"
+    if not carried:
+        return df.withColumns({"soft_cluster": F.lit(None).cast(kind), "soft_probability": F.lit(None).cast("double")})
     if len(carried) <= CARRIED_CENTROIDS:
         names = np.array([r["id"] for r in carried])
         centers = np.array([r["vec"] for r in carried], dtype=np.float64)

@@ -12,6 +12,7 @@ from shortlens.operators.filters import UNLABELLED
 from shortlens.operators.joins import missing_ids
 from shortlens.operators.ranking import first_n, top_words
 from shortlens.operators.sets import supplement
+from shortlens.runtime import settle
 
 
 def keep_pos(df: DataFrame, column: str, lexicon: DataFrame, tags: Sequence[str] = ("N",)) -> DataFrame:
@@ -45,10 +46,14 @@ def cluster_words(
     lexicon: DataFrame | None = None,
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """(cluster, word): the words of each cluster's sentences, cleaned, long enough, and lemmatised."""
-    tagged = df if lexicon is None else keep_pos(df, sentence, lexicon)
-    found = words(tagged.select(cluster, sentence), sentence).withColumn("word", word_chars(F.col("word")))
-    found = found.filter(F.length("word") >= min_word_len).select(cluster, "word")
+    """(cluster, word, n): how often each word occurs in a cluster's sentences; cleaned, long enough, lemmatised.
+
+    Equal sentences of a cluster are counted before they are taken apart, and words before they look up their lemma.
+    """
+    sentences = df.groupBy(cluster, sentence).agg(F.count("*").alias("_times"))
+    tagged = sentences if lexicon is None else keep_pos(sentences, sentence, lexicon)
+    found = words(tagged, sentence).withColumn("word", word_chars(F.col("word")))
+    found = found.filter(F.length("word") >= min_word_len).groupBy(cluster, "word").agg(F.sum("_times").alias("n"))
     return found if lemmas is None else lemmatize(found, "word", lemmas)
 
 
@@ -78,8 +83,8 @@ def cluster_layers(
 
     With `strict`, a cluster with fewer than `max_ + start_from` words is Unlabelled as well.
     """
-    ranked = top_words(cluster_words(df, cluster, sentence, min_word_len, lexicon, lemmas), cluster, "word", max_, start_from)
-    named = _ranked_words(ranked, cluster)
+    counted = cluster_words(df, cluster, sentence, min_word_len, lexicon, lemmas)
+    named = settle(_ranked_words(top_words(counted, cluster, "word", max_, start_from, "n"), cluster))
     if strict:
         named = named.withColumn("words", F.when(F.size("words") >= max_, F.col("words")).otherwise(F.array(F.lit(UNLABELLED))))
     # Every cluster of the points gets a row; the ids between them that no point has do as well.
@@ -105,7 +110,7 @@ def hierarchical_layers(
     at least `max_ + start_from - i`, else the old label. Equal counts keep the order the words have in the label.
     """
     first = cluster_layers(df, cluster, sentence, max_, max_, start_from=start_from, strict=True, **options)
-    table = first
+    table = settle(first)
     for i in range(1, max_ - min_ + 1):
         label = f"layer_{i - 1}"
         # All clusters of a label share the same words, so counts follow from the label and its number of clusters.
@@ -120,7 +125,7 @@ def hierarchical_layers(
         kept = F.slice("words", start_from + 1, max_ - i)
         enough = F.size("words") >= max_ + start_from - i
         named = words_.select(label, F.when(enough, F.array_join(kept, ", ")).otherwise(F.col(label)).alias(f"layer_{i}"))
-        table = table.join(named, label, "left")
+        table = settle(table.join(named, label, "left"))
     return table.select(cluster, *layer_names(max_, min_))
 
 

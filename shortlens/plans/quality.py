@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shortlens.functions.vectors import dot, doubles, euclidean, l2_normalize, norm, squared_distance
 from shortlens.operators.aggregates import group_means
-from shortlens.operators.neighbors import BLOCK, core_distances, distances, matrix, meet
+from shortlens.operators.neighbors import BLOCK, core_distances, distances, matrix, meet, place, placed_by_pivot
 from shortlens.plans.components import components
-from shortlens.runtime import settle
+from shortlens.runtime import largest_group, settle
 
 
 def _points(df: DataFrame, id: str, vec: str, cluster: str, drop_noise: bool) -> DataFrame:
@@ -207,7 +207,7 @@ def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster",
     total = df.count()
     core = core_distances(df, id, vec, min_samples)
     points = _points(df, id, vec, cluster, True).join(core, "id").withColumnRenamed("core_distance", "core")
-    points = settle(points.withColumn("_all", F.lit(0)))
+    points = settle(points)
     id_kind, kind = (points.schema[c].dataType.simpleString() for c in ("id", "cluster"))
 
     def reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:
@@ -221,16 +221,26 @@ def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster",
         return out
 
     inside = meet(points, points, ["cluster"], trees, f"a {id_kind}, b {id_kind}, w double, cluster {kind}", BLOCK)
-    inside = settle(inside)
-    of_point = points.select(F.col("id").alias("a"), "cluster")
-    loose = spanning_forest(inside).join(of_point, "a").groupBy("cluster").agg(F.max("w").alias("loose"))
+    if largest_group(points, ["cluster"]) > BLOCK:
+        # Trees of block pairs hold all edges a lightest tree of the whole cluster needs, and more.
+        of_point = points.select(F.col("id").alias("a"), "cluster")
+        inside = spanning_forest(settle(inside)).join(of_point, "a")
+    loose = inside.groupBy("cluster").agg(F.max("w").alias("loose"))
 
     def gaps(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         same = v["cluster"].to_numpy()[:, None] == m["cluster"].to_numpy()[None, :]
         out = pd.DataFrame({"cluster": v["cluster"], "apart": np.where(same, np.inf, reach(v, m)).min(1)})
         return out.groupby("cluster", as_index=False).min()
 
-    apart = meet(points, points, ["_all"], gaps, f"cluster {kind}, apart double", BLOCK)
+    # What a cluster finds in the cells of its own points bounds how far those points must look in other cells.
+    schema = f"cluster {kind}, apart double"
+    placed, pivots = placed_by_pivot(points, BLOCK)
+    near = settle(meet(placed, placed, ["_cell"], gaps, schema, BLOCK).groupBy("cluster").agg(F.min("apart").alias("apart")))
+    apart = near
+    if len(pivots):
+        asking = placed.join(near, "cluster").withColumn("_at", place(F.col("vec"), F.col("apart"), pivots, False)["visits"])
+        asking = asking.withColumn("_cell", F.explode("_at")).filter("_cell <> _home").drop("_at", "apart")
+        apart = near.unionByName(meet(placed, asking, ["_cell"], gaps, schema, BLOCK))
     apart = apart.groupBy("cluster").agg(F.min("apart").alias("apart"))
     sizes = points.groupBy("cluster").agg(F.count("*").alias("members"))
     rows = sizes.join(apart, "cluster").join(loose, "cluster", "left").withColumn("loose", F.coalesce("loose", F.lit(0.0)))

@@ -13,6 +13,9 @@ from shortlens.runtime import as_list, small_table
 # Quotes inside a quoted cell are doubled, cells may span lines, and no cell is cut at a length limit.
 PAYLOAD_OPTIONS = {"quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1, "header": False}
 
+# A file with multi-line cells is read by one task, so writers keep files short.
+PAYLOAD_ROWS_PER_FILE = 100_000
+
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -43,7 +46,8 @@ def append_csv(df: DataFrame, path: str) -> None:
 
     Null is written bare and the empty text quoted, so the two stay apart.
     """
-    df.write.mode("append").options(quote='"', escape='"', emptyValue='""', nullValue="", header=False).csv(path)
+    bounded = df.write.mode("append").option("maxRecordsPerFile", PAYLOAD_ROWS_PER_FILE)
+    bounded.options(quote='"', escape='"', emptyValue='""', nullValue="", header=False).csv(path)
 
 
 def write_answers(df: DataFrame, path: str, append: bool = False) -> None:
