@@ -157,7 +157,8 @@ def job_record(html: Column, marks: dict = JOB_PAGE, wall: tuple = ("a", WALL_CL
     @F.pandas_udf(f"struct<found:boolean,{RECORD_TYPE[7:]}")
     def read(pages: pd.Series) -> pd.DataFrame:
         rows = [one(page) for page in pages]
-        return pd.DataFrame([{"found": r is not None, **(r or {})} for r in rows], columns=["found", *columns])
+        fields = [[r is not None, *((r or {}).get(c) for c in columns)] for r in rows]
+        return pd.DataFrame(fields, columns=["found", *columns]).astype({c: object for c in columns})
 
     got = read(html)
     return F.when(got["found"], F.struct(*[got[c].alias(c) for c in columns]))

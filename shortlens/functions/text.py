@@ -22,8 +22,11 @@ from shortlens.functions.fixed_values import (
 )
 from shortlens.operators.filters import OLDEST_DATE, UNLABELLED
 
-# Every character that counts as blank in Unicode text, beyond the six ASCII ones.
-BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+# Every character that counts as blank in Unicode text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def lower(c: Column) -> Column:
@@ -31,7 +34,7 @@ def lower(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def ascii_only(c: Column) -> Column:
@@ -46,8 +49,8 @@ def drop_bracketed(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Punctuation but # + , . @ becomes a blank; runs of blanks become one."""
-    spaced = F.translate(c, BLANKED_PUNCTUATION, " " * len(BLANKED_PUNCTUATION))
-    return strip(F.regexp_replace(spaced, f"{BLANK}+", " "))
+    blank = BLANKED_PUNCTUATION + BLANKS
+    return F.trim(F.regexp_replace(F.translate(c, blank, " " * len(blank)), "  +", " "))
 
 
 def keep_chars(c: Column) -> Column:

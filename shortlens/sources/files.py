@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 
 from shortlens.runtime import as_list, small_table
 
-# Quotes inside a quoted cell are doubled, cells may span lines, and no cell is cut at a length limit.
-PAYLOAD_OPTIONS = {"quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1, "header": False}
-
+# Quotes inside a quoted cell are doubled, cells may span lines, and no cell is cut at a length limit. A bare empty cell is
+# null; the mark that stands for it while reading cannot occur in text, so a quoted empty cell stays empty text.
+PAYLOAD_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "lineSep": "\n",
+    "multiLine": True,
+    "maxCharsPerColumn": -1,
+    "header": False,
+    "nullValue": "\u0000",
+}
 # A file with multi-line cells is read by one task, so writers keep files short.
 PAYLOAD_ROWS_PER_FILE = 100_000
 
