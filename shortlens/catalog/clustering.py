@@ -199,12 +199,12 @@ def _(t):
     return soft.select("vec_id", "soft_cluster", r6("soft_probability").alias("soft_probability"))
 
 
-KNOWN_CENTROIDS = CENTROIDS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 2 = 0)")
+KNOWN_CENTROIDS = CENTROIDS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels))")
 
 
 @query(
     "i9_predict_clusters",
-    f"""WITH {KNOWN_CENTROIDS}, {PULL}, m AS (SELECT vec_id, vec_id % 2 = 0 AS known, label, soft_cluster, soft_probability,
+    f"""WITH {KNOWN_CENTROIDS}, {PULL}, m AS (SELECT vec_id, vec_id IN (SELECT doc_id FROM labels) AS known, label, soft_cluster, soft_probability,
     abs(CAST(embedding[1] AS DOUBLE)) * 4 AS p FROM embeddings JOIN soft USING (vec_id)), f AS (SELECT vec_id,
     CASE WHEN known THEN label ELSE -1 END AS cluster, CASE WHEN known THEN label ELSE soft_cluster END AS sc,
     CASE WHEN known THEN p ELSE soft_probability END AS probability, CASE WHEN known THEN 0.05 ELSE 0.0 END AS sp FROM m)
@@ -212,7 +212,7 @@ KNOWN_CENTROIDS = CENTROIDS.replace("FROM embeddings)", "FROM embeddings WHERE v
     CAST(sp AS DOUBLE) AS soft_probability FROM f""",
 )
 def _(t):
-    known = t("embeddings").filter("vec_id % 2 = 0")
+    known = t("embeddings").join(t("labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     model = known.select(
         "vec_id",
         F.col("label").alias("cluster"),

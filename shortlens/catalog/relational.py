@@ -65,12 +65,11 @@ def _(t):
 
 @query(
     "c5_merge_outer",
-    """SELECT coalesce(vec_id, p_partkey) AS id, label, p_size FROM (SELECT * FROM embeddings WHERE label < 5) FULL JOIN
-    (SELECT * FROM part WHERE p_size < 20) ON vec_id = p_partkey""",
+    "SELECT coalesce(vec_id, doc_id) AS id, label, quality FROM embeddings FULL JOIN labels ON vec_id = doc_id",
 )
 def _(t):
-    some = t("embeddings").filter("label < 5").select(F.col("vec_id").alias("id"), "label")
-    return jn.merge_outer(some, t("part").filter("p_size < 20").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    answers = t("labels").select(F.col("doc_id").alias("id"), "quality")
+    return jn.merge_outer(t("embeddings").select(F.col("vec_id").alias("id"), "label"), answers, "id")
 
 
 @query(
@@ -103,23 +102,22 @@ def _(t):
 
 @query(
     "c9_missing_ids",
-    """WITH s AS (SELECT p_size FROM part WHERE p_size % 3 = 0) SELECT CAST(i AS INTEGER) AS p_size FROM
-    (SELECT unnest(generate_series((SELECT min(p_size) FROM s), (SELECT max(p_size) FROM s))) AS i)
-    WHERE i NOT IN (SELECT p_size FROM s)""",
+    """SELECT i AS doc_id FROM (SELECT unnest(generate_series(min(doc_id), max(doc_id))) AS i FROM labels)
+    WHERE i NOT IN (SELECT doc_id FROM labels)""",
 )
 def _(t):
-    return jn.missing_ids(t("part").filter("p_size % 3 = 0"), "p_size")
+    return jn.missing_ids(t("labels"), "doc_id")
 
 
 REPLIES = "SELECT conv_id, turn, length(text) AS reply_chars FROM conversations WHERE role = 'assistant'"
-ASKED = "SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user' AND conv_id % 7 <> 0"
+ASKED = "SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user' AND length(text) > 100"
 
 
 def replies_and_questions(t):
-    """Answers at their position, and the questions stored for that position; some companies have no raw list."""
+    """Answers at their position, and the long questions stored for that position."""
     talks = t("conversations")
     replies = talks.filter("role = 'assistant'").select("conv_id", "turn", F.length("text").cast("bigint").alias("reply_chars"))
-    asked = talks.filter("role = 'user' AND conv_id % 7 <> 0").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    asked = talks.filter("role = 'user' AND length(text) > 100").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
     return replies, asked
 
 
@@ -146,11 +144,11 @@ def _(t):
 @query(
     "c12_upsert",
     """SELECT coalesce(n.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN b.o_orderstatus
-    ELSE 'retried' END AS status FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b FULL JOIN
+    ELSE 'retried' END AS status FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') b FULL JOIN
     (SELECT * FROM orders WHERE o_orderpriority = '5-LOW') n ON b.o_orderkey = n.o_orderkey""",
 )
 def _(t):
-    base = t("orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    base = t("orders").filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     newer = t("orders").filter("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit("retried").alias("status"))
     return jn.upsert(base, newer, "o_orderkey")
 
@@ -501,15 +499,15 @@ def _(t):
 
 @query(
     "g1_supplement",
-    """WITH w AS (SELECT p_size, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS words FROM part WHERE p_size % 4 <> 0 GROUP BY 1)
-    SELECT CAST(i AS INTEGER) AS p_size, coalesce(words, 'Unlabelled') AS words FROM
-    (SELECT unnest(generate_series((SELECT min(p_size) FROM w), (SELECT max(p_size) FROM w))) AS i) LEFT JOIN w ON i = p_size""",
+    """SELECT i AS doc_id, coalesce(words, 'Unlabelled') AS words FROM
+    (SELECT unnest(generate_series(min(doc_id), max(doc_id))) AS i FROM labels) LEFT JOIN
+    (SELECT doc_id, string_agg(quality || ' ' || toxic, ',' ORDER BY quality, toxic) AS words FROM labels GROUP BY 1) ON i = doc_id""",
 )
 def _(t):
-    some = t("part").filter("p_size % 4 <> 0").select("p_size", "p_brand").distinct()
-    listed = agg.collect_ordered(some, "p_size", "p_brand", "p_brand", "words")
-    full = st.supplement(listed, jn.missing_ids(listed, "p_size"), "p_size", "words")
-    return full.select("p_size", F.array_join("words", ",").alias("words"))
+    marks = t("labels").withColumn("mark", F.concat_ws(" ", "quality", "toxic"))
+    listed = agg.collect_ordered(marks, "doc_id", "mark", ["quality", "toxic"], "words")
+    full = st.supplement(listed, jn.missing_ids(listed, "doc_id"), "doc_id", "words")
+    return full.select("doc_id", F.array_join("words", ",").alias("words"))
 
 
 @query(

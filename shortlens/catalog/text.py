@@ -240,9 +240,8 @@ def unescaped_sql(text):
     regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, NULL::VARCHAR AS missing FROM pages""",
 )
 def _(t):
-    html = F.col("html")
-    heading, ad = pg.element_text(html, "h1"), pg.element_text(html, "div", "ad", inner=True)
-    return t("pages").select("page_id", heading.alias("heading"), ad.alias("ad"), pg.element_text(html, "div", "none").alias("missing"))
+    fields = {"heading": ("h1", None, False), "ad": ("div", "ad", True), "missing": ("div", "none", False)}
+    return t("pages").select("page_id", pg.element_fields(F.col("html"), fields).alias("f")).select("page_id", "f.*")
 
 
 @query("h22_simple_element", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")

@@ -105,25 +105,28 @@ class PageReader(HTMLParser):
         return self.html[element.start : element.end]
 
 
-def element_text(html: Column, tag: str, cls: str | None = None, inner: bool = False) -> Column:
-    """Text, or inner HTML, of the first element with the tag and class; null without one."""
+def element_fields(html: Column, fields: dict[str, tuple]) -> Column:
+    """A struct of texts, the page read once: name -> (tag, class or None, inner HTML wanted or not)."""
 
-    @F.pandas_udf("string")
-    def read(pages: pd.Series) -> pd.Series:
-        def one(page):
-            if page is None:
-                return None
-            reader = PageReader(page)
-            found = reader.root.find(tag, cls)
-            if found is None:
-                return None
-            return reader.inner(found) if inner else found.text()
+    def one(page):
+        if page is None:
+            return [None] * len(fields)
+        reader = PageReader(page)
+        found = [(reader.root.find(tag, cls), inner) for tag, cls, inner in fields.values()]
+        return [None if e is None else reader.inner(e) if inner else e.text() for e, inner in found]
 
-        return pages.map(one).astype(object)
+    @F.pandas_udf("struct<" + ",".join(f"`{name}`:string" for name in fields) + ">")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(page) for page in pages], columns=list(fields), dtype=object)
 
     return read(html)
 
 
+def element_text(html: Column, tag: str, cls: str | None = None, inner: bool = False) -> Column:
+    """Text, or inner HTML, of the first element with the tag and class; null without one."""
+    return element_fields(html, {"text": (tag, cls, inner)})["text"]
+
+
 def simple_element(html: Column, tag: str) -> Column:
     """Inner HTML of the first element of a tag that cannot hold itself, such as title or h1, without Python."""
     pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.runtime import as_list, small_table
 
@@ -65,9 +66,12 @@ def contains_col(whole: Column, part: Column) -> Column:
 
 
 def fresh(df: DataFrame, date_col: str, limit: str = OLDEST_DATE) -> DataFrame:
-    """Rows dated on or after the limit; an undated row counts as oldest."""
-    oldest, bound = F.lit(OLDEST_DATE).cast("date"), F.lit(limit).cast("date")
-    return df.filter(F.coalesce(F.col(date_col).cast("date"), oldest) >= bound)
+    """Rows dated on or after the limit; an undated row counts as oldest. A typed date compares as stored, so scans skip."""
+    kind = df.schema[date_col].dataType
+    value = F.col(date_col).cast("date") if isinstance(kind, T.StringType) else F.col(date_col)
+    bound = F.lit(limit).cast("date" if isinstance(kind, T.StringType) else kind)
+    recent = value >= bound
+    return df.filter(recent | value.isNull() if limit <= OLDEST_DATE else recent)
 
 
 def page_status(html: Column, wall: str, button: str) -> tuple[Column, Column]:
