@@ -319,6 +319,12 @@ def _(t):
     return score.select(r6("silhouette").alias("silhouette"))
 
 
+@query("i15_silhouette_squared", silhouette_sql(f"{DISTANCE} ** 2"))
+def _(t):
+    score = ql.silhouette(t("embeddings"), "vec_id", "embedding", "label", metric="sqeuclidean")
+    return score.select(r6("silhouette").alias("silhouette"))
+
+
 @query(
     "i16_calinski_harabasz",
     """WITH p AS (SELECT vec_id, label, unnest(generate_series(1, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
@@ -343,7 +349,20 @@ def _(t):
     return score.select(r6("davies_bouldin").alias("davies_bouldin"))
 
 
-@query("i18_density_validity")
+@query(
+    "i18_density_validity",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS ci, b.label AS cj, {DISTANCE} AS d
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    core AS MATERIALIZED (SELECT i, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d) = 2),
+    e AS MATERIALIZED (SELECT d.i, d.j, ci, cj, greatest(d, x.core, y.core) AS w FROM d JOIN core x ON x.i = d.i JOIN core y ON y.i = d.j),
+    tree(cluster, joined, longest) AS (SELECT label, [min(vec_id)], 0.0::DOUBLE FROM embeddings GROUP BY 1 UNION ALL
+    SELECT cluster, list_append(any_value(joined), arg_min(e.j, w)), greatest(any_value(longest), min(w)) FROM tree JOIN e
+    ON ci = cluster AND cj = cluster AND list_contains(joined, e.i) AND NOT list_contains(joined, e.j) GROUP BY cluster),
+    loose AS (SELECT cluster, max(longest) AS loose, max(len(joined)) AS n FROM tree GROUP BY 1),
+    gap AS (SELECT ci AS cluster, min(w) AS apart FROM e WHERE ci <> cj GROUP BY 1)
+    SELECT round(sum(n * (apart - loose) / greatest(apart, loose)) / (SELECT count(*) FROM embeddings), 6) AS density_validity
+    FROM loose JOIN gap USING (cluster)""",
+)
 def _(t):
     score = ql.density_validity(t("embeddings"), "vec_id", "embedding", "label")
     return score.select(r6("density_validity").alias("density_validity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Mapping
 
 import pandas as pd
@@ -26,26 +27,31 @@ JOB_TYPE = """struct<
 def first_object(c: Column, quoted: bool = False) -> Column:
     """The first balanced {…} block. A } before it, or no end, gives null. With `quoted`, braces in quotes do not count."""
 
+    marks = re.compile(r"[{}\\\"']" if quoted else r"[{}]", re.DOTALL)
+
     def scan(text):
         if text is None:
             return None
-        depth, start, quote, skip = 0, None, None, False
-        for i, ch in enumerate(text):
-            if skip:
-                skip = False
+        depth, start, quote, past = 0, None, None, 0
+        for found in marks.finditer(text):
+            at, ch = found.start(), found.group()
+            if at < past:
+                continue
+            if ch == "\\":
+                past = at + 2
             elif quote:
-                skip, quote = ch == "\\", (None if ch == quote else quote)
-            elif quoted and depth and ch in "\"'":
-                quote = ch
+                quote = None if ch == quote else quote
+            elif ch in "\"'":
+                quote = ch if depth else None
             elif ch == "{":
-                start = i if depth == 0 else start
+                start = at if depth == 0 else start
                 depth += 1
-            elif ch == "}":
+            else:
                 depth -= 1
                 if depth < 0:
                     return None
                 if depth == 0:
-                    return text[start : i + 1]
+                    return text[start : at + 1]
         return None
 
     @F.pandas_udf("string")

@@ -30,23 +30,20 @@ def group_count(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def list_stats(sizes: DataFrame, size: str, by=None) -> DataFrame:
-    """Keys, total, mean, median and sample variance of list sizes, optionally per group. One member: variance null.
+def _spread(size: Column) -> dict[str, Column]:
+    """Total, mean, median and sample variance of list sizes. The median keeps one counter per distinct size."""
+    return {
+        "total": F.sum(size),
+        "mean": F.avg(size),
+        "median": F.percentile(size, 0.5),
+        "variance": F.var_samp(size),
+    }
 
-    Equal sizes are counted first, so the median works on distinct sizes with their frequency.
-    """
-    by = as_list(by) if by else []
-    freq = sizes.groupBy(*by, size).agg(F.count("*").alias("_f"))
-    s, f = F.col(size).cast("double"), F.col("_f").cast("double")
-    keys, total, squares = F.sum("_f"), F.sum(s * f), F.sum(s * s * f)
-    variance = F.try_divide(squares - total * total / keys, F.nullif(keys - 1, F.lit(0)))
-    return freq.groupBy(*by).agg(
-        keys.alias("keys"),
-        F.sum(F.col(size) * F.col("_f")).alias("total"),
-        F.try_divide(total, keys).alias("mean"),
-        F.percentile(size, 0.5, F.col("_f")).alias("median"),
-        variance.alias("variance"),
-    )
+
+def list_stats(sizes: DataFrame, size: str, by=None) -> DataFrame:
+    """Keys, total, mean, median and sample variance of list sizes, optionally per group. One member: variance null."""
+    spread = [c.alias(name) for name, c in _spread(F.col(size)).items()]
+    return sizes.groupBy(*(as_list(by) if by else [])).agg(F.count("*").alias("keys"), *spread)
 
 
 def size_stats(df: DataFrame, key) -> DataFrame:
@@ -145,17 +142,11 @@ def histogram(df: DataFrame, column: str, bins: int, by=None) -> DataFrame:
 
 def hiring_rate(companies: DataFrame, keys, hiring: str = "hiring", jobs: str = "jobs") -> DataFrame:
     """Per key: companies, known answers, hiring ones, their share, and the spread of job counts. Null answers stay out."""
-    keys = as_list(keys)
-    answers = companies.groupBy(*keys).agg(
-        F.count("*").alias("companies"),
-        F.count(hiring).alias("known"),
-        F.count_if(F.col(hiring)).alias("hiring"),
-    )
-    answers = answers.withColumn("rate", F.try_divide(F.col("hiring"), F.col("known")))
-    spread = list_stats(companies.filter(F.col(jobs) > 0), jobs, keys).select(
-        *keys, F.col("total").alias("jobs"), *[F.col(c).alias(f"jobs_{c}") for c in ("mean", "median", "variance")]
-    )
-    return answers.join(spread, keys, "left")
+    posted = F.when(F.col(jobs) > 0, F.col(jobs))
+    spread = [c.alias("jobs" if name == "total" else f"jobs_{name}") for name, c in _spread(posted).items()]
+    known, yes = F.count(hiring), F.count_if(F.col(hiring))
+    answers = [F.count("*").alias("companies"), known.alias("known"), yes.alias("hiring")]
+    return companies.groupBy(*as_list(keys)).agg(*answers, F.try_divide(yes, known).alias("rate"), *spread)
 
 
 def occurrences(column: Column, needle: str) -> Column:

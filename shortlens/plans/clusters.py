@@ -154,18 +154,18 @@ def predict_clusters(
     """
     merged = merge_outer(points.select(id, vec), model, id)
     merged = fill(fill(merged, {"cluster": -1, "soft_cluster": -1}), {"probability": 0.0, "soft_probability": 0.0})
-    open_rows = merged.filter("soft_cluster = -1").select(id, vec)
-    assigned = soft_clusters(open_rows, cents, id, vec).select(
-        id, F.col("soft_cluster").alias("_c"), F.col("soft_probability").alias("_p")
-    )
-    rows = merged.join(assigned, id, "left").withColumns(
+    still_open = F.col("soft_cluster") == -1
+    before = {"soft_cluster": "_c", "soft_probability": "soft_prob_initial"}
+    assigned = soft_clusters(merged.filter(still_open).withColumnsRenamed(before), cents, id, vec)
+    assigned = assigned.withColumns(
         {
-            "soft_prob_initial": F.col("soft_probability"),
-            "soft_cluster": overlay(F.col("soft_cluster"), F.col("_c")),
-            "soft_probability": overlay(F.col("soft_probability"), F.col("_p")),
+            "soft_cluster": overlay(F.col("_c"), F.col("soft_cluster")),
+            "soft_probability": overlay(F.col("soft_prob_initial"), F.col("soft_probability")),
         }
     )
-    settled = denoise(rows.drop("_c", "_p"), min_soft, min_prob)
+    kept = merged.filter(~still_open).withColumn("soft_prob_initial", F.col("soft_probability"))
+    rows = kept.unionByName(assigned.drop("_c"))
+    settled = denoise(rows, min_soft, min_prob)
     return settled.select(id, "cluster", "soft_cluster", "probability", "soft_probability")
 
 

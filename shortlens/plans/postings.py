@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlens.functions.records import first_object, literal_to_json, repair_record, to_jobs_parsed, violations
 from shortlens.operators.joins import enrich_by_position
+from shortlens.runtime import settle
 
 
 def reply_json(payload: Column, quoted: bool = True) -> Column:
@@ -19,7 +20,8 @@ def posts_table(replies: DataFrame, raw: DataFrame, per_item: bool = False) -> t
 
     Posts meet their raw fields on the stored index, so a failed reply shifts nothing.
     """
-    parsed = replies.select("url", "idx", reply_json(F.col("payload")).alias("payload")).filter("payload is not null")
+    # Replies are parsed once; the table, the misses and the violations read the stored result.
+    parsed = settle(replies.select("url", "idx", reply_json(F.col("payload")).alias("payload")).filter("payload is not null"))
     fixed = parsed.select("url", "idx", repair_record(F.col("payload"), per_item=per_item).alias("r")).select("url", "idx", "r.*")
     enriched, misses = enrich_by_position(fixed, raw, "url", "idx")
     return to_jobs_parsed(enriched), misses, violations(parsed, ["url", "idx"], "payload")

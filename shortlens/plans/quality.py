@@ -11,7 +11,7 @@ from shortlens.functions.vectors import dot, doubles, euclidean, l2_normalize, n
 from shortlens.operators.aggregates import group_means
 from shortlens.operators.neighbors import BLOCK, core_distances, distances, matrix, meet, place, placed_by_pivot
 from shortlens.plans.components import components
-from shortlens.runtime import largest_group, settle
+from shortlens.runtime import settle
 
 
 def _points(df: DataFrame, id: str, vec: str, cluster: str, drop_noise: bool) -> DataFrame:
@@ -24,13 +24,16 @@ def silhouette(
 ) -> DataFrame:
     """One row: mean over points of (b - a) / max(a, b); a point alone in its cluster counts 0.
 
-    Cosine distances to a whole cluster follow from its mean vector. Euclidean ones are summed block by block, and a point
-    looks only at clusters that may be its nearest: the mean distance to a cluster is at least the distance to its mean,
-    and at most the root of its mean squared distance.
+    Cosine and squared Euclidean distances to a whole cluster follow from its mean vector, in one pass. Euclidean ones are
+    summed block by block, and a point looks only at clusters that may be its nearest: the mean distance to a cluster is at
+    least the distance to its mean, and at most the root of its mean squared distance.
     """
-    points = settle(_points(df, id, vec, cluster, drop_noise))
+    points = _points(df, id, vec, cluster, drop_noise)
     if metric == "cosine":
-        return _cosine_silhouette(points)
+        return _linear_silhouette(points.withColumn("vec", l2_normalize(F.col("vec"))))
+    if metric == "sqeuclidean":
+        return _linear_silhouette(points)
+    points = settle(points)
     means = group_means(points, "cluster", "vec")
     squares = points.groupBy("cluster").agg(F.avg(dot(F.col("vec"), F.col("vec"))).alias("_sq"))
     spread = F.greatest(F.col("_sq") - F.pow(norm(F.col("centroid")), 2), F.lit(0.0))
@@ -104,14 +107,17 @@ def _candidate_clusters(points: DataFrame, stats: DataFrame) -> DataFrame:
     return points.join(meet(centers, asking, ["_all"], within, f"id {id_kind}, _at {kind}"), "id")
 
 
-def _cosine_silhouette(points: DataFrame) -> DataFrame:
-    units = points.withColumn("vec", l2_normalize(F.col("vec")))
-    stats = group_means(units, "cluster", "vec")
-    centers = stats.select(F.col("cluster").alias("id"), F.col("centroid").alias("vec"), "members", F.lit(0).alias("_all"))
+def _linear_silhouette(points: DataFrame) -> DataFrame:
+    """Squared distances: the mean over a cluster is |x|² - 2 x·mean + the cluster's mean |y|². Scale does not matter."""
+    points = settle(points)
+    squares = points.groupBy("cluster").agg(F.avg(dot(F.col("vec"), F.col("vec"))).alias("square"))
+    stats = group_means(points, "cluster", "vec").join(squares, "cluster").withColumn("_all", F.lit(0))
+    centers = settle(stats.withColumnsRenamed({"cluster": "id", "centroid": "vec"}))
     kind = points.schema["id"].dataType.simpleString()
 
     def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        far = 1 - matrix(v["vec"]) @ matrix(m["vec"]).T
+        x = matrix(v["vec"])
+        far = (x * x).sum(1)[:, None] - 2 * (x @ matrix(m["vec"]).T) + m["square"].to_numpy()[None, :]
         own = m["id"].to_numpy()[None, :] == v["cluster"].to_numpy()[:, None]
         n = m["members"].to_numpy()[None, :]
         inside = np.where(own & (n > 1), far * n / np.maximum(n - 1, 1), -np.inf).max(1)
@@ -119,7 +125,7 @@ def _cosine_silhouette(points: DataFrame) -> DataFrame:
         out = pd.DataFrame({"id": v["id"], "a": inside, "b": outside})
         return out.replace([np.inf, -np.inf], np.nan).astype(object).where(lambda d: d.notna(), None)
 
-    part = meet(centers, units.withColumn("_all", F.lit(0)), ["_all"], kernel, f"id {kind}, a double, b double")
+    part = meet(centers, points.withColumn("_all", F.lit(0)), ["_all"], kernel, f"id {kind}, a double, b double")
     return _mean_score(part.groupBy("id").agg(F.max("a").alias("a"), F.min("b").alias("b")))
 
 
@@ -197,39 +203,71 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.limit(0) if tree is None else tree
 
 
+def _mutual_reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:
+    """The larger of the distance and both core distances."""
+    cores = np.maximum(v["core"].to_numpy()[:, None], m["core"].to_numpy()[None, :])
+    return np.maximum(distances(matrix(v["vec"]), matrix(m["vec"])), cores)
+
+
+def _block_tree(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    """A lightest forest of one block pair of a cluster, over edges within the cluster's reach."""
+    both = pd.concat([m, v]).drop_duplicates("id")
+    weight = _mutual_reach(both, both)
+    out = _light_tree(np.where(weight <= both["reach"].iloc[0], weight, np.inf), both["id"].to_numpy())
+    return out.assign(cluster=both["cluster"].iloc[0])
+
+
+def _longest_edges(points: DataFrame, sizes: DataFrame, schema: str) -> DataFrame:
+    """(cluster, loose): the longest edge of each cluster's lightest spanning tree; 0 for a single point.
+
+    A cluster of one block is one task. Points of a larger one meet by pivot cells within a reach that starts at its
+    largest core distance, which the tree cannot stay below, and doubles until the cluster hangs together; all edges of
+    its tree are then within reach.
+    """
+    small = points.join(sizes.filter(F.col("members") <= BLOCK).select("cluster"), "cluster")
+    small = small.withColumn("reach", F.lit(float("inf")))
+    longest = meet(small, small, ["cluster"], _block_tree, schema, BLOCK).groupBy("cluster").agg(F.max("w").alias("loose"))
+    large = settle(points.join(sizes.filter(F.col("members") > BLOCK).select("cluster"), "cluster"))
+    if large.isEmpty():
+        return longest
+    placed, pivots = placed_by_pivot(large, BLOCK)
+    if not len(pivots):
+        placed = placed.withColumn("_visits", F.array(F.lit(0)))
+    todo = settle(large.groupBy("cluster").agg(F.max("core").alias("reach")))
+    while not todo.isEmpty():
+        near = placed.join(todo, "cluster")
+        if len(pivots):
+            near = near.withColumn("_visits", place(F.col("vec"), F.col("reach"), pivots, True)["visits"])
+        asking = near.withColumn("_cell", F.explode("_visits")).drop("_visits")
+        edges = settle(meet(near.drop("_visits"), asking, ["cluster", "_cell"], _block_tree, schema, BLOCK))
+        parts = near.select("id", "cluster").join(components(edges), "id", "left")
+        parts = parts.groupBy("cluster").agg(F.count_distinct(F.coalesce("component", F.col("id"))).alias("parts"))
+        parts = settle(parts)
+        whole = parts.filter("parts = 1").select("cluster")
+        ready = settle(edges.join(whole, "cluster"))
+        tree = spanning_forest(ready.select("a", "b", "w")).join(large.select(F.col("id").alias("a"), "cluster"), "a")
+        longest = longest.unionByName(tree.groupBy("cluster").agg(F.max("w").alias("loose")))
+        todo = settle(todo.join(whole, "cluster", "left_anti").withColumn("reach", F.col("reach") * 2))
+    return longest
+
+
 def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster", min_samples: int = 2) -> DataFrame:
-    """One row: how far clusters are apart against how loose they are, weighted by size over all points with noise.
+    """One row: how far clusters are apart against how loose they are, weighted by size over all distinct vectors, noise too.
 
-    Distance is mutual reachability: the larger of the distance and both core distances. A cluster's looseness is the
-    longest edge of its lightest spanning tree, its separation the least distance to another cluster. Points of different
-    clusters or of one cluster meet block by block; a block pair emits a tree or one row per point, never its pairs.
+    Distance is mutual reachability. A cluster's looseness is the longest edge of its lightest spanning tree, its
+    separation the least distance to another cluster. Block pairs emit a forest or one row per cluster, never their pairs.
     """
-    total = df.count()
-    core = core_distances(df, id, vec, min_samples)
+    core = settle(core_distances(df, id, vec, min_samples))
+    total = core.count()
     points = _points(df, id, vec, cluster, True).join(core, "id").withColumnRenamed("core_distance", "core")
     points = settle(points)
     id_kind, kind = (points.schema[c].dataType.simpleString() for c in ("id", "cluster"))
-
-    def reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:
-        cores = np.maximum(v["core"].to_numpy()[:, None], m["core"].to_numpy()[None, :])
-        return np.maximum(distances(matrix(v["vec"]), matrix(m["vec"])), cores)
-
-    def trees(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        both = pd.concat([m, v]).drop_duplicates("id")
-        out = _light_tree(reach(both, both), both["id"].to_numpy())
-        out["cluster"] = both["cluster"].iloc[0]
-        return out
-
-    inside = meet(points, points, ["cluster"], trees, f"a {id_kind}, b {id_kind}, w double, cluster {kind}", BLOCK)
-    if largest_group(points, ["cluster"]) > BLOCK:
-        # Trees of block pairs hold all edges a lightest tree of the whole cluster needs, and more.
-        of_point = points.select(F.col("id").alias("a"), "cluster")
-        inside = spanning_forest(settle(inside)).join(of_point, "a")
-    loose = inside.groupBy("cluster").agg(F.max("w").alias("loose"))
+    sizes = settle(points.groupBy("cluster").agg(F.count("*").alias("members")))
+    loose = _longest_edges(points, sizes, f"a {id_kind}, b {id_kind}, w double, cluster {kind}")
 
     def gaps(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         same = v["cluster"].to_numpy()[:, None] == m["cluster"].to_numpy()[None, :]
-        out = pd.DataFrame({"cluster": v["cluster"], "apart": np.where(same, np.inf, reach(v, m)).min(1)})
+        out = pd.DataFrame({"cluster": v["cluster"], "apart": np.where(same, np.inf, _mutual_reach(v, m)).min(1)})
         return out.groupby("cluster", as_index=False).min()
 
     # What a cluster finds in the cells of its own points bounds how far those points must look in other cells.
@@ -242,11 +280,8 @@ def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster",
         asking = asking.withColumn("_cell", F.explode("_at")).filter("_cell <> _home").drop("_at", "apart")
         apart = near.unionByName(meet(placed, asking, ["_cell"], gaps, schema, BLOCK))
     apart = apart.groupBy("cluster").agg(F.min("apart").alias("apart"))
-    sizes = points.groupBy("cluster").agg(F.count("*").alias("members"))
     rows = sizes.join(apart, "cluster").join(loose, "cluster", "left").withColumn("loose", F.coalesce("loose", F.lit(0.0)))
     score = F.try_divide(F.col("apart") - F.col("loose"), F.nullif(F.greatest("apart", "loose"), F.lit(0.0)))
-    lone = F.isnan(score) | (F.col("apart") == float("inf"))
+    lone = F.col("apart") == float("inf")
     part = F.when(lone, F.lit(None)).otherwise(score) * F.col("members") / F.lit(float(total))
     return rows.agg(F.sum(part).alias("density_validity"))
-
-

@@ -5,7 +5,7 @@ from oracle import compare, database
 from shortlens.catalog import QUERIES, SQL
 
 DIRECTORY = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"i3_pca", "i4_project_2d", "i18_density_validity"}
+ROWS_ONLY = {"i3_pca", "i4_project_2d"}
 
 
 @pytest.fixture(scope="module")
