@@ -109,10 +109,6 @@ def with_defaults(topics: Column, defaults: Mapping[str, str]) -> Column:
     return F.struct(*[F.coalesce(F.try_element_at(topics, F.lit(t)), F.lit(d)).alias(t) for t, d in defaults.items()])
 
 
-def _path(topic: str) -> str:
-    return "$['" + topic + "']"
-
-
 def _is_list(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 
@@ -127,12 +123,25 @@ def repair_record(payload: Column, topics: Mapping[str, tuple[str, bool]] = TOPI
     A topic that is missing, of the wrong type, or junk becomes its default: empty text or empty list. One junk item
     empties the whole list unless `per_item`, which drops only such items.
     """
-    record = F.try_parse_json(payload)
+    return _bound_once(_topic_values(payload, topics), lambda record: _repaired(record, topics, per_item))
+
+
+def _topic_values(payload: Column, topics: Mapping) -> Column:
+    """The declared topics of a JSON record, each as it came."""
+    return F.from_json(payload, "struct<" + ",".join(f"`{t}`:variant" for t in topics) + ">")
+
+
+def _bound_once(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once per row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repaired(record: Column, topics: Mapping[str, tuple[str, bool]], per_item: bool) -> Column:
     fields = []
     for topic, (name, listed) in topics.items():
-        value = F.try_variant_get(record, _path(topic), "variant")
+        value = record[topic]
         if listed:
-            items = F.try_variant_get(record, _path(topic), "array<string>")
+            items = F.try_variant_get(value, "$", "array<string>")
             if per_item:
                 good = F.filter(items, lambda i: ~is_junk(i))
             else:
@@ -140,7 +149,7 @@ def repair_record(payload: Column, topics: Mapping[str, tuple[str, bool]] = TOPI
                 good = F.when(~printed.rlike("|".join(JUNK_PHRASES)), items)
             fixed = F.coalesce(F.when(_is_list(value), good), F.array().cast("array<string>"))
         else:
-            said = F.try_variant_get(record, _path(topic), "string")
+            said = F.try_variant_get(value, "$", "string")
             fixed = F.coalesce(F.when(_is_text(value) & ~is_junk(said), said), F.lit(""))
         fields.append(fixed.alias(name))
     return F.struct(*fields)

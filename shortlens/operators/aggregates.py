@@ -73,10 +73,10 @@ def nest(df: DataFrame, key, order, columns: Sequence[str], into: str = "items",
     if any("map<" in df.schema[c].dataType.simpleString() for c in columns):
         # Maps have no order, so only the sort keys are compared, with the place of their row.
         place = lambda r, i: F.struct(*[r[f"_o{n}"] for n in range(len(order))], i.alias("_at"))
-        sorted_places = F.array_sort(F.transform("_rows", place))
+        sorted_places = F.sort_array(F.transform("_rows", place))
         items = F.transform(sorted_places, lambda p: F.get(F.col("_rows"), p["_at"])["_item"])
     else:
-        items = F.transform(F.array_sort("_rows"), lambda r: r["_item"])
+        items = F.transform(F.sort_array("_rows"), lambda r: r["_item"])
     return grouped.select(*keys, "chunk", items.alias(into))
 
 

@@ -23,7 +23,7 @@ def keep_pos(df: DataFrame, column: str, lexicon: DataFrame, tags: Sequence[str]
     sentences = df.select(column).filter(F.col(column).isNotNull()).distinct()
     wanted = lexicon.filter(F.left("pos", F.lit(1)).isin([t[0] for t in tags])).select(F.col("word").alias("_word")).distinct()
     parts = sentences.select(column, F.posexplode(F.split(column, r"\s+")).alias("_at", "_word"))
-    kept = parts.join(wanted, "_word").groupBy(column).agg(F.array_sort(F.collect_list(F.struct("_at", "_word"))).alias("_kept"))
+    kept = parts.join(wanted, "_word").groupBy(column).agg(F.sort_array(F.collect_list(F.struct("_at", "_word"))).alias("_kept"))
     text = F.array_join(F.transform("_kept", lambda w: w["_word"]), " ")
     return df.join(kept.select(column, text.alias("_text")), column, "left").select(
         *[F.coalesce("_text", F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns]
@@ -59,7 +59,7 @@ def cluster_words(
 
 def _ranked_words(ranked: DataFrame, cluster: str) -> DataFrame:
     """(cluster, words): at most a handful of ranked words per cluster, in rank order."""
-    listed = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "word")))
     return ranked.groupBy(cluster).agg(F.transform(listed, lambda w: w["word"]).alias("words"))
 
 

@@ -133,19 +133,15 @@ def calinski_harabasz(df: DataFrame, id: str, vec: str, cluster: str = "cluster"
     """One row: spread between clusters over spread within, each by its degrees of freedom. Linear in the points."""
     points = _points(df, id, vec, cluster, drop_noise)
     means = group_means(points, "cluster", "vec")
-    weighted = F.transform("centroid", lambda x: x * F.col("members"))
-    whole = group_means(points.withColumn("_all", F.lit(0)), "_all", "vec").select(F.col("centroid").alias("center"), "_all")
-    between = means.withColumn("_all", F.lit(0)).join(whole, "_all").agg(
-        F.sum(F.col("members") * squared_distance(F.col("centroid"), F.col("center"))).alias("between"),
-        F.count("*").alias("k"),
-        F.sum("members").alias("n"),
-    )
-    within = points.join(means, "cluster").agg(F.sum(squared_distance(F.col("vec"), F.col("centroid"))).alias("within"))
-    both = between.withColumn("_all", F.lit(0)).join(within.withColumn("_all", F.lit(0)), "_all")
-    score = F.try_divide(
-        F.col("between") * (F.col("n") - F.col("k")), F.nullif(F.col("within") * (F.col("k") - 1), F.lit(0.0))
-    )
-    return both.select(score.alias("calinski_harabasz"))
+    # One vector comes to the driver.
+    mean = group_means(points, [], "vec").first()
+    center = F.lit(mean["centroid"] if mean["members"] else None).cast("array<double>")
+    apart = F.col("members") * squared_distance(F.col("centroid"), center)
+    off = points.join(means, "cluster").agg(F.sum(squared_distance(F.col("vec"), F.col("centroid"))))
+    scores = means.agg(F.sum(apart).alias("between"), F.count("*").alias("k"), F.sum("members").alias("n"))
+    scores = scores.withColumn("within", off.scalar())
+    free = F.try_divide(F.col("n") - F.col("k"), F.nullif(F.col("k") - 1, F.lit(0)))
+    return scores.select(F.try_divide(F.col("between") * free, F.nullif("within", F.lit(0.0))).alias("calinski_harabasz"))
 
 
 def davies_bouldin(df: DataFrame, id: str, vec: str, cluster: str = "cluster", drop_noise: bool = False) -> DataFrame:
