@@ -6,6 +6,7 @@ from shortlens import sources as src
 from shortlens.catalog.registry import query
 from shortlens.operators import filters as flt
 from shortlens.operators.aggregates import nest
+from shortlens.plans.companies import target_companies
 from shortlens.runtime import scratch_path, settle
 
 SEGMENTS = {
@@ -349,3 +350,16 @@ def _(t):
     return flt.only_categories(t("part").select("p_partkey", "p_type"), "p_type", ["PROMO", "SMALL"])
 
 
+@query(
+    "target_companies",
+    f"""SELECT c_name AS url FROM (SELECT *, {BAND_SQL} AS company_size FROM customer) JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_mktsegment = 'MACHINERY' AND company_size = '11+ employees' AND n_regionkey > 0""",
+)
+def _(t):
+    companies = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("url"),
+        F.col("c_mktsegment").alias("industries"),
+        size_band().alias("company_size"),
+        F.when(F.col("n_regionkey") > 0, F.col("n_name")).alias("about"),
+    )
+    return target_companies(companies, groups=SEGMENTS).select("url")

@@ -16,6 +16,7 @@ from shortlens.functions.fixed_values import (
     TOPICS,
 )
 from shortlens.operators.aggregates import nest
+from shortlens.plans.postings import posts_table
 
 
 def quoted(text):
@@ -231,7 +232,8 @@ def _(t):
 
 
 def unescaped_sql(text):
-    return f"replace(replace({text}, '&quot;', '\"'), '&amp;', '&')"
+    """Entities as browsers read them, also where a cut left out the closing semicolon."""
+    return f"regexp_replace(regexp_replace({text}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
 @query(
@@ -424,3 +426,43 @@ def _(t):
         "job.benefit_badge",
         F.col("pos").cast("bigint").alias("pos"),
     )
+
+
+def replies_of_orders(t):
+    """Replies with talk around the dictionary, some without one, and raw posts that lack the pending orders."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("Sure! "), order_payload(), F.lit(" Anything {else}?"))
+    payload = F.when(F.col("o_orderpriority") == "2-HIGH", F.lit("no answer } {}")).otherwise(text)
+    replies = t("orders").select(key.alias("idx"), F.col("o_custkey").cast("string").alias("url"), payload.alias("payload"))
+    raw = t("orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_custkey").cast("string").alias("url"),
+        key.alias("idx"),
+        F.col("o_orderpriority").alias("title"),
+        F.col("o_orderdate").alias("posted"),
+        key.cast("string").alias("job_url"),
+        F.col("o_orderstatus").alias("benefit_badge"),
+    )
+    return replies, raw
+
+
+@query(
+    "posts_table",
+    f"""SELECT CAST(o_custkey AS VARCHAR) AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
+    {REPAIRED_SQL}, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS title,
+    CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS posted,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS benefit_badge FROM orders WHERE o_orderpriority <> '2-HIGH'""",
+)
+def _(t):
+    table = posts_table(*replies_of_orders(t))[0]
+    flat = table.select("url", F.posexplode("jobs_parsed").alias("pos", "job"))
+    fields = ["job.title_and_summary", "job.title", F.col("job.posted").cast("string").alias("posted"), "job.benefit_badge"]
+    return flat.select("url", F.col("pos").cast("bigint").alias("pos"), *fields)
+
+
+@query(
+    "posts_table_misses",
+    """SELECT CAST(o_custkey AS VARCHAR) AS url, o_orderkey AS idx FROM orders
+    WHERE o_orderpriority <> '2-HIGH' AND o_orderstatus = 'P'""",
+)
+def _(t):
+    return posts_table(*replies_of_orders(t))[1].select("url", "idx")

@@ -13,7 +13,6 @@ from shortlens.operators.filters import denoise, fill, overlay
 from shortlens.operators.joins import merge_outer
 from shortlens.operators.neighbors import (
     BLOCK,
-    copies_of,
     core_distances,
     core_points,
     distances,
@@ -31,12 +30,16 @@ from shortlens.runtime import settle
 CARRIED_CENTROIDS = 2048
 
 
-def _to_rows(df: DataFrame, id: str, vec: str, points: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, cluster) for every row: copies follow their distinct vector, everything else is noise."""
-    reps = points.select("id", "vec").join(found, "id", "left")
-    named = copies_of(df, id, vec, points).join(reps.select(F.col("id").alias("rep"), "cluster"), "rep")
-    rows = df.select(id).join(named.select(id, "cluster"), id, "left")
-    return rows.select(id, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+def _to_rows(df: DataFrame, id: str, vec: str, values: DataFrame) -> DataFrame:
+    """(id, values…) for every row, from a table with one row per distinct vector `vec`. One join serves all copies."""
+    rows = df.select(F.col(id), doubles(F.col(vec)).alias("vec"))
+    return rows.join(values, "vec", "left").drop("vec")
+
+
+def _clustered(df: DataFrame, id: str, vec: str, points: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, cluster): copies follow their distinct vector, everything else is noise."""
+    named = points.select("id", "vec").join(found, "id").select("vec", "cluster")
+    return _to_rows(df, id, vec, named).withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 def similarity_clusters(
@@ -61,7 +64,7 @@ def similarity_clusters(
         kept = mean_intra_similarity(members, "component", "vec").filter(F.col("mean_similarity") >= min_mean_sim)
         clusters = chains.join(kept, "component").select("id", F.col("component").alias("cluster"))
         found = settle(clusters if found is None else found.unionByName(clusters))
-    return _to_rows(df, id, vec, points, found)
+    return _clustered(df, id, vec, points, found)
 
 
 def density_clusters(
@@ -77,7 +80,7 @@ def density_clusters(
     groups = components(links(cores, eps, "euclidean"))
     big = groups.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") >= min_cluster_size)
     found = groups.join(big, "component").select("id", F.col("component").alias("cluster"))
-    return _to_rows(df, id, vec, points, found)
+    return _clustered(df, id, vec, points, found)
 
 
 def membership(df: DataFrame, clustered: DataFrame, id: str, vec: str, min_samples: int = 2) -> DataFrame:
@@ -87,9 +90,8 @@ def membership(df: DataFrame, clustered: DataFrame, id: str, vec: str, min_sampl
     """
     points = distinct_vectors(df, id, vec)
     core = core_distances(df, id, vec, min_samples)
-    strength = points.select("id", "vec").join(core, "id", "left")
-    rows = copies_of(df, id, vec, points).join(strength.select(F.col("id").alias("rep"), "core_distance"), "rep")
-    rows = clustered.join(rows.select(id, "core_distance"), id, "left")
+    strength = points.select("id", "vec").join(core, "id").select("vec", "core_distance")
+    rows = clustered.join(_to_rows(df, id, vec, strength), id, "left")
     tightest = rows.filter("cluster <> -1").groupBy("cluster").agg(F.min("core_distance").alias("_least"))
     ratio = F.when(F.col("core_distance") == 0, F.lit(1.0)).otherwise(F.try_divide("_least", "core_distance"))
     probability = F.when(F.col("cluster") == -1, F.lit(0.0)).otherwise(F.coalesce(ratio, F.lit(0.0)))
