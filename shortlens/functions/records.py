@@ -173,7 +173,7 @@ def to_jobs_parsed(df: DataFrame, key: str = "url", order: str = "idx", job_type
     """(url, chunk, jobs_parsed): each company's posts in index order, every post cast to the declared type."""
     wanted = T.DataType.fromDDL(job_type)
     empty = F.lit(None)
-    post = F.struct(*[(F.col(f.name) if f.name in df.columns else empty).cast(f.dataType).alias(f.name) for f in wanted])
+    post = F.struct(*[(F.col(f.name) if f.name in df.columns else empty).try_cast(f.dataType).alias(f.name) for f in wanted])
     return nest(df.select(key, order, post.alias("_post")), key, order, ["_post"], "jobs_parsed").withColumn(
         "jobs_parsed", F.transform("jobs_parsed", lambda r: r["_post"])
     )

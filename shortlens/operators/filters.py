@@ -68,8 +68,9 @@ def contains_col(whole: Column, part: Column) -> Column:
 def fresh(df: DataFrame, date_col: str, limit: str = OLDEST_DATE) -> DataFrame:
     """Rows dated on or after the limit; an undated row counts as oldest. A typed date compares as stored, so scans skip."""
     kind = df.schema[date_col].dataType
-    value = F.col(date_col).cast("date") if isinstance(kind, T.StringType) else F.col(date_col)
-    bound = F.lit(limit).cast("date" if isinstance(kind, T.StringType) else kind)
+    text = isinstance(kind, T.StringType)
+    value = F.try_to_date(F.col(date_col), "yyyy-MM-dd") if text else F.col(date_col)
+    bound = F.lit(limit).cast("date" if text else kind)
     recent = value >= bound
     return df.filter(recent | value.isNull() if limit <= OLDEST_DATE else recent)
 

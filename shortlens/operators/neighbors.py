@@ -19,8 +19,9 @@ from shortlens.operators.aggregates import group_means
 from shortlens.operators.sets import symmetrize
 from shortlens.runtime import as_list, settle, small_table
 
-# Rows of one side of a block pair: bounds what a task holds and what it can emit.
-BLOCK = 1024
+# Rows of one side of a block pair: bounds what a task holds (a matrix of 32 MB) and what it can emit. Larger blocks copy
+# each row to fewer tasks.
+BLOCK = 2048
 # Pivots travel with each task, so their number is bounded.
 MAX_PIVOTS = 4096
 
