@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from shortlens.functions.fixed_values import JUNK_PHRASES, TOPICS
 from shortlens.functions.text import is_junk
+from shortlens.functions.vectors import bound_once
 from shortlens.operators.aggregates import nest
 from shortlens.runtime import as_list
 
@@ -86,10 +87,12 @@ def parse_literal(c: Column, schema: str, plain: bool = False) -> Column:
 
 def criteria_map(names: Column, values: Column) -> Column:
     """Names to values; of a repeated name the last value stays, whatever the session's rule for repeated keys."""
-    pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
-    later = lambda i: F.slice(names, i + 2, F.size(names))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["name"]))
-    return F.map_from_entries(last)
+
+    def last_ones(pairs: Column) -> Column:
+        later = lambda i: F.slice(F.transform(pairs, lambda p: p["name"]), i + 2, F.size(pairs))
+        return F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["name"]))
+
+    return F.map_from_entries(bound_once(F.arrays_zip(names.alias("name"), values.alias("value")), last_ones))
 
 
 def unnest(df: DataFrame, key, column: str, position: str = "pos", into: str = "item") -> DataFrame:
@@ -123,7 +126,7 @@ def repair_record(payload: Column, topics: Mapping[str, tuple[str, bool]] = TOPI
     A topic that is missing, of the wrong type, or junk becomes its default: empty text or empty list. One junk item
     empties the whole list unless `per_item`, which drops only such items.
     """
-    return _bound_once(_topic_values(payload, topics), lambda record: _repaired(record, topics, per_item))
+    return bound_once(_topic_values(payload, topics), lambda record: _repaired(record, topics, per_item))
 
 
 def _topic_values(payload: Column, topics: Mapping) -> Column:
@@ -131,11 +134,6 @@ def _topic_values(payload: Column, topics: Mapping) -> Column:
     return F.from_json(payload, "struct<" + ",".join(f"`{t}`:variant" for t in topics) + ">")
 
 
-def _bound_once(value: Column, use) -> Column:
-    """`use(value)` with the value worked out once per row, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _repaired(record: Column, topics: Mapping[str, tuple[str, bool]], per_item: bool) -> Column:
     fields = []
     for topic, (name, listed) in topics.items():

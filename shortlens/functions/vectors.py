@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +46,18 @@ def to_vector(a: Column) -> Column:
     return array_to_vector(doubles(a))
 
 
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once per row, also where it is named inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit length; a vector without length stays as it is."""
-    length = norm(a)
-    return F.when(length == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / length))
+
+    def scaled(length: Column) -> Column:
+        return F.when(length == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / length))
+
+    return F.when(a.isNotNull(), bound_once(norm(a), scaled))
 
 
 def argmax(a: Column) -> Column:

@@ -89,19 +89,18 @@ def status_to_bool(column: Column, yes: str = "Jobs found!", no: str = "No jobs"
 def denoise(df: DataFrame, min_soft: float = 0.004, min_prob: float = 0.2) -> DataFrame:
     """Settle confidences after new points were assigned.
 
-    `soft_prob_initial` is the value before assignment. Where it was 0 the assigned confidence becomes the probability;
-    the initial value stays as the soft one. Then weak soft members and weak members turn to noise, in that order.
+    `soft_prob_initial` is the value before assignment and stays as the soft one. Where it was 0, the assigned confidence
+    becomes the probability. A point is noise when its initial value is above 0 but weak, or its probability is weak.
     """
-    probability = F.when(F.col("soft_prob_initial") == 0, F.col("soft_probability")).otherwise(F.col("probability"))
-    soft = F.col("soft_probability")
-    weak_soft = (soft > 0) & (soft < min_soft)
-    return (
-        df.withColumn("probability", probability)
-        .drop("soft_probability")
-        .withColumnRenamed("soft_prob_initial", "soft_probability")
-        .withColumn("soft_cluster", F.when(weak_soft, F.lit(-1)).otherwise(F.col("soft_cluster")))
-        .withColumn("soft_cluster", F.when(F.col("probability") < min_prob, F.lit(-1)).otherwise(F.col("soft_cluster")))
-    )
+    initial = F.col("soft_prob_initial")
+    probability = F.when(initial == 0, F.col("soft_probability")).otherwise(F.col("probability"))
+    weak = (initial > 0) & (initial < min_soft) | (probability < min_prob)
+    settled = {
+        "probability": probability,
+        "soft_probability": initial,
+        "soft_cluster": F.when(weak, F.lit(-1)).otherwise(F.col("soft_cluster")),
+    }
+    return df.withColumns(settled).drop("soft_prob_initial")
 
 
 def overlay(old: Column, new: Column) -> Column:
