@@ -231,7 +231,11 @@ def _(t):
     return listed.select("p_type", F.array_join("items", ",").alias("names"))
 
 
-@query("d8_centroids", "SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(generate_series(0, 63)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2")
+@query(
+    "d8_centroids",
+    """SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(generate_series(0, 63)) AS i,
+    unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2""",
+)
 def _(t):
     cents = agg.centroids(t("embeddings"), "label", "embedding")
     return cents.select("label", F.posexplode("centroid").alias("i", "m")).select("label", F.col("i").cast("bigint").alias("i"), r6("m").alias("mean"))
