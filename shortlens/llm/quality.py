@@ -23,6 +23,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 # Smallest cell that gets an estimate of its own.
 MIN_CELL_ROWS = 200
+# Up to so many cells their estimates (some hundred bytes each) travel to every task; more are met by a salted join.
+BROADCAST_CELLS = 10_000
+SALTS = 32
 # Share of a cell the estimate rests on, and how often it is improved.
 CORE_SHARE = 0.75
 CONCENTRATION_STEPS = 4
@@ -238,6 +241,14 @@ def _consistency(share: float) -> float:
     return share / low
 
 
+def _meet(rows: DataFrame, per_cell: DataFrame, small: bool) -> DataFrame:
+    """Rows with what belongs to their cell. A hot cell is never one task: its rows stay where they are or are salted."""
+    if small:
+        return rows.join(F.broadcast(per_cell), "cell")
+    salted = per_cell.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("x0", "x1", "x2"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "_salt"]).drop("_salt")
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """(lang, source, cell, n, centre, whiten): the estimate that judges each language and source.
 
@@ -245,14 +256,15 @@ def fit(rows: DataFrame) -> DataFrame:
     deviations; each step then keeps the nearest `CORE_SHARE` of a cell.
     """
     cells = store(_cells(rows), "quality-cells")
+    small = cells.count() <= BROADCAST_CELLS
     placed = store(
-        rows.join(F.broadcast(cells) if cells.count() <= 10_000 else cells, rows["lang"].eqNullSafe(cells["lang"]) & rows["source"].eqNullSafe(cells["source"])).select(
+        rows.join(F.broadcast(cells) if small else cells, rows["lang"].eqNullSafe(cells["lang"]) & rows["source"].eqNullSafe(cells["source"])).select(
             "cell", *[f"x{i}" for i in range(D)]
         ),
         "quality-features",
     )
     medians = placed.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
-    near = placed.join(medians, "cell")
+    near = _meet(placed, medians, small)
     spread = near.groupBy("cell").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(D)])
     start = medians.join(spread, "cell")
     lower = [F.lit(0.0) if i != j else 1.0 / F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i])) for i in range(D) for j in range(i + 1)]
@@ -261,9 +273,9 @@ def fit(rows: DataFrame) -> DataFrame:
         "quality-start",
     )
     for _ in range(CONCENTRATION_STEPS):
-        measured_rows = placed.join(estimate, "cell").select("cell", *[f"x{i}" for i in range(D)], _distance().alias("d2"))
+        measured_rows = _meet(placed, estimate, small).select("cell", *[f"x{i}" for i in range(D)], _distance().alias("d2"))
         edge = measured_rows.groupBy("cell").agg(F.percentile_approx("d2", CORE_SHARE, 10_000).alias("edge"))
-        core = measured_rows.join(edge, "cell").filter("d2 <= edge")
+        core = _meet(measured_rows, edge, small).filter("d2 <= edge")
         estimate = store(_estimates(_moments(core), CORE_SHARE), "quality-estimate")
     return cells.join(estimate, "cell")
 
