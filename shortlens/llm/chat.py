@@ -106,8 +106,8 @@ def default_model() -> Model:
             elif starts and other != role:
                 step[a, b] = 20 if other != "system" else 1
         for v, kind in enumerate(KINDS):
-            emit[a, 0, v] = 70 if opens and kind == role else 30 if opens and kind == "none" else 100 if not opens and kind == "none" else 0.2
-        for v, n in enumerate((10, 85, 5) if opens else (0, 15, 85)):
+            emit[a, 0, v] = 50 if opens and kind == role else 50 if opens and kind == "none" else 100 if not opens and kind == "none" else 0.2
+        for v, n in enumerate((10, 85, 5) if opens else (0, 8, 92)):
             emit[a, 1, v] = n
         asks = 40 if role == "user" else 8
         emit[a, 2, 0], emit[a, 2, 1] = 100 - asks, asks

@@ -28,8 +28,8 @@ ITEMS_PER_PASS = 20_000
 BYTES_PER_PASS = 32 << 20
 MAX_BANDS = 96
 BANDS_PER_WALK = 4
-# Items edited at random to measure how often a band meets.
-PILOT_ITEMS = 200
+# Edited copies of items on which is measured how often a band meets.
+PILOT_COPIES = 400
 MATCHES_TYPE = "array<struct<item:int, start:bigint, end:bigint, edits:int, words:int>>"
 _ARROW_TYPE = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("words", pa.int32())]))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -105,7 +105,8 @@ def allowed_edits(words: int, similarity: float) -> int:
 def plan_bands(items: list[np.ndarray], similarity: float, target: float) -> tuple[int, int]:
     """(places in a band, bands) that reach the target recall on copies with all allowed edits."""
     rng = np.random.default_rng(15485863)
-    chosen = [items[i] for i in rng.permutation(len(items))[:PILOT_ITEMS] if len(items[i])]
+    filled = [items[i] for i in rng.permutation(len(items))[:PILOT_COPIES] if len(items[i])]
+    chosen = filled * -(-PILOT_COPIES // max(1, len(filled)))
     edited = []
     for item in chosen:
         copy = list(item)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import WordHashes, as_bytes, mix, odd_numbers, shingle_hashes, store, text_key
 from shortlens.plans.components import components
@@ -297,7 +298,7 @@ def _links(similarity: float):
     return _whole_groups(handle, ["component", "i", "j"])
 
 
-@F.arrow_udf(returnType="binary")
+@F.arrow_udf(returnType=T.BinaryType())
 def _items(text: pa.Array, width: pa.Array) -> pa.Array:
     hashes = WordHashes()
     wide = width[0].as_py() if len(width) else WIDTH

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import as_bytes, process_memory, store
 
@@ -237,7 +238,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     return pieces.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
 
 
-@F.arrow_udf(returnType="bigint")
+@F.arrow_udf(returnType=T.LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Of the ids as little-endian unsigned 32-bit numbers."""
     values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import SHINGLE_FACTORS, WordHashes, as_bytes, mix, store
 
@@ -43,11 +44,10 @@ _NOT_POINTS = bytes(range(0x80, 0xC0)) + _SPACE
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _DIGITS, _PUNCTUATION = string.ascii_uppercase.encode(), string.digits.encode(), string.punctuation.encode()
 
-STATS_TYPE = (
-    "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "n_distinct bigint, n_upper bigint, n_digits bigint, n_punct bigint, n_lines bigint"
-)
-_ARROW_TYPE = pa.struct([(c.split()[0], pa.int64()) for c in STATS_TYPE.split(", ")])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_digits", "n_punct", "n_lines")
+# Types as objects where a function is made on import: type strings need a running session.
+STATS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+_ARROW_TYPE = pa.struct([(c, pa.int64()) for c in COUNTS])
 
 
 def _repeats(ids: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:

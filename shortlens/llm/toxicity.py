@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import REMEMBERED_WORDS, as_bytes
 
@@ -140,7 +141,7 @@ def reader(stems: dict[str, float]):
     return numbers
 
 
-@F.arrow_udf(returnType="array<string>")
+@F.arrow_udf(returnType=T.ArrayType(T.StringType()))
 def _stems_in(text: pa.Array) -> pa.Array:
     """Distinct words of a text and their beginnings (marked by a star)."""
     known: dict = {}
