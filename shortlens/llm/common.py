@@ -17,7 +17,7 @@ from shortlens.runtime import scratch_path
 # Rows of an Arrow batch handled at a time; bounds what a task holds beside the batch itself.
 SLICE_ROWS = 256
 # Distinct words a task remembers before it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

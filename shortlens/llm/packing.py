@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -28,16 +29,24 @@ END_ID = 2
 GROUP_SEQUENCES = 256
 GROUP_PIECES = 20_000
 # Words a Python process remembers.
-KNOWN_CHUNKS = 250_000
-KNOWN_WORDS = 400_000
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+KNOWN_CHUNKS = 200_000
+KNOWN_WORDS = 300_000
+# Letters, then marks other than an apostrophe, which may begin a contraction.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it, each distinct word encoded once.
 
-    Words of plain letters are encoded together, many in one call; the token that ends each word tells them apart. All
-    other words go through the tokenizer one by one, as they are.
+    Words of plain letters go straight to the tokenizer's merges; all other words go through the whole tokenizer, as they
+    are. Ids are kept as bytes, so that a text's ids are one join.
     """
 
     def __init__(self, path: str):
@@ -45,84 +54,56 @@ class WordEncoder:
         if not memory:
             from tokenizers import Tokenizer
 
-            memory["tokenizer"] = tokenizer = Tokenizer.from_file(path)
-            vocabulary = tokenizer.get_vocab()
-            ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-            memory |= {"ends": ends, "numbers": list(range(len(ends))), "chunks": {}, "words": {}}
-        self.tokenizer, self.ends, self.numbers = memory["tokenizer"], memory["ends"], memory["numbers"]
-        self.chunks, self.words = memory["chunks"], memory["words"]
-
-    def _encode(self, text: str) -> tuple:
-        return tuple(self.numbers[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _words(self, missing: list[str]) -> dict[str, tuple]:
-        got = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                pieces = ids.tolist()
-                for word, low, high in zip(part, [0, *cuts.tolist()], cuts.tolist()):
-                    got[word] = tuple(self.numbers[i] for i in pieces[low:high])
-            else:
-                got |= {word: self._encode(word) for word in part}
-        return got
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, tuple]:
-        plain, found = {}, {}
-        for chunk in missing:
-            text = chunk.decode("utf-8", "replace")
-            match = _PLAIN.fullmatch(text.lower()) if len(text) < 64 else None
-            if match:
-                plain[chunk] = match.groups()
-            else:
-                found[chunk] = self._encode(text)
-        wanted = {part for pair in plain.values() for part in pair[:1]}
-        fresh = self._words([w for w in wanted if w not in self.words])
-        room = KNOWN_WORDS - len(self.words)
-        self.words.update(itertools.islice(fresh.items(), max(0, room)))
-        for chunk, (word, marks) in plain.items():
-            ids = fresh.get(word) or self.words[word]
-            if marks:
-                tail = self.words.get(marks) or self.words.setdefault(marks, self._encode(marks))
-                ids = ids + tail
-            found[chunk] = ids
-        self.chunks.update(itertools.islice(found.items(), max(0, KNOWN_CHUNKS - len(self.chunks))))
-        return found
+            memory |= {"tokenizer": Tokenizer.from_file(path), "chunks": {}, "words": {}}
+        self.tokenizer, self.chunks, self.words = memory["tokenizer"], memory["chunks"], memory["words"]
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return b"".join(t.id.to_bytes(4, sys.byteorder) for t in self.merge(plain))
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        match = _PLAIN.fullmatch(text.lower()) if len(text) < 64 else None
+        if not match:
+            return self._encode(text)
+        word, marks = match.groups()
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self._word(word)
+            if len(self.words) < KNOWN_WORDS:
+                self.words[word] = ids
+        if marks:
+            tail = self.words.get(marks)
+            if tail is None:
+                tail = self.words[marks] = self._encode(marks)
+            ids += tail
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [text.split() for text in texts]
-        missing = set(itertools.chain.from_iterable(split)).difference(self.chunks)
-        known = self.chunks
-        if missing:
-            found = self._learn(missing)
-            if len(found) and any(chunk not in known for chunk in itertools.islice(reversed(list(found)), 1)):
-                known = _Layered(self.chunks, found)
-        out = []
-        for words in split:
-            out.append(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32))
-        return out
-
-
-class _Layered(dict):
-    """Lookups in what is remembered, then in what only this slice needs."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+        needed = set(itertools.chain.from_iterable(split))
+        known, room = {}, KNOWN_CHUNKS - len(self.chunks)
+        for chunk in needed:
+            ids = self.chunks.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
+                if room > 0:
+                    self.chunks[chunk], room = ids, room - 1
+            known[chunk] = ids
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
 
 def encoder(path: str, end_id: int):
     @F.arrow_udf(returnType="array<int>")
     def ids(text: pa.Array) -> pa.Array:
         words, parts = WordEncoder(path), []
-        for at in range(0, len(text), 128):
-            lists = [np.append(x, np.int32(end_id)) for x in words.encode(as_bytes(text.slice(at, 128)))]
+        for at in range(0, len(text), 512):
+            lists = [np.append(x, np.int32(end_id)) for x in words.encode(as_bytes(text.slice(at, 512)))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shortlens.llm.common import as_bytes, process_memory
 
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 200_000
 # A section ends behind each of these.
 LINE_END = r"\n"
 SECTIONS_TYPE = "array<struct<section:int,start:bigint,end:bigint,n_tokens:bigint,n_crossing:bigint,share:double>>"
