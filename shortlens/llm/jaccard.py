@@ -37,6 +37,8 @@ BUCKET = 64
 BUCKET_BLOCK = 1024
 GROUP_BLOCK = 512
 SKETCH = 128
+# Texts whose paths are sampled together: a level looks at every shingle once for each of about 12 paths.
+SAMPLED_ROWS = 64
 _PATH = "array<struct<a:bigint,b:bigint,c:bigint>>"
 SAMPLED_TYPE = f"set_key string, n int, sketch binary, paths {_PATH}"
 
@@ -112,8 +114,8 @@ def sampler(width: int, similarity: float, runs: int):
         kind = pa.struct(
             [("set_key", pa.string()), ("n", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.struct([(c, pa.int64()) for c in "abc"])))]
         )
-        for start in range(0, len(text), 256):
-            sets = [shingles(t, hashes, width) for t in as_bytes(text.slice(start, 256))]
+        for start in range(0, len(text), SAMPLED_ROWS):
+            sets = [shingles(t, hashes, width) for t in as_bytes(text.slice(start, SAMPLED_ROWS))]
             paths = sample_paths(sets, similarity, runs)
             flat = np.concatenate(paths).astype(np.int64) if paths else np.zeros((0, 3), np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
@@ -129,6 +131,7 @@ def sampler(width: int, similarity: float, runs: int):
                     fields=list(kind),
                 )
             )
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return sampled

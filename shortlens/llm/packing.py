@@ -29,8 +29,8 @@ END_ID = 2
 GROUP_SEQUENCES = 256
 GROUP_PIECES = 20_000
 # Words a Python process remembers.
-KNOWN_CHUNKS = 200_000
-KNOWN_WORDS = 300_000
+KNOWN_CHUNKS = 100_000
+KNOWN_WORDS = 200_000
 # Letters, then marks other than an apostrophe, which may begin a contraction.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 

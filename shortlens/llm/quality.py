@@ -115,6 +115,7 @@ def text_statistics(text: pa.Array) -> pa.Array:
     """Counts over the whole text: words are runs of characters other than space and \\x09-\\x0D; null has none."""
     hashes = WordHashes()
     parts = [_measure(as_bytes(text.slice(i, 256)), hashes) for i in range(0, len(text), 256)]
+    pa.default_memory_pool().release_unused()
     return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_TYPE)
 
 
