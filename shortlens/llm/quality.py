@@ -119,6 +119,10 @@ def text_statistics(text: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_TYPE)
 
 
+# Declared not repeatable: else the optimizer works it out once more for a filter that it pushes down.
+text_statistics = text_statistics.asNondeterministic()
+
+
 def _features(s) -> dict:
     """Statistics on a scale where the bulk is close to normal; shares of short texts are drawn to a usual value."""
     words, chars = s["n_words"] + PRIOR_WORDS, s["word_chars"] + 5 * PRIOR_WORDS

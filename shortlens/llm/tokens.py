@@ -106,7 +106,8 @@ def counter(path: str, pattern: str, section_end: str):
             parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=[kinds[k] for k in range(6)])))
         return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_TYPE)
 
-    return sections
+    # Declared not repeatable: else the optimizer works it out once more for a filter that it infers or pushes down.
+    return sections.asNondeterministic()
 
 
 def section_tokens(

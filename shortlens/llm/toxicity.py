@@ -175,7 +175,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     if not good or not bad:
         return {}
     in_bad, in_good = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counted = sample.select("toxic", F.explode(_stems_in("text")).alias("stem")).groupBy("stem").agg(in_bad.alias("bad"), in_good.alias("good"))
+    counted = sample.select("toxic", F.explode_outer(_stems_in("text")).alias("stem")).filter("stem is not null").groupBy("stem").agg(in_bad.alias("bad"), in_good.alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     kept = counted.withColumn("odds", odds).filter((F.col("bad") >= max(MIN_TEXTS, MIN_SHARE * bad)) & (F.col("odds") >= MIN_LOG_ODDS))
     found = {r["stem"]: (r["odds"], r["bad"]) for r in kept.select("stem", "odds", "bad").collect()}
