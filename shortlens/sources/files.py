@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +80,16 @@ def from_json_col(column, schema) -> Column:
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by=None) -> DataFrame:
-    """Read the stored table when it is there, else compute and store it first. One folder per category."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    save(build(), path, partition_by)
-    return spark.read.parquet(path)
+    """Read the stored table when it is whole, else compute and store it first. One folder per category.
+
+    Only a folder with the writer's success mark counts as whole. Folders are named by copies of the category columns, so
+    that the columns themselves keep their values, types and places.
+    """
+    folders = {f"_folder_{c}": c for c in as_list(partition_by or [])}
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        save(build().withColumns({name: F.col(c) for name, c in folders.items()}), path, list(folders))
+    return spark.read.parquet(path).drop(*folders)
 
 
 def preview(df: DataFrame, n: int, order_by) -> DataFrame:

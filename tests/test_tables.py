@@ -202,3 +202,14 @@ def test_sample_repeats(spark):
 def test_upsert_keeps_types(spark):
     a = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "k int, d date")
     assert rows(jn.upsert(a, a.limit(0), "k")) == [(1, dt.date(2024, 1, 1))]
+
+
+def test_materialize_keeps_values_and_rebuilds_half_tables(spark, tmp_path):
+    path = str(tmp_path / "m")
+    built = spark.createDataFrame([("007", 1), ("7", 2), ("", 3), (None, 4)], "category string, n int")
+    stored = src.materialize(spark, path, lambda: built, "category")
+    assert stored.columns == ["category", "n"]
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted([("007", 1), ("7", 2), ("", 3), (None, 4)], key=str)
+    (tmp_path / "m" / "_SUCCESS").unlink()
+    other = spark.createDataFrame([("a", 5)], "category string, n int")
+    assert [tuple(r) for r in src.materialize(spark, path, lambda: other, "category").collect()] == [("a", 5)]
