@@ -124,6 +124,19 @@ def _(t):
     return low.select("vec_id", F.size("embedding_pca").alias("dims"), r6(vec.norm(F.col("embedding_pca"))).alias("length"))
 
 
+@query(
+    "i3_pca_full_width",
+    """SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS distance
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+def _(t):
+    """At full width the projection only turns the points: distances between them stay."""
+    turned = em.pca(t("embeddings"), "embedding", 64).select("vec_id", "embedding_pca")
+    after = turned.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding_pca").alias("after"))
+    distance = F.round(vec.euclidean(F.col("embedding_pca"), F.col("after")), 5)
+    return turned.join(after, "vec_id").select("vec_id", distance.alias("distance"))
+
+
 @query("i4_project_2d")
 def _(t):
     return em.project_2d(t("embeddings"), "embedding").select("vec_id", r6(F.abs("x")).alias("x"), r6(F.abs("y")).alias("y"))
@@ -135,6 +148,14 @@ def chains_sql(edges):
     SELECT walk.id, e.id2 FROM walk JOIN e ON walk.spot = e.id1), comp AS (SELECT id, min(spot) AS c FROM walk GROUP BY 1)"""
 
 
+# Clusters are numbered in order of their smallest id.
+NUMBER = "dense_rank() OVER (ORDER BY c) - 1 AS number"
+
+
+def on_text_ids(sql):
+    return sql.replace("embeddings", "named")
+
+
 LINKED = f"SELECT a.vec_id AS id1, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COSINE} >= 0.35"
 MEAN_SIM = f"""sims AS (SELECT x.c, avg({COSINE}) AS s FROM comp x JOIN comp y ON x.c = y.c AND x.id < y.id
     JOIN embeddings a ON a.vec_id = x.id JOIN embeddings b ON b.vec_id = y.id GROUP BY 1)"""
@@ -143,25 +164,47 @@ MEAN_SIM = f"""sims AS (SELECT x.c, avg({COSINE}) AS s FROM comp x JOIN comp y O
 @query(
     "i5_similarity_clusters",
     f"""WITH RECURSIVE {chains_sql(LINKED)}, {MEAN_SIM}, kept AS (SELECT id, c FROM comp JOIN sims USING (c) WHERE s >= 0.2)
-    SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN kept ON vec_id = id""",
+    SELECT vec_id, coalesce(number, -1) AS cluster FROM embeddings LEFT JOIN (SELECT id, {NUMBER} FROM kept) ON vec_id = id""",
 )
 def _(t):
     return cl.similarity_clusters(t("embeddings"), "vec_id", "embedding", 0.35, 0.2)
 
 
+def with_text_ids(t):
+    return t("embeddings").withColumn("vec_id", F.concat_ws("_", F.lit("vector"), "vec_id"))
+
+
+TEXT_IDS = "named AS MATERIALIZED (SELECT 'vector_' || vec_id AS vec_id, embedding FROM embeddings)"
+
+
+@query(
+    "i5_similarity_clusters_text_ids",
+    f"""WITH RECURSIVE {TEXT_IDS}, {chains_sql(on_text_ids(LINKED))}, {on_text_ids(MEAN_SIM)}, kept AS (SELECT id, c FROM comp
+    JOIN sims USING (c) WHERE s >= 0.2)
+    SELECT vec_id, coalesce(number, -1) AS cluster FROM named LEFT JOIN (SELECT id, {NUMBER} FROM kept) ON vec_id = id""",
+)
+def _(t):
+    return cl.similarity_clusters(with_text_ids(t), "vec_id", "embedding", 0.35, 0.2)
+
+
 NEAR = """SELECT a.vec_id AS id1, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
     WHERE list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 1.14"""
 DENSE = f"""near AS MATERIALIZED ({NEAR}), core AS (SELECT id1 AS id FROM near GROUP BY 1 HAVING count(*) >= 2),
     {chains_sql("SELECT id1, id2 FROM near WHERE id1 IN (SELECT id FROM core) AND id2 IN (SELECT id FROM core)")},
     big AS (SELECT c FROM comp GROUP BY 1 HAVING count(*) >= 5),
-    dense AS (SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT * FROM comp WHERE c IN (SELECT c FROM big))
-    ON vec_id = id)"""
+    dense AS (SELECT vec_id, coalesce(number, -1) AS cluster FROM embeddings LEFT JOIN
+    (SELECT id, {NUMBER} FROM comp WHERE c IN (SELECT c FROM big)) ON vec_id = id)"""
 
 
 def dense(t):
     return cl.density_clusters(t("embeddings"), "vec_id", "embedding", 1.14, 2, 5)
 
 
+@query("i6_density_clusters_text_ids", f"WITH RECURSIVE {TEXT_IDS}, {on_text_ids(DENSE)} SELECT vec_id, cluster FROM dense")
+def _(t):
+    return cl.density_clusters(with_text_ids(t), "vec_id", "embedding", 1.14, 2, 5)
+
+
 @query("i6_density_clusters", f"WITH RECURSIVE {DENSE} SELECT vec_id, cluster FROM dense")
 def _(t):
     return dense(t)
@@ -275,14 +318,14 @@ def _(t):
 
 @query("i12_cluster_layers_gaps", f"WITH {layers_sql(1)} SELECT CAST(cluster AS INTEGER) AS soft_cluster, layer_0, layer_3 FROM layers")
 def _(t):
-    options = {"start_from": 1, "lexicon": lexicon(t), "lemmas": lemmas(t)}
+    options = {"start_from": 1, "lexicon": lexicon(t), "lemmas": lemmas(t), "fill_gaps": True}
     layers = nm.cluster_layers(named_parts(t), "soft_cluster", "sentence_cleaned", **options)
     return layers.select("soft_cluster", "layer_0", "layer_3")
 
 
 @query("i13_strict_names", f"WITH {layers_sql(6, True)} SELECT CAST(cluster AS INTEGER) AS soft_cluster, layer_0, layer_3 FROM layers")
 def _(t):
-    options = {"start_from": 6, "lexicon": lexicon(t), "lemmas": lemmas(t), "strict": True}
+    options = {"start_from": 6, "lexicon": lexicon(t), "lemmas": lemmas(t), "strict": True, "fill_gaps": True}
     layers = nm.cluster_layers(named_parts(t), "soft_cluster", "sentence_cleaned", **options)
     return layers.select("soft_cluster", "layer_0", "layer_3")
 

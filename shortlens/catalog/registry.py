@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shortlens.operators.aggregates import CHUNK_ROWS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def chunk_sql(key: str, order: str) -> str:
+    """The chunk in which `nest` puts a row."""
+    return f"(row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1) // {CHUNK_ROWS}"
+
+
 class Tables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory

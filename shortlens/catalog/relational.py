@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shortlens.catalog.registry import query
+from shortlens.catalog.registry import chunk_sql, query
 from shortlens.catalog.tables import BAND_SQL, SCORES, scores, size_band
 from shortlens.functions.text import norm_content
 from shortlens.operators import aggregates as agg
@@ -31,7 +31,7 @@ def _(t):
 
 @query(
     "c2_join_on_vector",
-    "SELECT a.vec_id, b.label FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding",
+    "SELECT a.vec_id, b.label FROM embeddings a JOIN (SELECT DISTINCT embedding, label FROM embeddings) b ON a.embedding = b.embedding",
 )
 def _(t):
     left, right = t("embeddings").select("vec_id", "embedding"), t("embeddings").select("embedding", "label")
@@ -110,14 +110,14 @@ def _(t):
 
 
 REPLIES = "SELECT conv_id, turn, length(text) AS reply_chars FROM conversations WHERE role = 'assistant'"
-ASKED = "SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user' AND length(text) > 100"
+ASKED = "SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user'"
 
 
 def replies_and_questions(t):
-    """Answers at their position, and the long questions stored for that position."""
+    """Answers at their position, and the questions stored for that position."""
     talks = t("conversations")
     replies = talks.filter("role = 'assistant'").select("conv_id", "turn", F.length("text").cast("bigint").alias("reply_chars"))
-    asked = talks.filter("role = 'user' AND length(text) > 100").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    asked = talks.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
     return replies, asked
 
 
@@ -144,11 +144,11 @@ def _(t):
 @query(
     "c12_upsert",
     """SELECT coalesce(n.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN b.o_orderstatus
-    ELSE 'retried' END AS status FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') b FULL JOIN
+    ELSE 'retried' END AS status FROM orders b FULL JOIN
     (SELECT * FROM orders WHERE o_orderpriority = '5-LOW') n ON b.o_orderkey = n.o_orderkey""",
 )
 def _(t):
-    base = t("orders").filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    base = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     newer = t("orders").filter("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit("retried").alias("status"))
     return jn.upsert(base, newer, "o_orderkey")
 
@@ -222,13 +222,14 @@ def _(t):
 
 @query(
     "d7_collect_ordered",
-    """SELECT p_type, string_agg(p_name, ',' ORDER BY n DESC, p_name) AS names
-    FROM (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1""",
+    f"""SELECT p_type, chunk, string_agg(p_name, ',' ORDER BY n DESC, p_name) AS names
+    FROM (SELECT *, {chunk_sql("p_type", "n DESC, p_name")} AS chunk FROM
+    (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY 1, 2)) GROUP BY 1, 2""",
 )
 def _(t):
     counts = t("part").groupBy("p_type", "p_name").agg((-F.count("*")).alias("less"))
     listed = agg.collect_ordered(counts, "p_type", "p_name", ["less", "p_name"])
-    return listed.select("p_type", F.array_join("items", ",").alias("names"))
+    return listed.select("p_type", "chunk", F.array_join("items", ",").alias("names"))
 
 
 @query(
@@ -243,14 +244,15 @@ def _(t):
 
 @query(
     "d9_nest",
-    """SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey,
-    l_returnflag) AS items FROM lineitem GROUP BY 1""",
+    f"""SELECT l_orderkey, chunk, string_agg(l_linenumber || ':' || l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey,
+    l_returnflag) AS items FROM (SELECT *, {chunk_sql("l_orderkey", "l_linenumber, l_partkey, l_suppkey, l_returnflag")} AS chunk
+    FROM lineitem) GROUP BY 1, 2""",
 )
 def _(t):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
     nested = agg.nest(t("lineitem"), "l_orderkey", order, ["l_linenumber", "l_returnflag"])
     text = F.transform("items", lambda i: F.concat_ws(":", i["l_linenumber"], i["l_returnflag"]))
-    return nested.select("l_orderkey", F.array_join(text, " ").alias("items"))
+    return nested.select("l_orderkey", "chunk", F.array_join(text, " ").alias("items"))
 
 
 @query(
@@ -503,15 +505,16 @@ def _(t):
 
 @query(
     "g1_supplement",
-    """SELECT i AS doc_id, coalesce(words, 'Unlabelled') AS words FROM
+    f"""SELECT i AS doc_id, coalesce(chunk, 0) AS chunk, coalesce(words, 'Unlabelled') AS words FROM
     (SELECT unnest(generate_series(min(doc_id), max(doc_id))) AS i FROM labels) LEFT JOIN
-    (SELECT doc_id, string_agg(quality || ' ' || toxic, ',' ORDER BY quality, toxic) AS words FROM labels GROUP BY 1) ON i = doc_id""",
+    (SELECT doc_id, chunk, string_agg(quality || ' ' || toxic, ',' ORDER BY quality, toxic) AS words FROM
+    (SELECT *, {chunk_sql("doc_id", "quality, toxic")} AS chunk FROM labels) GROUP BY 1, 2) ON i = doc_id""",
 )
 def _(t):
     marks = t("labels").withColumn("mark", F.concat_ws(" ", "quality", "toxic"))
     listed = agg.collect_ordered(marks, "doc_id", "mark", ["quality", "toxic"], "words")
     full = st.supplement(listed, jn.missing_ids(listed, "doc_id"), "doc_id", "words")
-    return full.select("doc_id", F.array_join("words", ",").alias("words"))
+    return full.select("doc_id", "chunk", F.array_join("words", ",").alias("words"))
 
 
 @query(
@@ -526,12 +529,13 @@ def _(t):
 
 @query(
     "g3_flatten_lists",
-    "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS marks FROM lineitem GROUP BY 1",
+    f"""SELECT l_orderkey, chunk, string_agg(l_returnflag || l_linestatus, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS marks
+    FROM (SELECT *, {chunk_sql("l_orderkey", "l_linenumber, l_partkey, l_suppkey")} AS chunk FROM lineitem) GROUP BY 1, 2""",
 )
 def _(t):
     marks = t("lineitem").withColumn("pair", F.array("l_returnflag", "l_linestatus"))
     listed = agg.collect_ordered(marks, "l_orderkey", "pair", ["l_linenumber", "l_partkey", "l_suppkey"])
-    return listed.select("l_orderkey", F.array_join(st.flatten_lists("items"), "").alias("marks"))
+    return listed.select("l_orderkey", "chunk", F.array_join(st.flatten_lists("items"), "").alias("marks"))
 
 
 @query("g4_distinct_status", "SELECT DISTINCT o_orderstatus FROM orders")

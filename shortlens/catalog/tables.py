@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shortlens import sources as src
-from shortlens.catalog.registry import query
+from shortlens.catalog.registry import chunk_sql, query
 from shortlens.operators import filters as flt
 from shortlens.operators.aggregates import nest
 from shortlens.plans.companies import target_companies
@@ -55,11 +55,11 @@ def _(t):
     return back.withColumn("n", F.length("text").cast("bigint"))
 
 
-@query("a4_append_csv", "SELECT event_id, event_type, props FROM events WHERE event_type IN ('error', 'signup')")
+@query("a4_append_csv", "SELECT event_id, event_type, props FROM events")
 def _(t):
     path, events = scratch_path(t.spark, "append"), t("events").select("event_id", "event_type", "props")
-    src.append_csv(events.filter("event_type = 'error'"), path)
-    src.append_csv(events.filter("event_type = 'signup'"), path)
+    src.append_csv(events.filter("event_type <=> 'error'"), path)
+    src.append_csv(events.filter("not event_type <=> 'error'"), path)
     return src.read_payload_csv(t.spark, path, "event_id bigint, event_type string, props string")
 
 
@@ -85,15 +85,16 @@ def _(t):
 
 @query(
     "a7_save",
-    """SELECT o_custkey, count(*) AS n, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS statuses
-    FROM orders GROUP BY 1""",
+    f"""SELECT o_custkey, chunk, count(*) AS n, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS statuses
+    FROM (SELECT *, {chunk_sql("o_custkey", "o_orderkey")} AS chunk FROM orders) GROUP BY 1, 2""",
 )
 def _(t):
     path = scratch_path(t.spark, "nested")
-    src.save(nest(t("orders"), "o_custkey", "o_orderkey", ["o_orderstatus"], "posts"), path, partition_by="chunk")
+    nested = nest(t("orders"), "o_custkey", "o_orderkey", ["o_orderstatus"], "posts")
+    src.save(nested.withColumn("_folder", F.col("chunk")), path, partition_by="_folder")
     back = t.spark.read.parquet(path)
     statuses = F.array_join(F.transform("posts", lambda p: p["o_orderstatus"]), "")
-    return back.select("o_custkey", F.size("posts").cast("bigint").alias("n"), statuses.alias("statuses"))
+    return back.select("o_custkey", "chunk", F.size("posts").cast("bigint").alias("n"), statuses.alias("statuses"))
 
 
 @query("a8_from_rows", f"SELECT c_custkey, {SEGMENT_SQL} AS field FROM customer")
@@ -195,15 +196,15 @@ def _(t):
 
 @query(
     "b7_rename",
-    """SELECT o_custkey AS company, string_agg(o_orderstatus || ':' || o_orderpriority, ',' ORDER BY o_orderkey) AS posts
-    FROM orders GROUP BY 1""",
+    f"""SELECT o_custkey AS company, chunk, string_agg(o_orderstatus || ':' || o_orderpriority, ',' ORDER BY o_orderkey) AS posts
+    FROM (SELECT *, {chunk_sql("o_custkey", "o_orderkey")} AS chunk FROM orders) GROUP BY 1, 2""",
 )
 def _(t):
     nested = nest(t("orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"], "posts")
     named = {"o_orderstatus": "status", "o_orderpriority": "priority"}
     renamed = flt.rename(nested, {"o_custkey": "company"}).withColumn("posts", F.transform("posts", lambda p: flt.rename_fields(p, named)))
     text = F.array_join(F.transform("posts", lambda p: F.concat_ws(":", p["status"], p["priority"])), ",")
-    return renamed.select("company", text.alias("posts"))
+    return renamed.select("company", "chunk", text.alias("posts"))
 
 
 @query("b8_tag", "SELECT vec_id, label, 'all' AS category FROM embeddings")

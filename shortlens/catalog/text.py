@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shortlens.catalog.registry import query
+from shortlens.catalog.registry import chunk_sql, query
 from shortlens.functions import pages as pg
 from shortlens.functions import records as rec
 from shortlens.functions import text as tx
@@ -15,7 +15,7 @@ from shortlens.functions.fixed_values import (
     STOPWORDS,
     TOPICS,
 )
-from shortlens.operators.aggregates import nest
+from shortlens.operators.aggregates import list_sizes, nest
 from shortlens.plans.postings import posts_table
 
 
@@ -325,23 +325,23 @@ def nested_orders(t):
 
 @query("h30_array_size", "SELECT o_custkey, count(*) AS jobs_number FROM orders GROUP BY 1")
 def _(t):
-    return nested_orders(t).select("o_custkey", F.size("posts").cast("bigint").alias("jobs_number"))
+    return list_sizes(nested_orders(t), "o_custkey", "posts", "jobs_number")
 
 
 @query("h31_unnest", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders")
 def _(t):
-    rows = rec.unnest(nested_orders(t), "o_custkey", "posts")
+    rows = rec.unnest(nested_orders(t), "o_custkey", "posts", chunk="chunk")
     return rows.select("o_custkey", "item.o_orderkey", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query(
     "h32_struct_fields",
-    """SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS statuses, min(o_orderkey) AS first_order
-    FROM orders GROUP BY 1""",
+    f"""SELECT o_custkey, chunk, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS statuses, min(o_orderkey) AS first_order
+    FROM (SELECT *, {chunk_sql("o_custkey", "o_orderkey")} AS chunk FROM orders) GROUP BY 1, 2""",
 )
 def _(t):
     statuses = F.array_join(rec.field_of(F.col("posts"), "o_orderstatus"), "")
-    return nested_orders(t).select("o_custkey", statuses.alias("statuses"), rec.first_of(F.col("posts"))["o_orderkey"].alias("first_order"))
+    return nested_orders(t).select("o_custkey", "chunk", statuses.alias("statuses"), rec.first_of(F.col("posts"))["o_orderkey"].alias("first_order"))
 
 
 @query("h33_with_defaults", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '' AS title FROM events")
@@ -417,9 +417,8 @@ def _(t):
         F.col("o_orderkey").cast("string").alias("job_url"),
     )
     nested = rec.to_jobs_parsed(rows.select("url", "idx", "r.*", "posted", "benefit_badge", "job_url"))
-    flat = nested.select(F.col("url").cast("bigint").alias("url"), F.posexplode("jobs_parsed").alias("pos", "job"))
-    return flat.select(
-        "url",
+    return rec.unnest(nested, "url", "jobs_parsed", into="job", chunk="chunk").select(
+        F.col("url").cast("bigint").alias("url"),
         F.col("job.job_url").cast("bigint").alias("idx"),
         "job.title_and_summary",
         F.col("job.posted").cast("string").alias("posted"),
@@ -454,7 +453,7 @@ def replies_of_orders(t):
 )
 def _(t):
     table = posts_table(*replies_of_orders(t))[0]
-    flat = table.select("url", F.posexplode("jobs_parsed").alias("pos", "job"))
+    flat = rec.unnest(table, "url", "jobs_parsed", into="job", chunk="chunk")
     fields = ["job.title_and_summary", "job.title", F.col("job.posted").cast("string").alias("posted"), "job.benefit_badge"]
     return flat.select("url", F.col("pos").cast("bigint").alias("pos"), *fields)
 
@@ -466,3 +465,12 @@ def _(t):
 )
 def _(t):
     return posts_table(*replies_of_orders(t))[1].select("url", "idx")
+
+
+@query(
+    "posts_table_failures",
+    """SELECT CAST(o_custkey AS VARCHAR) AS url, o_orderkey AS idx, 'no answer } {}' AS payload, 'no dictionary' AS reason FROM orders
+    WHERE o_orderpriority = '2-HIGH'""",
+)
+def _(t):
+    return posts_table(*replies_of_orders(t))[3]

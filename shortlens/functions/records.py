@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from shortlens.functions.fixed_values import JUNK_PHRASES, TOPICS
 from shortlens.functions.text import is_junk
 from shortlens.functions.vectors import bound_once
-from shortlens.operators.aggregates import nest
+from shortlens.operators.aggregates import chunk_size, nest
 from shortlens.runtime import as_list
 
 JOB_TYPE = """struct<
@@ -63,13 +63,15 @@ def first_object(c: Column, quoted: bool = False) -> Column:
 
 
 def literal_to_json(c: Column) -> Column:
-    """A printed Python value as JSON text; null when it is none. Only literals are read, nothing is executed."""
+    """A printed Python value, or JSON, as JSON text; null when it is neither. Only literals are read, nothing is executed."""
 
     def one(text):
-        try:
-            return json.dumps(ast.literal_eval(text), ensure_ascii=False)
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+        for read in (ast.literal_eval, json.loads):
+            try:
+                return json.dumps(read(text), ensure_ascii=False, allow_nan=False)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                continue
+        return None
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -95,8 +97,14 @@ def criteria_map(names: Column, values: Column) -> Column:
     return F.map_from_entries(bound_once(F.arrays_zip(names.alias("name"), values.alias("value")), last_ones))
 
 
-def unnest(df: DataFrame, key, column: str, position: str = "pos", into: str = "item") -> DataFrame:
-    return df.select(*as_list(key), F.posexplode(column).alias(position, into))
+def unnest(
+    df: DataFrame, key, column: str, position: str = "pos", into: str = "item", chunk: str | None = None, chunk_rows: int | None = None
+) -> DataFrame:
+    """(key…, pos, item). With the `chunk` column of a nested table, positions run on through the chunks of a key."""
+    rows = df.select(*as_list(key), *as_list(chunk or []), F.posexplode(column).alias(position, into))
+    if chunk is None:
+        return rows
+    return rows.withColumn(position, F.col(chunk) * chunk_size(chunk_rows) + F.col(position)).drop(chunk)
 
 
 def field_of(array: Column, field: str) -> Column:
@@ -168,10 +176,15 @@ def violations(df: DataFrame, key, payload: str, topics: Mapping[str, tuple[str,
 
 
 def to_jobs_parsed(df: DataFrame, key: str = "url", order: str = "idx", job_type: str = JOB_TYPE) -> DataFrame:
-    """(url, chunk, jobs_parsed): each company's posts in index order, every post cast to the declared type."""
+    """(url, chunk, jobs_parsed), none of them nullable: each company's posts in index order, cast to the declared type.
+
+    (url, chunk) is the key, see `nest`. Posts without a url are gathered under the empty one.
+    """
     wanted = T.DataType.fromDDL(job_type)
     empty = F.lit(None)
     post = F.struct(*[(F.col(f.name) if f.name in df.columns else empty).try_cast(f.dataType).alias(f.name) for f in wanted])
-    return nest(df.select(key, order, post.alias("_post")), key, order, ["_post"], "jobs_parsed").withColumn(
-        "jobs_parsed", F.transform("jobs_parsed", lambda r: r["_post"])
-    )
+    url = F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)
+    nested = nest(df.select(url, order, post.alias("_post")), key, order, ["_post"], "jobs_parsed")
+    posts = F.transform("jobs_parsed", lambda r: r["_post"])
+    chunk = F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk")
+    return nested.select(F.coalesce(key, F.lit("")).alias(key), chunk, F.coalesce(posts, F.array()).alias("jobs_parsed"))

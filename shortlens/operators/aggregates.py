@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortlens.operators.ranking import with_position
-from shortlens.runtime import as_list, largest_group
+from shortlens.runtime import as_list, settle
 
-# A nested row holds at most this many items; a larger group becomes several rows numbered by `chunk`.
+# A nested row holds at most this many items; the next ones are the key's next row, numbered by `chunk`.
 CHUNK_ROWS = 10_000
 
 
@@ -55,33 +55,39 @@ def extent(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("lowest"), F.max(column).alias("highest"))
 
 
-def nest(df: DataFrame, key, order, columns: Sequence[str], into: str = "items", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(key, chunk, items): the rows of each key as one ordered list of structs.
+def chunk_size(chunk_rows: int | None = None) -> int:
+    return chunk_rows or CHUNK_ROWS
 
-    Groups beyond `chunk_rows` continue in further rows (chunk 1, 2, …), each in order and none dropped; their positions
-    are worked out over many tasks.
+
+def nest(df: DataFrame, key, order, columns: Sequence[str], into: str = "items", chunk_rows: int | None = None) -> DataFrame:
+    """(key…, chunk, items): the rows of each key as ordered lists of structs.
+
+    `chunk` is part of the result's key at every group size: chunk c holds the rows at the places c * `chunk_rows` and
+    following, so a row's place in its group is chunk * chunk_rows + its place in the list, and sizes add up over chunks.
+    Nothing is dropped. The input is computed once; a hot key is numbered over many tasks.
     """
     keys, order = as_list(key), as_list(order)
-    if largest_group(df, keys) <= chunk_rows:
-        numbered = df.withColumn("chunk", F.lit(0).cast("bigint"))
-    else:
-        numbered = with_position(df, keys, order, "_position", chunk_rows)
-        numbered = numbered.withColumn("chunk", F.floor((F.col("_position") - 1) / chunk_rows))
-    sort_by = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    rows = settle(df.select(*dict.fromkeys([*keys, *order, *columns])))
+    numbered = with_position(rows, keys, order, "_position")
+    numbered = numbered.withColumn("chunk", F.floor((F.col("_position") - 1) / chunk_size(chunk_rows)))
     item = F.struct(*[F.col(c) for c in columns]).alias("_item")
-    grouped = numbered.groupBy(*keys, "chunk").agg(F.collect_list(F.struct(*sort_by, item)).alias("_rows"))
+    grouped = numbered.groupBy(*keys, "chunk").agg(F.collect_list(F.struct("_position", item)).alias("_rows"))
     if any("map<" in df.schema[c].dataType.simpleString() for c in columns):
-        # Maps have no order, so only the sort keys are compared, with the place of their row.
-        place = lambda r, i: F.struct(*[r[f"_o{n}"] for n in range(len(order))], i.alias("_at"))
-        sorted_places = F.sort_array(F.transform("_rows", place))
+        # Maps have no order, so only the positions are compared, with the place of their row.
+        sorted_places = F.sort_array(F.transform("_rows", lambda r, i: F.struct(r["_position"], i.alias("_at"))))
         items = F.transform(sorted_places, lambda p: F.get(F.col("_rows"), p["_at"])["_item"])
     else:
         items = F.transform(F.sort_array("_rows"), lambda r: r["_item"])
     return grouped.select(*keys, "chunk", items.alias(into))
 
 
-def collect_ordered(df: DataFrame, key, column: str, order, into: str = "items", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """`nest` of a single column, as a plain array."""
+def list_sizes(nested: DataFrame, key, column: str, into: str = "n") -> DataFrame:
+    """(key…, n): items per key, summed over its chunks."""
+    return nested.groupBy(*as_list(key)).agg(F.sum(F.size(column)).cast("bigint").alias(into))
+
+
+def collect_ordered(df: DataFrame, key, column: str, order, into: str = "items", chunk_rows: int | None = None) -> DataFrame:
+    """(key…, chunk, items): `nest` of a single column, as a plain array."""
     nested = nest(df, key, order, [column], into, chunk_rows)
     return nested.withColumn(into, F.transform(into, lambda r: r[column]))
 

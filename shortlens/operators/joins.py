@@ -13,8 +13,11 @@ def join(df: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
 
 
 def join_on_vector(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """Match on the whole vector value. Prefer an id; this serves tables that carry none."""
-    return df.join(other, column, "inner")
+    """Match on the whole vector value. Prefer an id; this serves tables that carry none.
+
+    Repeated rows of `other` count once, so equal vectors on both sides do not multiply.
+    """
+    return df.join(other.distinct(), column, "inner")
 
 
 def attach(df: DataFrame, labels: DataFrame, key) -> DataFrame:

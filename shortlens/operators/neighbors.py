@@ -22,6 +22,8 @@ from shortlens.runtime import as_list, settle, small_table
 # Rows of one side of a block pair: bounds what a task holds (a matrix of 32 MB) and what it can emit. Larger blocks copy
 # each row to fewer tasks.
 BLOCK = 2048
+# Numbers of near-equal rows held at a time while they are measured again (8 MB a side).
+REMEASURED = 1 << 20
 # Pivots travel with each task, so their number is bounded.
 MAX_PIVOTS = 4096
 
@@ -51,10 +53,14 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of every row of a to every row of b; near-equal rows are measured again by difference."""
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    length = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    square = length - 2 * (a @ b.T)
     out = np.sqrt(np.maximum(square, 0))
-    for i, j in zip(*np.nonzero(square < 1e-9)):
-        out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum())
+    i, j = np.nonzero(square <= 1e-9 * length)
+    step = max(1, REMEASURED // max(1, a.shape[1]))
+    for k in range(0, len(i), step):
+        m, n = i[k : k + step], j[k : k + step]
+        out[m, n] = np.sqrt(((a[m] - b[n]) ** 2).sum(1))
     return out
 
 

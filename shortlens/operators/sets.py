@@ -9,8 +9,14 @@ from shortlens.operators.filters import UNLABELLED
 
 
 def supplement(df: DataFrame, missing: DataFrame, key: str, words: str, default: str = UNLABELLED) -> DataFrame:
-    """Give clusters without words the default word, as an array like the others."""
-    return df.select(key, words).unionByName(missing.select(key, F.array(F.lit(default)).alias(words)))
+    """Give clusters without words the default word, as an array like the others.
+
+    Further columns of `df` (the chunk of a nested table) stay; a new row has 0 in `chunk` and null in the rest.
+    """
+    new = missing.select(key, F.array(F.lit(default)).alias(words))
+    if "chunk" in df.columns:
+        new = new.withColumn("chunk", F.lit(0).cast(df.schema["chunk"].dataType))
+    return df.unionByName(new, allowMissingColumns=True)
 
 
 def symmetrize(pairs: DataFrame, left: str = "id1", right: str = "id2") -> DataFrame:

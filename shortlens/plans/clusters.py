@@ -23,6 +23,7 @@ from shortlens.operators.neighbors import (
     meet,
     nearest_cluster,
 )
+from shortlens.operators.ranking import with_position
 from shortlens.plans.components import components
 from shortlens.runtime import settle
 
@@ -37,15 +38,20 @@ def _to_rows(df: DataFrame, id: str, vec: str, values: DataFrame) -> DataFrame:
 
 
 def _clustered(df: DataFrame, id: str, vec: str, points: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, cluster): copies follow their distinct vector, everything else is noise."""
-    named = points.select("id", "vec").join(found, "id").select("vec", "cluster")
-    return _to_rows(df, id, vec, named).withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    """(id, cluster): clusters numbered from 0 in order of their smallest id, whatever the type of ids.
+
+    Copies follow their distinct vector, everything else is noise.
+    """
+    names = with_position(found.select("first").distinct().withColumn("_all", F.lit(0)), "_all", "first", "number")
+    numbered = found.join(names.select("first", (F.col("number") - 1).alias("cluster")), "first")
+    named = points.select("id", "vec").join(numbered, "id").select("vec", "cluster")
+    return _to_rows(df, id, vec, named).withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("bigint")))
 
 
 def similarity_clusters(
     df: DataFrame, id: str, vec: str, min_sim: float = 0.85, min_mean_sim: float = 0.75, relax: tuple | None = None
 ) -> DataFrame:
-    """(id, cluster): chains of pairs with cosine of at least `min_sim`, named by their smallest id; -1 is noise.
+    """(id, cluster): chains of pairs with cosine of at least `min_sim`, numbered from 0 by their smallest id; -1 is noise.
 
     A chain whose mean pair similarity is below `min_mean_sim` is noise. `relax=(step, floor)` tries the noise again with
     a link threshold lower by `step`, down to `floor`; clusters found earlier stay.
@@ -62,7 +68,7 @@ def similarity_clusters(
         chains = components(links(left, threshold, "cosine"))
         members = left.select("id", "vec").join(chains, "id")
         kept = mean_intra_similarity(members, "component", "vec").filter(F.col("mean_similarity") >= min_mean_sim)
-        clusters = chains.join(kept, "component").select("id", F.col("component").alias("cluster"))
+        clusters = chains.join(kept, "component").select("id", F.col("component").alias("first"))
         found = settle(clusters if found is None else found.unionByName(clusters))
     return _clustered(df, id, vec, points, found)
 
@@ -70,7 +76,7 @@ def similarity_clusters(
 def density_clusters(
     df: DataFrame, id: str, vec: str, eps: float = 0.75, min_samples: int = 2, min_cluster_size: int = 5
 ) -> DataFrame:
-    """(id, cluster): density clusters at one distance cut, without border points; -1 is noise.
+    """(id, cluster): density clusters at one distance cut, without border points, numbered from 0; -1 is noise.
 
     A core point has at least `min_samples` others within `eps`; cores within `eps` of each other join, and groups below
     `min_cluster_size` are noise. One cut replaces the choice of leaves in a cluster tree.
@@ -79,7 +85,7 @@ def density_clusters(
     cores = settle(points.select("id", "vec").join(core_points(points, eps, min_samples), "id"))
     groups = components(links(cores, eps, "euclidean"))
     big = groups.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") >= min_cluster_size)
-    found = groups.join(big, "component").select("id", F.col("component").alias("cluster"))
+    found = settle(groups.join(big, "component").select("id", F.col("component").alias("first")))
     return _clustered(df, id, vec, points, found)
 
 

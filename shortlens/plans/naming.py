@@ -78,18 +78,20 @@ def cluster_layers(
     lexicon: DataFrame | None = None,
     lemmas: DataFrame | None = None,
     strict: bool = False,
+    fill_gaps: bool = False,
 ) -> DataFrame:
     """(cluster, layer_0 …): layer i joins the first `max_ - i` words; clusters without words are Unlabelled.
 
-    With `strict`, a cluster with fewer than `max_ + start_from` words is Unlabelled as well.
+    With `strict`, a cluster with fewer than `max_ + start_from` words is Unlabelled as well. `fill_gaps` adds a row for
+    every id between the smallest and the largest cluster; it is meant for dense integer ids.
     """
     counted = cluster_words(df, cluster, sentence, min_word_len, lexicon, lemmas)
     named = settle(_ranked_words(top_words(counted, cluster, "word", max_, start_from, "n"), cluster))
     if strict:
         named = named.withColumn("words", F.when(F.size("words") >= max_, F.col("words")).otherwise(F.array(F.lit(UNLABELLED))))
-    # Every cluster of the points gets a row; the ids between them that no point has do as well.
-    present = df.select(cluster).distinct()
-    wordless = present.join(named.select(cluster), cluster, "left_anti").unionByName(missing_ids(df, cluster))
+    wordless = df.select(cluster).distinct().join(named.select(cluster), cluster, "left_anti")
+    if fill_gaps:
+        wordless = wordless.unionByName(missing_ids(df, cluster))
     full = supplement(named, wordless, cluster, "words")
     layers = [F.array_join(first_n(F.col("words"), max_ - i), ", ").alias(f"layer_{i}") for i in range(max_ - min_ + 1)]
     return full.select(cluster, *layers)

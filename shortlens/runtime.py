@@ -34,14 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder nobody else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder nobody else uses. The folder of the application goes when its driver ends."""
+    context = spark.sparkContext
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shortlens-{context.applicationId}")
+    files = home.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(home)
+    files.deleteOnExit(home)
+    return f"{home.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once into reliable storage, so a lost executor costs a read and values cannot change between uses."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute `df` once into reliable storage, so a lost executor costs a read and values cannot change between uses.
+
+    Later steps read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: Sequence, schema) -> DataFrame:

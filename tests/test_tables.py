@@ -3,12 +3,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 from shortlens import sources as src
+from shortlens.functions import records as rec
 from shortlens.functions.fixed_values import INDUSTRY_GROUPS
 from shortlens.operators import aggregates as agg
 from shortlens.operators import filters as flt
 from shortlens.operators import joins as jn
 from shortlens.operators import ranking as rk
 from shortlens.operators import sets as st
+from shortlens.plans import naming as nm
 from shortlens.plans.companies import hiring_answers, hiring_by, target_companies
 from shortlens.streaming.resume import append_new
 
@@ -115,6 +117,28 @@ def test_nest_and_unnest_agree_in_chunks(spark):
     assert [i["o"] for i in first["items"]] == [11, 13, 15, 17, 19]
 
 
+def test_chunks_are_part_of_the_key_at_every_size(spark):
+    df = spark.range(25).selectExpr("1 as k", "id as o")
+    nested = agg.nest(df, "k", "o", ["o"], chunk_rows=10)
+    assert rows(nested.select("k", "chunk", F.size("items"))) == [(1, 0, 10), (1, 1, 10), (1, 2, 5)]
+    assert rows(agg.list_sizes(nested, "k", "items")) == [(1, 25)]
+    flat = rec.unnest(nested, "k", "items", chunk="chunk", chunk_rows=10)
+    assert rows(flat.select("pos", "item.o")) == [(i, i) for i in range(25)]
+    empty = agg.nest(df.limit(0), "k", "o", ["o"])
+    assert empty.columns == ["k", "chunk", "items"] and empty.count() == 0
+
+
+def test_equal_vectors_do_not_multiply(spark):
+    df = spark.range(60).selectExpr("id", "array(cast(id div 20 as double), 1D) as v", "id div 20 as label")
+    assert jn.join_on_vector(df.select("id", "v"), df.select("v", "label"), "v").count() == 60
+
+
+def test_names_only_of_present_clusters(spark):
+    df = spark.createDataFrame([(10, "red pen"), (4_000_000, "blue pen"), (7, "")], "cluster int, s string")
+    out = nm.cluster_layers(df, "cluster", "s", 1, 1)
+    assert sorted(r.cluster for r in out.collect()) == [7, 10, 4_000_000]
+
+
 def test_positions_match_window_when_hot(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, null, id % 3) as k", "(id * 7919) % 5000 as o")
     hot = rk.with_position(df, "k", "o", hot_rows=100)

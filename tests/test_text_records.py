@@ -113,14 +113,24 @@ def test_posts_table(spark):
         (0, "u", reply(Job_Responsibilities=["a", "b"], Company_Overview="N.A.")),
         (2, "u", reply(Job_Responsibilities="text", Required_Education=["x"], Salary=3)),
         (1, "u", "no answer"),
+        (3, "u", "{broken: }"),
+        (4, "u", None),
+        (5, "u", 'Here: {"Job Title and Summary": "plain JSON", "Required Education": null, "Job Responsibilities": ["c"]}'),
         (0, "w", reply(Benefits_and_Perks=["gym", "Not specified"])),
     ]
-    raw = [("u", i, f"title {i}", "badge") for i in range(3)]
+    raw = [("u", i, f"title {i}", "badge") for i in (0, 1, 2, 5)]
     parsed = spark.createDataFrame(replies, "idx int, url string, payload string")
     raws = spark.createDataFrame(raw, "url string, idx int, title string, benefit_badge string")
-    table, misses, wrong = posts_table(parsed, raws)
+    table, misses, wrong, failures = posts_table(parsed, raws)
+    assert not any(f.nullable for f in table.schema) and table.columns == ["url", "chunk", "jobs_parsed"]
+    assert sorted((r.idx, r.payload, r.reason) for r in failures.collect()) == [
+        (1, "no answer", "no dictionary"),
+        (3, "{broken: }", "unreadable dictionary"),
+        (4, None, "no reply"),
+    ]
     posts = {r.url: r.jobs_parsed for r in table.collect()}
-    assert [p.title for p in posts["u"]] == ["title 0", "title 2"]
+    assert [p.title for p in posts["u"]] == ["title 0", "title 2", "title 5"]
+    assert posts["u"][2].title_and_summary == "plain JSON" and posts["u"][2].responsibilities == ["c"]
     assert posts["u"][0].responsibilities == ["a", "b"] and posts["u"][0].company_overview == ""
     assert posts["u"][1].responsibilities == [] and posts["u"][1].education == ""
     assert posts["w"][0].benefits == [] and posts["u"][0].benefit_badge == "badge"
@@ -129,6 +139,7 @@ def test_posts_table(spark):
         (2, "Job Responsibilities", "wrong type"),
         (2, "Required Education", "wrong type"),
         (2, "Salary", "unknown topic"),
+        (5, "Required Education", "wrong type"),
     ]
     kept = posts_table(parsed, raws, per_item=True)[0].filter("url = 'w'").first().jobs_parsed
     assert kept[0].benefits == ["gym"]
@@ -160,7 +171,8 @@ def test_pos_filter_keeps_order_and_whole_sentence(spark):
 def test_hierarchical_names_regroup(spark):
     data = [(1, "a a b b c"), (2, "a b c"), (3, "z"), (5, "a b b c")]
     df = spark.createDataFrame(data, "soft_cluster int, sentence_cleaned string")
-    out = {r.soft_cluster: r for r in nm.hierarchical_layers(df, "soft_cluster", "sentence_cleaned", 1, 3, min_word_len=1).collect()}
+    options = {"min_word_len": 1, "fill_gaps": True}
+    out = {r.soft_cluster: r for r in nm.hierarchical_layers(df, "soft_cluster", "sentence_cleaned", 1, 3, **options).collect()}
     assert [out[1][c] for c in nm.layer_names(3, 1)] == ["a, b, c", "a, b", "a"]
     assert out[5].layer_0 == "b, a, c" and out[5].layer_1 == "b, a"
     assert out[3].layer_0 == "Unlabelled" and out[4].layer_2 == "Unlabelled"

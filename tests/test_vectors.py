@@ -98,16 +98,31 @@ def test_density_clusters(spark, cloud):
     near = (dist <= eps) & core[:, None] & core[None, :]
     label = chains(near)
     size = np.bincount(label[core], minlength=len(cloud))
-    expected = [int(label[i]) if core[i] and size[label[i]] >= 5 else -1 for i in range(len(cloud))]
+    first = [int(label[i]) if core[i] and size[label[i]] >= 5 else -1 for i in range(len(cloud))]
+    numbers = {c: n for n, c in enumerate(sorted(set(first) - {-1}))}
+    expected = [numbers.get(c, -1) for c in first]
     found = {r.id: r.cluster for r in cl.density_clusters(table(spark, cloud), "id", "vec", eps, 2, 5).collect()}
     assert [found[i] for i in range(len(cloud))] == expected
+    named = table(spark, cloud).withColumn("id", F.format_string("url_%05d", "id"))
+    found = {r.id: r.cluster for r in cl.density_clusters(named, "id", "vec", eps, 2, 5).collect()}
+    assert [found[f"url_{i:05d}"] for i in range(len(cloud))] == expected
+
+
+def test_near_equal_rows_are_measured_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(40, 5)) * 1e3
+    b = np.concatenate([a[:20] + 1e-7, a[20:]])
+    expected = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    for held in (1, 17, 1 << 20):
+        monkeypatch.setattr(nb, "REMEASURED", held)
+        assert np.allclose(nb.distances(a, b), expected, rtol=1e-6, atol=0)
 
 
 def test_relaxed_similarity_keeps_earlier_clusters(spark):
     x = [[1, 0], [1, 0.05], [0, 1], [0.4, 1]]
     strict = {r.id: r.cluster for r in cl.similarity_clusters(table(spark, x), "id", "vec", 0.99, 0.9).collect()}
     relaxed = {r.id: r.cluster for r in cl.similarity_clusters(table(spark, x), "id", "vec", 0.99, 0.9, (0.04, 0.91)).collect()}
-    assert strict == {0: 0, 1: 0, 2: -1, 3: -1} and relaxed == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert strict == {0: 0, 1: 0, 2: -1, 3: -1} and relaxed == {0: 0, 1: 0, 2: 1, 3: 1}
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
