@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from shortlens.operators.ranking import with_position
 ROLES = ("system", "user", "assistant")
 STATES = [(role, opens) for role in ROLES for opens in (True, False)]
 S = len(STATES)
-# Parts of a transcript combined at a time.
-PART = 128
+# Parts of a transcript combined at a time; 32 tables are 9 kB, so an Arrow batch of rows that hold as many stays small.
+PART = 32
 # Names by which transcripts mark a speaker.
 MARKERS = {
     "system": ("system", "sys", "instructions", "context"),
@@ -164,37 +165,54 @@ def _message_table(model: Model, text, first: bool) -> np.ndarray:
     return table
 
 
+GROUP_TYPE = "conv bigint, pos bigint, n int, tables array<double>, table array<double>"
+BORDER_TYPE = "conv bigint, pos bigint, before int, after int"
+
+
 def _combine(level: DataFrame) -> DataFrame:
-    """Tables of up to `PART` neighbours to one."""
+    """Up to `PART` neighbours to one row: their tables one after another, and the one table over all of them."""
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for flat in group.sort_values("pos")["table"]:
-            table = np.array(flat).reshape(S, S)
-            total = table if total is None else _times(total, table)
-        return pd.DataFrame({"conv": [group["conv"].iloc[0]], "pos": [group["pos"].iloc[0] // PART], "table": [total.ravel()]})
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tables = [np.asarray(flat).reshape(-1, S, S) for flat in batch["tables"]]
+            yield batch.assign(table=[reduce(_times, group).ravel() for group in tables])
 
-    keyed = level.withColumn("_part", F.floor(F.col("pos") / PART))
-    return keyed.groupBy("conv", "_part").applyInPandas(join, "conv bigint, pos bigint, table array<double>")
+    parts = level.groupBy("conv", F.floor(F.col("pos") / PART).alias("pos")).agg(F.sort_array(F.collect_list(F.struct("pos", "table"))).alias("_parts"))
+    flat = parts.select("conv", "pos", F.size("_parts").alias("n"), F.flatten(F.col("_parts")["table"]).alias("tables"))
+    return flat.mapInPandas(join, GROUP_TYPE)
 
 
-def _split(level: DataFrame, above: DataFrame) -> DataFrame:
-    """(conv, pos, before, after) of each table, from the states at the borders of the part it is in."""
+def _split(level: DataFrame) -> DataFrame:
+    """(conv, pos, before, after) of each table that a row combines, from the states at the row's borders."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            before, after = [], []
+            for flat, first, last in zip(batch["tables"], batch["before"], batch["after"]):
+                states = _path(list(np.asarray(flat).reshape(-1, S, S)), _only(first), last)
+                before += [first, *states[:-1]]
+                after += states
+            sizes = batch["n"].to_numpy()
+            within = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+            yield pd.DataFrame(
+                {"conv": batch["conv"].repeat(sizes).to_numpy(), "pos": (batch["pos"] * PART).repeat(sizes).to_numpy() + within, "before": before, "after": after}
+            )
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        before, after = group["before"].iloc[0], group["after"].iloc[0]
-        states = _path([np.array(t).reshape(S, S) for t in group["table"]], _only(int(before)), int(after))
-        return pd.DataFrame({"conv": group["conv"], "pos": group["pos"], "before": [int(before), *states[:-1]], "after": states})
+    return level.select("conv", "pos", "n", "tables", "before", "after").mapInPandas(walk, BORDER_TYPE)
 
-    keyed = level.withColumn("_part", F.floor(F.col("pos") / PART)).join(above.withColumnRenamed("pos", "_part"), ["conv", "_part"])
-    return keyed.groupBy("conv", "_part").applyInPandas(walk, "conv bigint, pos bigint, before int, after int")
+
+def _ends(level: DataFrame) -> DataFrame:
+    """Rows that each combine a whole conversation, with the states that its best path begins before and ends in."""
+    last = F.slice("table", 1, S)
+    # Any state leads to the beginning, so the first row of the table has the scores; ties go to the first state.
+    return level.withColumns({"before": F.lit(0), "after": (F.array_position(last, F.array_max(last)) - 1).cast("int")})
 
 
 def decode(messages: DataFrame, model: Model) -> DataFrame:
     """(conv, pos, before, after): the state before and at the end of each message, on the best path of its whole conversation.
 
-    `messages` has conv (bigint), pos (0, 1, ... in each conversation), text.
+    `messages` has conv (bigint), pos (0, 1, ... in each conversation), text. A conversation leaves as soon as one row combines
+    it; only longer ones go on to the next level.
     """
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,21 +220,20 @@ def decode(messages: DataFrame, model: Model) -> DataFrame:
             flat = [_message_table(model, t, p == 0).ravel() for t, p in zip(batch["text"], batch["pos"])]
             yield pd.DataFrame({"conv": batch["conv"], "pos": batch["pos"], "table": flat})
 
-    levels = [store(messages.select("conv", "pos", "text").mapInPandas(tables, "conv bigint, pos bigint, table array<double>"), "chat-tables")]
-    # One level for each factor of PART in the longest conversation.
-    longest = levels[0].agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] + 1
-    while longest > 1:
-        levels.append(store(_combine(levels[-1]), "chat-tables"))
+    longest = messages.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] + 1
+    longer = messages.select("conv", "pos", "text").mapInPandas(tables, "conv bigint, pos bigint, table array<double>")
+    # A first row that is not full has nothing after it.
+    whole = (F.col("pos") == 0) & (F.col("n") < PART)
+    levels = []
+    while longest > 1 or not levels:
+        levels.append(store(_combine(longer), "chat-tables"))
+        longer = levels[-1].filter(~whole)
         longest = -(-longest // PART)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = [int(np.array(t).reshape(S, S)[0].argmax()) for t in batch["table"]]
-            yield pd.DataFrame({"conv": batch["conv"], "pos": batch["pos"], "before": 0, "after": ends})
-
-    borders = levels[-1].mapInPandas(best, "conv bigint, pos bigint, before int, after int")
-    for level in reversed(levels[:-1]):
-        borders = store(_split(level, borders), "chat-borders")
+    borders = store(_split(_ends(levels.pop())), "chat-borders")
+    for level in reversed(levels):
+        met = level.filter(~whole).join(borders, ["conv", "pos"])
+        ended = _ends(level.filter(whole))
+        borders = store(_split(ended).unionByName(_split(met)), "chat-borders")
     return borders
 
 
