@@ -2,8 +2,9 @@
 
 Per cell (language, source) a minimum-covariance-determinant estimate of centre and scatter is found by concentration
 steps: keep the share of rows nearest by Mahalanobis distance, estimate again from those. Every step is one aggregate over
-all rows of all cells, so a cell with a third of the rows is summed map-side like any other. Small cells are pooled: first
-by language, then over everything; a pool that is still small gives no verdict.
+all rows of all cells, so a cell with a third of the rows is summed map-side like any other. Small cells are judged by the
+estimate over all rows of their language, or over all rows of the table where the language is small too; only a table that
+is itself small gives no verdict beside the base rules.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 # Smallest cell that gets an estimate of its own.
 MIN_CELL_ROWS = 200
+# Cell of all rows.
+WHOLE = "*"
 # Up to so many cells their estimates (some hundred bytes each) travel to every task; more are met by a salted join.
 BROADCAST_CELLS = 10_000
 SALTS = 32
@@ -154,13 +157,22 @@ def measured(docs: DataFrame, text: str, lang: str, source: str, into: str) -> D
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """(lang, source, cell): which estimate judges the rows of a language and source."""
+    """(lang, source, cell, into): which estimate judges the rows of a language and source, and into which they are summed.
+
+    A small cell is judged by the nearest that has enough rows: all rows of its language, else all rows of the table. So
+    the rows of a large cell are also summed into its language where that has small cells, and into the whole where it is needed.
+    """
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.col("n") >= MIN_CELL_ROWS
     by_lang = Window.partitionBy("lang")
-    rest = F.sum(F.when(own, 0).otherwise(F.col("n"))).over(by_lang)
-    name = F.when(own, F.to_json(F.struct("lang", "source"))).when(rest >= MIN_CELL_ROWS, F.to_json(F.struct("lang"))).otherwise(F.lit("*"))
-    return sizes.select("lang", "source", name.alias("cell"))
+    sized = sizes.withColumn("own", F.col("n") >= MIN_CELL_ROWS).withColumn("pool", F.sum("n").over(by_lang) >= MIN_CELL_ROWS)
+    sized = sized.withColumn("asked", F.col("pool") & ~F.min("own").over(by_lang))
+    own, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    name = F.when(F.col("own"), own).when(F.col("pool"), lang).otherwise(F.lit(WHOLE))
+    into = F.array_compact(F.array(F.when(F.col("own"), own), F.when(F.col("asked"), lang)))
+    cells = store(sized.select("lang", "source", name.alias("cell"), into.alias("into")), "quality-cells")
+    if cells.filter(F.col("cell") == WHOLE).isEmpty():
+        return cells
+    return cells.withColumn("into", F.array_append("into", F.lit(WHOLE)))
 
 
 D = len(FEATURES)
@@ -260,11 +272,11 @@ def fit(rows: DataFrame) -> DataFrame:
     `rows` has `lang`, `source` and `x0`, `x1`, ... The first core is taken around the medians, scaled by the median
     deviations; each step then keeps the nearest `CORE_SHARE` of a cell.
     """
-    cells = store(_cells(rows), "quality-cells")
+    cells = _cells(rows)
     small = cells.count() <= BROADCAST_CELLS
     placed = store(
         rows.join(F.broadcast(cells) if small else cells, rows["lang"].eqNullSafe(cells["lang"]) & rows["source"].eqNullSafe(cells["source"])).select(
-            "cell", *[f"x{i}" for i in range(D)]
+            F.explode("into").alias("cell"), *[f"x{i}" for i in range(D)]
         ),
         "quality-features",
     )
@@ -282,7 +294,7 @@ def fit(rows: DataFrame) -> DataFrame:
         edge = measured_rows.groupBy("cell").agg(F.percentile_approx("d2", CORE_SHARE, 10_000).alias("edge"))
         core = _meet(measured_rows, edge, small).filter("d2 <= edge")
         estimate = store(_estimates(_moments(core), CORE_SHARE), "quality-estimate")
-    return cells.join(estimate, "cell")
+    return cells.drop("into").join(estimate, "cell")
 
 
 def judge(docs: DataFrame, into: str, estimates: DataFrame) -> DataFrame:

@@ -54,6 +54,26 @@ def test_quality_estimate_finds_outliers_in_each_cell(spark):
     assert abs(quality.chi_square_quantile(0.95, 4) - 9.487729) < 1e-4
 
 
+def test_quality_judges_rare_cells_by_their_language_or_all_rows(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+
+    def prose():
+        return " ".join(rng.choices(vocabulary, k=rng.randint(80, 200))) + "."
+
+    def junk():
+        return " ".join("".join(rng.choices("#*$%&|<>", k=4)) + rng.choice(vocabulary) for _ in range(100))
+
+    cells = [("en", "web")] * 300 + [("de", "web")] * 250 + [("en", "rare")] * 8 + [("en", None)] * 5 + [(None, None)] * 4 + [("fr", "web")] * 6
+    rows = [(k, prose(), *cell) for k, cell in enumerate(cells)]
+    rows += [(1000 + k, junk(), *cell) for k, cell in enumerate([("en", "web"), ("en", "rare"), ("en", None), (None, None), ("fr", "web"), ("it", "x")])]
+    table = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    judged = quality.quality_rules(table).collect()
+    assert len(judged) == len(rows) and not any(r["base_failed"] for r in judged)
+    assert {r["doc_id"] for r in judged if r["kept"]} == set(range(len(cells)))
+    assert quality.keep_good(table).count() == len(cells)
+
+
 def test_quality_keeps_columns_and_takes_empty_tables(odd_documents):
     kept = quality.keep_good(odd_documents)
     assert kept.columns == odd_documents.columns
