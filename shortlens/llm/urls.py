@@ -1,14 +1,18 @@
-"""URL filters: written rules first, then rules mined from labels. DataFrame and ML functions only.
-
-A URL is a handful of tokens: one for each attribute (scheme, host, domain, directory, ...), so an itemset has few items.
-FP-growth counts the combinations over all labelled URLs. A combination becomes a blocking rule when enough URLs have it
-and enough of those are labelled bad. Rules are matched by an inverted index from token to rule: a URL fits a rule when it
-meets it under each of the rule's tokens.
+"""URL filters: written rules first, then rules mined from labels. DataFrame functions only.
+
+A URL is a set of items: scheme, host, every suffix and label of the host, every directory with its depth, the words of
+labels, directories and the file name, extension, query keys, anchor. Combinations of items are counted level by level over
+all labelled URLs. One becomes a blocking rule when enough bad URLs have it and enough of its URLs are bad. Two kinds are
+not extended, which changes no verdict: a rule (what fits more items fits the rule), and a set met by just the URLs of a
+smaller set (an item that the others imply adds nothing). So nested suffixes or the words of one name do not multiply.
+Rules are matched by an inverted index from item to rule: a URL fits a rule when it meets it under each of its items.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +21,10 @@ from shortlens.llm.common import store
 MIN_SUPPORT = 0.002
 MIN_ROWS = 30
 MIN_CONFIDENCE = 0.6
-BAD = "label:bad"
-# Largest rule table that travels to every task. With at most 9 tokens to a URL there are fewer than 2^9 / MIN_SUPPORT rules.
+# Largest rule table that travels to every task.
 BROADCAST_INDEX = 1_000_000
+# Up to so many frequent items are sent to the driver, to take all others out of the URLs; each is in min_support of all.
+DRIVER_ITEMS = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -47,36 +52,79 @@ def written_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def _words(name: Column) -> Column:
+    return F.split(F.lower(name), r"[^\p{L}\p{N}]+")
+
+
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """One token for each attribute that the URL has, as an array without repeats."""
+    """The items of a URL as an array without repeats; a port or a user name belongs to the host only."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     keys = F.array_join(F.array_sort(F.transform(F.split(query, "&"), lambda pair: F.substring_index(pair, "=", 1))), "&")
-    parts = {
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    labels = F.split(name, r"\.")
+    single = {
         "scheme": F.lower(F.substring_index(url, "://", 1)),
         "host": host,
-        "sub": F.when(F.size(F.split(host, r"\.")) > 2, F.substring_index(host, ".", 1)),
-        "domain": F.substring_index(host, ".", -2),
-        "top": F.substring_index(host, ".", -1),
-        "dir": F.regexp_extract(path, "^/([^/]*)/", 1),
+        "sub": F.when(F.size(labels) > 2, labels[0]),
         "ext": F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1),
         "query": keys,
         "anchor": F.when(F.instr(url, "#") > 0, F.lit("yes")),
     }
-    named = [F.when(value != "", F.concat(F.lit(f"{name}:"), value)) for name, value in parts.items()]
-    return F.array_distinct(F.array_compact(F.array(*named)))
+    parts = F.split(path, "/")
+    folders = F.when(F.size(parts) > 2, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    file = F.regexp_replace(F.element_at(parts, -1), r"\.[A-Za-z0-9]+$", "")
+    several = [
+        F.transform(labels, lambda label, i: F.concat(F.lit("suffix:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))),
+        F.transform(labels, lambda label: F.concat(F.lit("label:"), label)),
+        F.transform(_words(name), lambda word: F.concat(F.lit("hostword:"), word)),
+        F.transform(folders, lambda folder, i: F.concat(F.lit("dir"), (i + 1).cast("string"), F.lit(":"), folder)),
+        F.transform(_words(F.concat_ws("/", folders, file)), lambda word: F.concat(F.lit("pathword:"), word)),
+    ]
+    named = [F.when(value != "", F.concat(F.lit(f"{kind}:"), value)) for kind, value in single.items()]
+    listed = F.concat(F.array_compact(F.array(*named)), *several)
+    return F.array_distinct(F.filter(listed, lambda item: ~item.endswith(":")))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, items, support, confidence) from `labelled` (tokens, bad): combinations that tell bad URLs."""
-    n = labelled.count()
-    empty = labelled.sparkSession.createDataFrame([], "rule_id bigint, items array<string>, support bigint, confidence double")
-    if n < min_rows:
-        return empty
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(items)
-    sets = store(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("support"))
-    rules = bad.join(sets, "items").withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
+    """(rule_id, items, support, confidence) from `labelled` (tokens, bad): least combinations that tell bad URLs."""
+    whole = store(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad")), "url-labelled")
+    n = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    need = max(1, math.ceil(max(min_support * n, min_rows) - 1e-9))
+    found = []
+    # Sets that may grow, and for each URL and such set in it the items behind the set's last one: no set comes twice.
+    nothing = F.array().cast("array<string>").alias("items")
+    grown = labelled.sparkSession.range(1).select(nothing, F.lit(n).cast("bigint").alias("freq"))
+    left = whole.select(nothing, F.col("tokens").alias("rest"), "n", "bad")
+    level = 0
+    while True:
+        level += 1
+        longer = left.select("items", "n", "bad", F.posexplode("rest").alias("at", "item"), "rest")
+        longer = longer.select(F.array_append("items", F.col("item")).alias("items"), "n", "bad", F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        counted = longer.groupBy("items").agg(F.sum("n").alias("freq"), F.sum("bad").alias("support")).filter(F.col("support") >= need)
+        counted = store(counted, "url-itemsets")
+        # Each set without one of its items must be one that could grow, and have more URLs.
+        smaller = counted.select(
+            "items", "freq", "support", F.explode(F.transform("items", lambda item, i: F.concat(F.slice("items", F.lit(1), i), F.slice("items", i + 2, F.lit(level))))).alias("part")
+        )
+        parts = grown.select(F.col("items").alias("part"), F.col("freq").alias("part_freq"))
+        own = smaller.join(parts, "part").groupBy("items", "freq", "support").agg(F.count("*").alias("met"), F.min("part_freq").alias("least"))
+        # A single item that all URLs have is no finer than no item at all, but may still be a rule.
+        own = own.filter((F.col("met") == level) & ((F.col("least") > F.col("freq")) | F.lit(level == 1)))
+        own = own.withColumn("rule", F.col("support") / F.col("freq") >= min_confidence)
+        own = store(own, "url-generators")
+        found.append(own.filter("rule").select("items", "support", "freq"))
+        grown = own.filter(~F.col("rule") & (F.col("least") > F.col("freq"))).select("items", "freq")
+        sets = grown.count()
+        if not sets:
+            break
+        kept = grown.select("items")
+        left = longer.join(F.broadcast(kept) if sets <= BROADCAST_INDEX else kept, "items")
+        if level == 1:  # items that are in no open set alone are in none
+            alone = [r["items"][0] for r in kept.collect()] if sets <= DRIVER_ITEMS else None
+            if alone is not None:
+                left = left.withColumn("rest", F.array_intersect("rest", F.lit(alone).cast("array<string>")))
+        left = store(left.filter(F.size("rest") > 0), "url-left")
+    rules = reduce(DataFrame.unionByName, found).withColumn("confidence", F.col("support") / F.col("freq"))
     return store(rules.select(F.monotonically_increasing_id().alias("rule_id"), "items", "support", "confidence"), "url-rules")
 
 

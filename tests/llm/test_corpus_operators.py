@@ -216,6 +216,22 @@ def test_mined_url_rules_equal_counting(spark):
     assert got == {k: any(r <= set(t) for r in rules) for k, t in tokens_of.items()}
 
 
+def test_mined_url_rules_add_up_hosts_words_and_deep_folders(spark):
+    rows = []
+    for k in range(600):
+        rows.append((f"http://{['www', 'm', 'blog'][k % 3]}.good{k % 7}.example.com/en/{k % 5}/x{k}.html", False))
+    for k in range(60):  # twelve hosts of one bad site, twelve sites with a word, five folders below many
+        rows.append((f"http://h{k % 12}.casino-win.example.com/en/{k}", True))
+        rows.append((f"http://a.my-poker{k % 2}-s{k % 12}-pills.example.com/en/{k}", True))
+        rows.append((f"http://www.good{k % 7}.example.com/en/a{k % 5}/warez/y{k}", True))
+    fresh = ["http://new.casino-win.example.com/de/1", "https://x.cheap-pills.example.com/", "http://other.example.net/fr/q/warez/z", "http://new.good1.example.com/en/2/x"]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)] + [(1000 + k, u) for k, u in enumerate(fresh)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(k, bad) for k, (_, bad) in enumerate(rows)], "page_id bigint, bad boolean")
+    got = {r["page_id"]: r["mined"] for r in urls.filter_urls(pages, labels, []).collect()}
+    assert [got[1000 + k] for k in range(len(fresh))] == [True, True, True, False]
+    assert all(got[k] == bad for k, (_, bad) in enumerate(rows))
+
+
 def test_long_chats_are_decoded_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 3)
     rng = np.random.default_rng(6)
