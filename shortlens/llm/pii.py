@@ -36,9 +36,15 @@ PATTERNS = {
 }
 _GUARDS = {"email": "[^@]@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _SPACE = r"\x20\x09-\x0D"
-_IDENTIFIER = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+# A word of digit groups joined by dots, hyphens or brackets, up to a blank, the end or stops before one.
+_GROUPS = rf"[+(]*+[0-9]++(?:[().-]++[0-9]++)*+\)?(?=[\"')\]>.,;:!?]*+(?:[{_SPACE}]|\z))"
+# The longest run of such words joined by single blanks, else a word.
+_IDENTIFIER = rf"(?<![^{_SPACE}])(?:[\"'\[<]*+{_GROUPS}(?:\x20{_GROUPS})++|[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+)"
+# Quotes and brackets in front; a bracket that closes before more digits belongs to the number.
+_LEAD = r"^(?:[\"'\[<]|\((?![^()]*\)[^0-9]*[0-9]))+"
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 _FOUND = "array<struct<start:bigint,end:bigint,left:string,token:string>>"
+_SPACED = rf"[{_SPACE}]"
 
 
 def _digits(match: Column) -> Column:
@@ -103,35 +109,47 @@ def base_spans(df: DataFrame, text: Column, into: str = "_spans") -> DataFrame:
 
 
 def _identifiers(df: DataFrame, text: Column, into: str) -> DataFrame:
-    """Words with a digit or "@" and the word before each."""
+    """Words with a digit or "@" and the word before each; `run` is the run of spaced digit groups that begins there, if any."""
     long_enough = lambda match: F.length(_bare(match)) >= MIN_IDENTIFIER
     df = _with_matches(df, text, into, _IDENTIFIER, "[0-9@]", long_enough)
 
     def describe(s):
         left = F.lower(F.regexp_extract(F.right(s["before"], F.lit(CONTEXT_CHARS)), rf"([^{_SPACE}]+)[{_SPACE}]+$", 1))
-        token = _bare(s["match"])
-        lead = F.length(F.regexp_extract(s["match"], r"^([\"'(\[<]*)", 1))
-        begin = s["start"] + lead
-        return F.struct(begin.alias("start"), (begin + F.length(token)).alias("end"), left.alias("left"), token.alias("token"))
+        whole, first = _bare(s["match"]), F.substring_index(s["match"], " ", 1)
+        token = _bare(first)
+        spaced = whole.rlike(_SPACED) & (F.length(_digits(whole)) >= MIN_IDENTIFIER)
+
+        def begin(match):
+            return s["start"] + F.length(F.regexp_extract(match, _LEAD, 0))
+
+        return F.struct(
+            begin(first).alias("start"),
+            (begin(first) + F.length(token)).alias("end"),
+            left.alias("left"),
+            F.when(F.length(token) >= MIN_IDENTIFIER, token).alias("token"),
+            F.when(spaced, F.struct(begin(s["match"]).alias("start"), (begin(s["match"]) + F.length(whole)).alias("end"), whole.alias("token"))).alias("run"),
+        )
 
-    return df.withColumn(into, F.filter(F.transform(into, describe), lambda s: s["left"] != ""))
+    return df.withColumn(into, F.filter(F.transform(into, describe), lambda s: (s["left"] != "") & (s["token"].isNotNull() | s["run"].isNotNull())))
 
 
 def _bare(match: Column) -> Column:
     """Without quotes, brackets and stops around it."""
-    return F.regexp_replace(F.regexp_replace(match, r"^[\"'(\[<]+", ""), r"[\"')\]>.,;:!?]+$", "")
+    return F.regexp_replace(F.regexp_replace(match, _LEAD, ""), r"[\"')\]>.,;:!?]+$", "")
 
 
 def learn(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(left, token, kind): identifiers outside the fixed forms, each with a good pattern it stands behind.
+    """(left, token, kind, spaced): identifiers outside the fixed forms, each with a good pattern it stands behind.
+
+    Behind a pattern with spaced seeds an identifier is a whole run of digit groups, behind others a word.
 
     `found` has for each row `identifiers`, `seeds` (kind, left, token). All tables here are counts of patterns and
     identifiers; nothing grows with the length of a group, because counts are added up before rows are exchanged.
     """
     seeds = found.select(F.explode("seeds").alias("s")).select("s.*").filter("left <> ''")
-    kinds = seeds.groupBy("left", "kind").agg(F.count_distinct("token").alias("seeds"))
-    patterns = kinds.groupBy("left").agg(F.max(F.struct("seeds", "kind")).alias("most"), F.sum("seeds").alias("seeds"))
-    patterns = store(patterns.filter(F.col("seeds") >= MIN_SEEDS).select("left", F.col("most.kind").alias("kind")), "pii-patterns")
+    kinds = seeds.groupBy("left", "kind").agg(F.count_distinct("token").alias("seeds"), F.max(F.col("token").rlike(_SPACED)).alias("spaced"))
+    patterns = kinds.groupBy("left").agg(F.max(F.struct("seeds", "kind")).alias("most"), F.sum("seeds").alias("seeds"), F.max("spaced").alias("spaced"))
+    patterns = store(patterns.filter(F.col("seeds") >= MIN_SEEDS).select("left", F.col("most.kind").alias("kind"), "spaced"), "pii-patterns")
     small = patterns.count() <= BROADCAST_PATTERNS
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), rf"[{_SPACE}]+")).alias("left"))
     if small:
@@ -139,12 +157,14 @@ def learn(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     else:
         occurrences = words.groupBy("left").agg(F.count("*").alias("total")).join(patterns.select("left"), "left")
     occurrences = store(occurrences, "pii-occurrences")
-    tokens = found.select(F.explode("identifiers").alias("i")).select("i.left", "i.token")
+    tokens = found.select(F.explode("identifiers").alias("i")).select("i.left", "i.token", F.col("i.run.token").alias("run"))
     known = seeds.select("token").distinct().withColumn("seed", F.lit(1.0))
-    edges = tokens.groupBy("left", "token").agg(F.count("*").alias("n")).join(patterns.select("left"), "left")
-    # Seeds with blanks inside, such as phones, are not words; they count for their pattern as they are.
-    spaced = seeds.filter(F.col("token").rlike(rf"[{_SPACE}]")).groupBy("left", "token").agg(F.count("*").alias("n"))
-    edges = edges.unionByName(spaced.join(patterns.select("left"), "left"))
+    edges = tokens.groupBy("left", "token", "run").agg(F.count("*").alias("n")).join(patterns.select("left", "spaced"), "left")
+    shaped = F.when(F.col("spaced"), F.coalesce("run", "token")).otherwise(F.col("token"))
+    edges = edges.select("left", shaped.alias("token"), "n").filter("token is not null").groupBy("left", "token").agg(F.sum("n").alias("n"))
+    # Seeds with blanks inside, such as phones, count for their pattern as they are, once where they are also a run.
+    spaced = seeds.filter(F.col("token").rlike(_SPACED)).groupBy("left", "token").agg(F.count("*").alias("n"))
+    edges = edges.unionByName(spaced.join(patterns.select("left"), "left")).groupBy("left", "token").agg(F.max("n").alias("n"))
     edges = store(edges.join(known, "token", "left").select("left", "token", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")), "pii-edges")
     scores = edges.select("token", F.col("seed").alias("score")).distinct()
     confidence = None
@@ -157,7 +177,7 @@ def learn(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         scores = store(scores, "pii-scores")
     good = confidence.filter(F.col("confidence") >= MIN_CONFIDENCE).join(patterns, "left")
     fresh = edges.filter("seed = 0").join(scores.filter(F.col("score") >= MIN_CONFIDENCE), "token").select("left", "token")
-    return store(fresh.join(good, "left").select("left", "token", "kind"), "pii-learned")
+    return store(fresh.join(good, "left").select("left", "token", "kind", "spaced"), "pii-learned")
 
 
 def _tagged(seeds: str, kind: str) -> Column:
@@ -205,8 +225,11 @@ def _joined(spans: Column) -> Column:
 
 def _added(found: DataFrame, learned: DataFrame) -> DataFrame:
     """(key, added): the learned spans of each text, beside its base spans."""
-    each = found.select("key", "_spans", F.explode("identifiers").alias("i")).select("key", "_spans", "i.*")
-    hit = each.join(learned, ["left", "token"])
+    each = found.select("key", "_spans", F.explode("identifiers").alias("i"))
+    word = F.struct(F.col("i.start").alias("start"), F.col("i.end").alias("end"), F.col("i.token").alias("token"))
+    each = each.select("key", "_spans", "i.left", F.col("i.run").isNotNull().alias("has_run"), F.posexplode(F.array(word, F.col("i.run"))).alias("form", "at"))
+    hit = each.select("key", "_spans", "left", "has_run", (F.col("form") == 1).alias("is_run"), "at.*").join(learned, ["left", "token"])
+    hit = hit.filter(F.col("is_run") == (F.col("spaced") & F.col("has_run")))
     for kind in KINDS:
         hit = hit.filter(~F.exists(F.col("_spans")[kind], lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
     own = [F.collect_set(F.when(F.col("kind") == k, F.struct("start", "end"))).alias(k) for k in KINDS]

@@ -136,6 +136,21 @@ def test_pii_learns_identifiers_from_context(spark):
     assert pii.find_pii(table.limit(0)).count() == 0
 
 
+def test_pii_learns_spaced_numbers(spark):
+    rows = [(i, f"some words here and phone-no: +49 30 12345{i:02d} more words then") for i in range(20)]
+    numbers = ["0151 778 8990", "01517 788990", "(0151) 778-89 90", "0151.778 8990", "01517788991"]
+    rows += [(100 + k, f"other words and phone-no: {n}, behind it 12 of 34 567890 all") for k, n in enumerate(numbers)]
+    rows += [(i + 200, f"at host 10.0.0.{i} here") for i in range(20)] + [(300, "at host 172900 12 here"), (301, "phone-no: 12 3 things")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.span_strings(pii.find_pii(table)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_pii(table).collect()}
+    for k, n in enumerate(numbers):
+        assert found[100 + k] == f"phone:26:{26 + len(n)}"
+        assert masked[100 + k] == "other words and phone-no: [PHONE], behind it 12 of 34 567890 all"
+    assert masked[300] == "at host [IP] 12 here" and found[301] == ""
+    assert masked[3] == "some words here and phone-no: [PHONE] more words then"
+
+
 def plain_edits(item, words):
     """Least edits between the item and any stretch of the words."""
     row = [0] * (len(words) + 1)
