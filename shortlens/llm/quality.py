@@ -166,7 +166,10 @@ def _cells(rows: DataFrame) -> DataFrame:
     by_lang = Window.partitionBy("lang")
     sized = sizes.withColumn("own", F.col("n") >= MIN_CELL_ROWS).withColumn("pool", F.sum("n").over(by_lang) >= MIN_CELL_ROWS)
     sized = sized.withColumn("asked", F.col("pool") & ~F.min("own").over(by_lang))
-    own, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    # Named with their kind and with nulls: a null source of its own is not the whole language.
+    named = {"ignoreNullFields": "false"}
+    own = F.to_json(F.struct(F.lit("own").alias("kind"), "lang", "source"), named)
+    lang = F.to_json(F.struct(F.lit("lang").alias("kind"), "lang"), named)
     name = F.when(F.col("own"), own).when(F.col("pool"), lang).otherwise(F.lit(WHOLE))
     into = F.array_compact(F.array(F.when(F.col("own"), own), F.when(F.col("asked"), lang)))
     cells = store(sized.select("lang", "source", name.alias("cell"), into.alias("into")), "quality-cells")

@@ -74,6 +74,18 @@ def test_quality_judges_rare_cells_by_their_language_or_all_rows(spark):
     assert quality.keep_good(table).count() == len(cells)
 
 
+def test_quality_cells_of_null_sources_are_their_own(spark):
+    rng = np.random.default_rng(7)
+    cells = [("x", None, 0.0)] * 300 + [("x", f"r{i}", 9.0) for i in range(10)] * 30 + [(None, None, 0.0)] * 300 + [(None, "r", 9.0)] * 100
+    rows = [(lang, source, *map(float, rng.normal(centre, 1.0, quality.D))) for lang, source, centre in cells]
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} double" for i in range(quality.D)))
+    fitted = {(r["lang"], r["source"]): r for r in quality.fit(table).collect()}
+    assert len(fitted) == 13 and len({r["cell"] for r in fitted.values()}) == 4
+    for lang in ("x", None):
+        own = fitted[lang, None]
+        assert 220 <= own["n"] <= 230 and np.allclose(own["centre"], 0.0, atol=0.35)
+
+
 def test_quality_keeps_columns_and_takes_empty_tables(odd_documents):
     kept = quality.keep_good(odd_documents)
     assert kept.columns == odd_documents.columns
