@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlens.llm import chat, decontaminate, jaccard, packing, pii, quality, shards, tokens, toxicity, urls
+from shortlens.llm import chat, decontaminate, jaccard, packing, pii, quality, search, shards, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,6 +111,12 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
 SQL["op10_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -134,3 +140,25 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, 1 + coalesce(k.same, 0) AS n_copies
 FROM documents d JOIN classes c ON c.a = d.doc_id LEFT JOIN counts k ON k.a = d.doc_id
 """
+
+TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op11_ranked_search"] = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, {TERMS.format("coalesce(text, '')")} AS ts FROM documents
+), items AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, item_id, list_distinct({TERMS.format("coalesce(text, '')")}) AS ts FROM benchmark
+), totals AS (
+  SELECT count(*) AS N, CAST(sum(len(ts)) AS BIGINT) AS L FROM docs WHERE len(ts) > 0
+), postings AS MATERIALIZED (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM docs) GROUP BY 1, 2
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY 1
+), lengths AS (
+  SELECT d, doc_id, 100 - 90 + (90 * len(ts) * N) // L AS m FROM docs, totals WHERE len(ts) > 0
+), scores AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM (SELECT i, item_id, unnest(ts) AS t FROM items) JOIN weights USING (t) JOIN postings USING (t) JOIN lengths USING (d) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
