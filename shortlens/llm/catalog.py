@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlens.llm import chat, decontaminate, jaccard, packing, pii, quality, search, shards, tokens, toxicity, urls
+from shortlens.llm import chat, compression, decontaminate, jaccard, packing, pii, quality, search, shards, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,6 +117,15 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
 
 
+@query
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document; labels are learned from rows that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = compression.fit(docs, labels.filter(~held_out))
+    return compression.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 SQL["op10_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
