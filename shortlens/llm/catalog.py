@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlens.llm import chat, compression, decontaminate, jaccard, packing, pii, quality, search, shards, tokens, toxicity, urls
+from shortlens.llm import chat, compression, decontaminate, jaccard, packing, phrases, pii, quality, search, shards, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,6 +126,11 @@ def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 SQL["op10_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -171,3 +176,35 @@ WITH docs AS MATERIALIZED (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, ws FROM (
+    SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM (
+      SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents)) WHERE len(ws) > 0
+), totals AS (
+  SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM pieces GROUP BY 1
+), f AS MATERIALIZED (
+  SELECT lang, words, phrase, count(*) AS f FROM (
+    SELECT lang, m AS words, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM pieces, range(1, 6) AS lengths(m) WHERE len(ws) >= m) GROUP BY 1, 2, 3 HAVING count(*) >= 100
+), candidates AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, words, string_split(phrase, ' ') AS ws FROM f WHERE words >= 2
+), inside AS (
+  SELECT lang, unnest(list_transform(range(1, words - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase, a AS longer
+  FROM candidates, range(2, 5) AS lengths(m) WHERE m < words
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY 1, 2) USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM kept, range(1, 5) AS cut(k) WHERE k < words
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM weakest QUALIFY rank <= 2000
+"""
