@@ -66,11 +66,11 @@ class Words(dict):
 
 class HashTrie:
     """Counts of word sequences of one length. Nodes are dicts of word numbers, containers are counters of the words that
-    follow, as bytes. Only the first two words can be levels; a sequence of one word is the container's empty rest."""
+    follow, as bytes. Only the first two words can be levels; the only word of a sequence has its count beside it."""
 
     def __init__(self, length: int, burst: int = BURST, capacity: int = CAPACITY):
         self.length, self.burst, self.capacity = length, burst, capacity
-        self.root: dict[int, Counter | dict] = {}
+        self.root: dict[int, Counter | dict | int] = {}
         self.sizes: Counter = Counter()
         self.entries = 0
 
@@ -78,7 +78,14 @@ class HashTrie:
         """Count the rows of a matrix of word numbers."""
         if not len(rows):
             return
-        rows = rows[np.lexsort((rows[:, min(1, self.length - 1)], rows[:, 0]))]
+        if self.length == 1:
+            words, counts = np.unique(rows, return_counts=True)
+            for word, count in zip(words.tolist(), counts.tolist()):
+                self.root[word] = self.root.get(word, 0) + count
+                self.sizes[word] = 1
+            self.entries = len(self.root)
+            return
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         rests = self._rests(rows, 1)
         deeper = self._rests(rows, 2) if self.length > 2 else None
         for low, high in self._groups(rows[:, 0]):
@@ -104,8 +111,6 @@ class HashTrie:
 
     def _rests(self, rows: np.ndarray, depth: int) -> list[bytes]:
         width = self.length - depth
-        if not width:
-            return [b""] * len(rows)
         return np.ascontiguousarray(rows[:, depth:], np.int32).view(f"V{4 * width}").ravel().tolist()
 
     @staticmethod
@@ -136,6 +141,8 @@ class HashTrie:
         """Remove the subtree of a first word: its phrases in byte order, with counts."""
         node = self.root.pop(word)
         self.entries -= self.sizes.pop(word)
+        if self.length == 1:
+            return [(names[word], node)]
         parts = {(): node} if isinstance(node, Counter) else {(second,): c for second, c in node.items()}
         run = []
         for path, container in parts.items():
@@ -196,16 +203,19 @@ class Counting:
         self.tries: dict[bytes, HashTrie] = {}
         self.totals: Counter = Counter()
         self.verdicts: dict[bytes, list[dict]] = {}
+        self.flags: dict[bytes, np.ndarray] = {}
 
     def count(self, lang: bytes, text: bytes) -> None:
         numbers = self.words.read(text)
         trie = self.tries.setdefault(lang, HashTrie(self.length))
         good = numbers >= 0
         self.totals[lang] += int(good.sum())
-        verdicts = self.verdicts.setdefault(lang, [{} for _ in self.tables])
-        for width, (table, known) in enumerate(zip(self.tables, verdicts), 1):
+        if self.tables:
+            good[good] = self._frequent_words(lang)[numbers[good]]
+        verdicts = self.verdicts.setdefault(lang, [{} for _ in self.tables[1:]])
+        for width, (table, known) in enumerate(zip(self.tables[1:], verdicts), 2):
             # Starts of possible sequences of `width` words, then of those among them that may be frequent.
-            starts = np.flatnonzero(good) if width == 1 else np.flatnonzero(good[:-1] & good[1:])
+            starts = np.flatnonzero(good[:-1] & good[1:])
             windows = self._windows(numbers, starts, width)
             good = np.zeros(len(numbers), bool)
             good[starts] = self._frequent(lang, windows, table, known)
@@ -216,6 +226,14 @@ class Counting:
     def _windows(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         return numbers[starts[:, None] + np.arange(width)[None, :]]
 
+    def _frequent_words(self, lang: bytes) -> np.ndarray:
+        """By word number, whether the word may be frequent in the language; new words are looked up once."""
+        known = self.flags.get(lang, np.zeros(0, bool))
+        new = self.words.names[len(known) :]
+        if new:
+            known = self.flags[lang] = np.append(known, self.tables[0]([lang + b"\n" + word for word in new]))
+        return known
+
     def _frequent(self, lang: bytes, windows: np.ndarray, table: BitTable, known: dict) -> np.ndarray:
         if not len(windows):
             return np.zeros(0, bool)
