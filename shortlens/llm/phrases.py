@@ -5,17 +5,19 @@ container that grows too large bursts: it becomes a node with a container for ea
 largest subtrees leave as sorted runs; runs are merged per prefix of the phrase.
 
 Phrases are counted length by length. A sequence can only be frequent if the two sequences one word shorter inside it are, so
-each length counts only what the length before leaves possible. Which sequences were frequent travels as a bit table of
+each length reads only the stretches of text that the length before leaves possible. Which sequences were frequent travels as a bit table of
 bounded size that may say yes too often, which costs time, and never says no wrongly.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,16 @@ PER_LANGUAGE = 2_000
 COVERED = 100
 UNKNOWN = "und"
 
-# Entries of a container before it bursts, entries of a trie before subtrees leave, words a task numbers before it starts anew.
+# Entries of a container before it bursts, entries of a trie before subtrees leave.
 BURST = 4_096
 CAPACITY = 400_000
+# Words a task numbers before it starts anew (languages times words: a few bytes each), sequences whose verdict it remembers.
 KNOWN_WORDS = 400_000
-# Words of one slice of texts counted at a time.
+KNOWN_LANGUAGES = 8
+KNOWN_PHRASES = 300_000
+# Bytes of texts counted at a time, rows of an Arrow batch of a run.
 SLICE_BYTES = 1 << 20
+RUN_ROWS = 50_000
 # Bits of a table of frequent sequences, for each of them and at most; probes for each.
 BITS_PER_ENTRY = 16
 MOST_BITS = 1 << 27
@@ -63,94 +69,106 @@ class Words(dict):
         numbers = np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
         return numbers[numbers != BLANK]
 
+    def phrases(self, rows: np.ndarray) -> pa.Array:
+        """The words of each row of numbers, joined by blanks."""
+        names = pa.array(self.names, pa.binary())
+        columns = [names.take(pa.array(np.ascontiguousarray(rows[:, k]))) for k in range(rows.shape[1])]
+        return pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if len(columns) > 1 else columns[0]
+
+
+def row_keys(rows: np.ndarray) -> list[bytes]:
+    return np.ascontiguousarray(rows, np.int32).view(f"V{4 * rows.shape[1]}").ravel().tolist()
+
+
+def groups(column: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) of every stretch of equal values."""
+    opens = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+    return zip(opens.tolist(), np.append(opens[1:], len(column)).tolist())
+
 
 class HashTrie:
-    """Counts of word sequences of one length. Nodes are dicts of word numbers, containers are counters of the words that
-    follow, as bytes. Only the first two words can be levels; the only word of a sequence has its count beside it."""
+    """Counts of word sequences of one length, two words or more, of one or more languages.
+
+    The first level is (language, word). Below it is a container, a counter of the words that follow, as bytes; a container
+    that burst is a dict from the second word to smaller containers.
+    """
 
     def __init__(self, length: int, burst: int = BURST, capacity: int = CAPACITY):
         self.length, self.burst, self.capacity = length, burst, capacity
-        self.root: dict[int, Counter | dict | int] = {}
+        self.root: dict[tuple[bytes, int], Counter | dict] = {}
         self.sizes: Counter = Counter()
         self.entries = 0
 
-    def add(self, rows: np.ndarray) -> None:
+    def add(self, lang: bytes, rows: np.ndarray) -> None:
         """Count the rows of a matrix of word numbers."""
         if not len(rows):
             return
-        if self.length == 1:
-            words, counts = np.unique(rows, return_counts=True)
-            for word, count in zip(words.tolist(), counts.tolist()):
-                self.root[word] = self.root.get(word, 0) + count
-                self.sizes[word] = 1
-            self.entries = len(self.root)
-            return
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        rests = self._rests(rows, 1)
-        deeper = self._rests(rows, 2) if self.length > 2 else None
-        for low, high in self._groups(rows[:, 0]):
-            word = int(rows[low, 0])
-            node = self.root.get(word)
+        rests = row_keys(rows[:, 1:])
+        deeper = None
+        for low, high in groups(rows[:, 0]):
+            key = lang, int(rows[low, 0])
+            node = self.root.get(key)
             if node is None:
-                node = self.root[word] = Counter()
+                node = self.root[key] = Counter()
             if isinstance(node, Counter):
                 before = len(node)
                 node.update(rests[low:high])
                 grown = len(node) - before
                 if len(node) > self.burst and self.length > 2:
-                    self.root[word] = self._burst(node)
+                    self.root[key] = self._burst(node)
             else:
                 grown = 0
-                for a, b in self._groups(rows[low:high, 1]):
+                if deeper is None:
+                    deeper = row_keys(rows[:, 2:])
+                for a, b in groups(rows[low:high, 1]):
                     container = node.setdefault(int(rows[low + a, 1]), Counter())
                     before = len(container)
                     container.update(deeper[low + a : low + b])
                     grown += len(container) - before
-            self.sizes[word] += grown
+            self.sizes[key] += grown
             self.entries += grown
 
-    def _rests(self, rows: np.ndarray, depth: int) -> list[bytes]:
-        width = self.length - depth
-        return np.ascontiguousarray(rows[:, depth:], np.int32).view(f"V{4 * width}").ravel().tolist()
-
-    @staticmethod
-    def _groups(column: np.ndarray) -> Iterator[tuple[int, int]]:
-        opens = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-        return zip(opens.tolist(), np.append(opens[1:], len(column)).tolist())
-
     @staticmethod
     def _burst(container: Counter) -> dict[int, Counter]:
         node: dict[int, Counter] = {}
         for rest, count in container.items():
-            node.setdefault(int.from_bytes(rest[:4], "little"), Counter())[rest[4:]] = count
+            node.setdefault(int.from_bytes(rest[:4], sys.byteorder), Counter())[rest[4:]] = count
         return node
 
-    def overflow(self) -> list[int]:
-        """First words of the largest subtrees that must leave to halve a full trie."""
-        if self.entries <= self.capacity:
-            return []
-        leave, left = [], self.entries
-        for word, size in self.sizes.most_common():
-            if left <= self.capacity // 2:
-                break
-            leave.append(word)
-            left -= size
+    def overflow(self) -> dict[bytes, list[int]]:
+        """By language, the first words of the largest subtrees; without them a full trie is half full."""
+        leave: dict[bytes, list[int]] = {}
+        left = self.entries
+        if left > self.capacity:
+            for (lang, word), size in self.sizes.most_common():
+                if left <= self.capacity // 2:
+                    break
+                leave.setdefault(lang, []).append(word)
+                left -= size
         return leave
 
-    def take(self, word: int, names: list[bytes]) -> list[tuple[bytes, int]]:
-        """Remove the subtree of a first word: its phrases in byte order, with counts."""
-        node = self.root.pop(word)
-        self.entries -= self.sizes.pop(word)
-        if self.length == 1:
-            return [(names[word], node)]
-        parts = {(): node} if isinstance(node, Counter) else {(second,): c for second, c in node.items()}
-        run = []
-        for path, container in parts.items():
-            head = [names[word], *(names[w] for w in path)]
-            for rest, count in container.items():
-                run.append((b" ".join(head + [names[w] for w in np.frombuffer(rest, np.int32)]), count))
-        run.sort()
-        return run
+    def everything(self) -> dict[bytes, list[int]]:
+        leave: dict[bytes, list[int]] = {}
+        for lang, word in self.root:
+            leave.setdefault(lang, []).append(word)
+        return leave
+
+    def take(self, lang: bytes, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Remove the subtrees of these first words: rows of word numbers, and counts."""
+        heads, rests, counts = [], [], []
+        for word in words:
+            node = self.root.pop((lang, word))
+            self.entries -= self.sizes.pop((lang, word))
+            parts = [((), node)] if isinstance(node, Counter) else [((second,), c) for second, c in node.items()]
+            for path, container in parts:
+                width = self.length - 1 - len(path)
+                rest = np.frombuffer(b"".join(container), np.int32).reshape(len(container), width)
+                head = np.empty((len(container), 1 + len(path)), np.int32)
+                head[:] = (word, *path)
+                heads.append(np.hstack([head, rest]))
+                counts.append(np.fromiter(container.values(), np.int64, len(container)))
+        return np.concatenate(heads), np.concatenate(counts)
 
 
 class BitTable:
@@ -159,11 +177,12 @@ class BitTable:
     def __init__(self, bits: int, table: np.ndarray):
         self.mask, self.table = bits - 1, table
 
-    def __call__(self, keys: list[bytes]) -> np.ndarray:
+    def __call__(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
         import xxhash
 
-        value = np.fromiter((xxhash.xxh64_intdigest(k, seed=42) for k in keys), np.uint64, len(keys))
-        found = np.ones(len(keys), bool)
+        digest, head = xxhash.xxh64_intdigest, lang + b"\n"
+        value = np.fromiter([digest(head + phrase, 42) for phrase in phrases], np.uint64, len(phrases))
+        found = np.ones(len(phrases), bool)
         step = value >> np.uint64(32)
         for probe in range(PROBES):
             at = (value + np.uint64(probe) * step) & np.uint64(self.mask)
@@ -191,36 +210,31 @@ def bit_table(frequent: DataFrame) -> BitTable | None:
     return BitTable(bits, table)
 
 
-class Counting:
-    """What one task does: read slices of texts of one language, count possible sequences, hand out runs."""
+class Task:
+    """What one task does: read slices of texts of one language and find the sequences that tables leave possible."""
 
-    def __init__(self, length: int, tables: list[BitTable]):
+    def __init__(self, length: int, tables: dict[int, BitTable]):
         self.length, self.tables = length, tables
         self._start()
 
     def _start(self) -> None:
         self.words = Words()
-        self.tries: dict[bytes, HashTrie] = {}
-        self.totals: Counter = Counter()
-        self.verdicts: dict[bytes, list[dict]] = {}
+        self.trie = HashTrie(self.length)
+        self.singles: dict[bytes, np.ndarray] = {}
+        self.verdicts: dict[tuple[bytes, int], dict] = {}
         self.flags: dict[bytes, np.ndarray] = {}
 
-    def count(self, lang: bytes, text: bytes) -> None:
-        numbers = self.words.read(text)
-        trie = self.tries.setdefault(lang, HashTrie(self.length))
+    def starts(self, lang: bytes, numbers: np.ndarray, length: int) -> np.ndarray:
+        """Per word, whether a sequence of `length` words that begins there is possible."""
         good = numbers >= 0
-        self.totals[lang] += int(good.sum())
-        if self.tables:
+        if 1 in self.tables:
             good[good] = self._frequent_words(lang)[numbers[good]]
-        verdicts = self.verdicts.setdefault(lang, [{} for _ in self.tables[1:]])
-        for width, (table, known) in enumerate(zip(self.tables[1:], verdicts), 2):
-            # Starts of possible sequences of `width` words, then of those among them that may be frequent.
-            starts = np.flatnonzero(good[:-1] & good[1:])
-            windows = self._windows(numbers, starts, width)
-            good = np.zeros(len(numbers), bool)
-            good[starts] = self._frequent(lang, windows, table, known)
-        starts = np.flatnonzero(good) if self.length == 1 else np.flatnonzero(good[:-1] & good[1:])
-        trie.add(self._windows(numbers, starts, self.length))
+        for width in range(2, length + 1):
+            good = np.append(good[:-1] & good[1:], False)
+            if width in self.tables:
+                at = np.flatnonzero(good)
+                good[at] = self._frequent(lang, self._windows(numbers, at, width))
+        return good
 
     @staticmethod
     def _windows(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -231,81 +245,314 @@ class Counting:
         known = self.flags.get(lang, np.zeros(0, bool))
         new = self.words.names[len(known) :]
         if new:
-            known = self.flags[lang] = np.append(known, self.tables[0]([lang + b"\n" + word for word in new]))
+            known = self.flags[lang] = np.append(known, self.tables[1](lang, new))
         return known
 
-    def _frequent(self, lang: bytes, windows: np.ndarray, table: BitTable, known: dict) -> np.ndarray:
+    def _frequent(self, lang: bytes, windows: np.ndarray) -> np.ndarray:
         if not len(windows):
             return np.zeros(0, bool)
-        keys = np.ascontiguousarray(windows).view(f"V{4 * windows.shape[1]}").ravel().tolist()
+        width = windows.shape[1]
+        known = self.verdicts.setdefault((lang, width), {})
+        keys = row_keys(windows)
         new = list(set(keys).difference(known))
         if new:
-            names = self.words.names
-            texts = [lang + b"\n" + b" ".join([names[w] for w in np.frombuffer(k, np.int32).tolist()]) for k in new]
-            known.update(zip(new, table(texts).tolist()))
-        answer = np.fromiter(map(known.__getitem__, keys), bool, len(keys))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        return answer
-
-    def runs(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of subtrees that must leave, or of all."""
-        everything = everything or len(self.words.names) > KNOWN_WORDS
-        for lang, trie in self.tries.items():
-            phrases: list[bytes] = []
-            counts: list[int] = []
-            for word in sorted(trie.root, key=self.words.names.__getitem__) if everything else trie.overflow():
-                run = trie.take(word, self.words.names)
-                phrases += [p for p, _ in run]
-                counts += [c for _, c in run]
-                if len(counts) > 50_000:
-                    yield self._batch(lang, phrases, counts)
-                    phrases, counts = [], []
-            if counts:
-                yield self._batch(lang, phrases, counts)
-        if everything:
-            if self.length == 1:
-                for lang, n in self.totals.items():
-                    yield self._batch(lang, [b""], [n])
+            rows = np.frombuffer(b"".join(new), np.int32).reshape(-1, width)
+            known.update(zip(new, self.tables[width](lang, self.words.phrases(rows).to_pylist()).tolist()))
+        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
+
+    def count(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+        """Count the sequences of a slice; runs of subtrees that must leave."""
+        numbers = self.words.read(text)
+        if self.length == 1:
+            counts = np.bincount(numbers[numbers >= 0], minlength=len(self.words.names))
+            before = self.singles.get(lang, np.zeros(0, np.int64))
+            counts[: len(before)] += before
+            self.singles[lang] = counts
+        else:
+            at = np.flatnonzero(self.starts(lang, numbers, self.length))
+            self.trie.add(lang, self._windows(numbers, at, self.length))
+            for one, leave in self.trie.overflow().items():
+                yield from self._run(one, *self.trie.take(one, leave))
+        yield from self._forget()
+
+    def cut(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+        """The stretches of a slice in which every sequence of `length` words is possible and there is more than one."""
+        numbers = self.words.read(text)
+        good = self.starts(lang, numbers, self.length)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+        begins, ends = edges[::2], edges[1::2]
+        long = ends - begins > 1
+        names, parts = self.words.names, []
+        for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
+            parts.append(b" ".join([names[w] for w in numbers[begin : end + self.length - 1].tolist()]))
+        if parts:
+            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b".".join(parts)])], names=["lang", "text"])
+        yield from self._forget()
+
+    def _forget(self) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.verdicts.values())) > KNOWN_PHRASES:
+            self.verdicts = {}
+        if len(self.words.names) * max(1, len(self.singles), len(self.flags)) > KNOWN_WORDS * KNOWN_LANGUAGES or len(self.words.names) > KNOWN_WORDS:
+            yield from self.rest()
             self._start()
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """Runs of all that is left; the empty phrase stands for all words of a language."""
+        for lang, counts in self.singles.items():
+            words = np.flatnonzero(counts).astype(np.int32)
+            yield from self._run(lang, words[:, None], counts[words])
+            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b""]), pa.array([int(counts.sum())], pa.int64())], schema=RUN_SCHEMA)
+        for lang, leave in self.trie.everything().items():
+            yield from self._run(lang, *self.trie.take(lang, leave))
+
+    def _run(self, lang: bytes, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        phrases = self.words.phrases(rows)
+        order = pc.sort_indices(phrases)
+        phrases, counts = _text(phrases.take(order)), pa.array(counts).take(order)
+        for at in range(0, len(counts), RUN_ROWS):
+            part = phrases.slice(at, RUN_ROWS)
+            langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(part), np.int32)))
+            yield pa.RecordBatch.from_arrays([_text(langs), part, counts.slice(at, RUN_ROWS)], schema=RUN_SCHEMA)
+
+
+def _text(values) -> pa.Array:
+    return (values if isinstance(values, pa.Array) else pa.array(values, pa.binary())).cast(pa.string())
+
+
+def by_slices(batches: Iterable[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """`use(lang, text)` on texts of one language at a time, joined by line ends to about `SLICE_BYTES`."""
+    waiting: dict[bytes, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
+            waiting.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= SLICE_BYTES:
+                for one, held in waiting.items():
+                    yield from use(one, b"\n".join(held))
+                waiting, size = {}, 0
+    for one, held in waiting.items():
+        yield from use(one, b"\n".join(held))
+
+
+def count_phrases(texts: DataFrame, length: int, tables: dict[int, BitTable], min_count: int) -> DataFrame:
+    """(lang, phrase, f): sequences of `length` words that occur `min_count` times or more. With length 1, the empty phrase
+    stands for all words of a language."""
+    shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most 16 MB a table
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = Task(length, shared.value)
+        yield from by_slices(batches, task.count)
+        yield from task.rest()
+
+    runs = texts.mapInArrow(run, RUN_TYPE)
+    # Runs meet by a number of their first two words, the longest prefix under which a subtree leaves; the merge needs no further shuffle.
+    runs = runs.withColumn("prefix", F.hash("lang", F.substring_index("phrase", " ", 2))).repartition("prefix")
+    merged = runs.groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
+    return store(merged.filter(F.col("f") >= min_count).select("lang", "phrase", "f"), f"phrases-{length}")
+
+
+def cut_texts(texts: DataFrame, length: int, tables: dict[int, BitTable]) -> DataFrame:
+    """(lang, text): what is left of `texts` for sequences longer than `length` words, stored once."""
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_slices(batches, Task(length, shared.value).cut)
+
+    return store(texts.mapInArrow(run, "lang string, text string"), f"phrase-texts-{length}")
+
+
+def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, f, words): every sequence of 1 to `longest` words inside a piece that occurs `min_count` times or more,
+    and the empty phrase (words 0) with the number of all words of a language that reaches `min_count`."""
+    texts = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found, words = None, {}
+    for length in range(1, longest + 1):
+        level = count_phrases(texts, length, words if length == 2 else {}, min_count)
+        rows = level.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(length))
+        found = rows if found is None else found.unionByName(rows)
+        table = bit_table(level) if length < longest else None
+        if table is None:
+            break
+        if length == 1:
+            words = {1: table}
+        else:
+            texts = cut_texts(texts, length, (words if length == 2 else {}) | {length: table})
+    return found
+
+
+def _key() -> Column:
+    return F.xxhash64(F.concat_ws("\n", "lang", "phrase"))  # the hash that `BitTable` works out for the same bytes
+
+
+def bit_table(frequent: DataFrame) -> BitTable | None:
+    """The table of all rows of `frequent`; None when there are none. At most `MOST_BITS` bits (16 MB) reach the driver."""
+    rows = frequent.count()
+    if not rows:
+        return None
+    bits = min(MOST_BITS, max(1 << 10, 1 << (rows * BITS_PER_ENTRY - 1).bit_length()))
+    step = F.shiftrightunsigned("h", 32)
+    probes = F.array(*[(F.col("h") + F.lit(p) * step).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)])
+    at = frequent.select(_key().alias("h")).select(F.explode(probes).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    found = words.toPandas()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return BitTable(bits, table)
+
+
+class Task:
+    """What one task does: read slices of texts of one language and find the sequences that tables leave possible."""
+
+    def __init__(self, length: int, tables: dict[int, BitTable]):
+        self.length, self.tables = length, tables
+        self._start()
+
+    def _start(self) -> None:
+        self.words = Words()
+        self.trie = HashTrie(self.length)
+        self.singles: dict[bytes, np.ndarray] = {}
+        self.verdicts: dict[tuple[bytes, int], dict] = {}
+        self.flags: dict[bytes, np.ndarray] = {}
+
+    def starts(self, lang: bytes, numbers: np.ndarray, length: int) -> np.ndarray:
+        """Per word, whether a sequence of `length` words that begins there is possible."""
+        good = numbers >= 0
+        if 1 in self.tables:
+            good[good] = self._frequent_words(lang)[numbers[good]]
+        for width in range(2, length + 1):
+            good = np.append(good[:-1] & good[1:], False)
+            if width in self.tables:
+                at = np.flatnonzero(good)
+                good[at] = self._frequent(lang, self._windows(numbers, at, width))
+        return good
+
     @staticmethod
-    def _batch(lang: bytes, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(counts), pa.binary()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays([columns[0].cast(pa.string()), columns[1].cast(pa.string()), columns[2]], schema=RUN_SCHEMA)
+    def _windows(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        return numbers[starts[:, None] + np.arange(width)[None, :]]
 
+    def _frequent_words(self, lang: bytes) -> np.ndarray:
+        """By word number, whether the word may be frequent in the language; new words are looked up once."""
+        known = self.flags.get(lang, np.zeros(0, bool))
+        new = self.words.names[len(known) :]
+        if new:
+            known = self.flags[lang] = np.append(known, self.tables[1](lang, new))
+        return known
 
-def count_phrases(texts: DataFrame, length: int, tables: list[BitTable], min_count: int) -> DataFrame:
+    def _frequent(self, lang: bytes, windows: np.ndarray) -> np.ndarray:
+        if not len(windows):
+            return np.zeros(0, bool)
+        width = windows.shape[1]
+        known = self.verdicts.setdefault((lang, width), {})
+        keys = row_keys(windows)
+        new = list(set(keys).difference(known))
+        if new:
+            rows = np.frombuffer(b"".join(new), np.int32).reshape(-1, width)
+            known.update(zip(new, self.tables[width](lang, self.words.phrases(rows).to_pylist()).tolist()))
+        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
+
+    def count(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+        """Count the sequences of a slice; runs of subtrees that must leave."""
+        numbers = self.words.read(text)
+        if self.length == 1:
+            counts = np.bincount(numbers[numbers >= 0], minlength=len(self.words.names))
+            before = self.singles.get(lang, np.zeros(0, np.int64))
+            counts[: len(before)] += before
+            self.singles[lang] = counts
+        else:
+            at = np.flatnonzero(self.starts(lang, numbers, self.length))
+            self.trie.add(lang, self._windows(numbers, at, self.length))
+            for one, leave in self.trie.overflow().items():
+                yield from self._run(one, *self.trie.take(one, leave))
+        yield from self._forget()
+
+    def cut(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+        """The stretches of a slice in which every sequence of `length` words is possible and there is more than one."""
+        numbers = self.words.read(text)
+        good = self.starts(lang, numbers, self.length)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+        begins, ends = edges[::2], edges[1::2]
+        long = ends - begins > 1
+        names, parts = self.words.names, []
+        for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
+            parts.append(b" ".join([names[w] for w in numbers[begin : end + self.length - 1].tolist()]))
+        if parts:
+            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b".".join(parts)])], names=["lang", "text"])
+        yield from self._forget()
+
+    def _forget(self) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.verdicts.values())) > KNOWN_PHRASES:
+            self.verdicts = {}
+        if len(self.words.names) * max(1, len(self.singles), len(self.flags)) > KNOWN_WORDS * KNOWN_LANGUAGES or len(self.words.names) > KNOWN_WORDS:
+            yield from self.rest()
+            self._start()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """Runs of all that is left; the empty phrase stands for all words of a language."""
+        for lang, counts in self.singles.items():
+            words = np.flatnonzero(counts).astype(np.int32)
+            yield from self._run(lang, words[:, None], counts[words])
+            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b""]), pa.array([int(counts.sum())], pa.int64())], schema=RUN_SCHEMA)
+        for lang, leave in self.trie.everything().items():
+            yield from self._run(lang, *self.trie.take(lang, leave))
+
+    def _run(self, lang: bytes, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        phrases = self.words.phrases(rows)
+        order = pc.sort_indices(phrases)
+        phrases, counts = _text(phrases.take(order)), pa.array(counts).take(order)
+        for at in range(0, len(counts), RUN_ROWS):
+            part = phrases.slice(at, RUN_ROWS)
+            langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(part), np.int32)))
+            yield pa.RecordBatch.from_arrays([_text(langs), part, counts.slice(at, RUN_ROWS)], schema=RUN_SCHEMA)
+
+
+def _text(values) -> pa.Array:
+    return (values if isinstance(values, pa.Array) else pa.array(values, pa.binary())).cast(pa.string())
+
+
+def by_slices(batches: Iterable[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """`use(lang, text)` on texts of one language at a time, joined by line ends to about `SLICE_BYTES`."""
+    waiting: dict[bytes, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
+            waiting.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= SLICE_BYTES:
+                for one, held in waiting.items():
+                    yield from use(one, b"\n".join(held))
+                waiting, size = {}, 0
+    for one, held in waiting.items():
+        yield from use(one, b"\n".join(held))
+
+
+def count_phrases(texts: DataFrame, length: int, tables: dict[int, BitTable], min_count: int) -> DataFrame:
     """(lang, phrase, f): sequences of `length` words that occur `min_count` times or more. With length 1, the empty phrase
     stands for all words of a language."""
-    shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most 16 MB a length
+    shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most 16 MB a table
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = Counting(length, shared.value)
-        for batch in batches:
-            langs, raw = as_bytes(batch.column(0)), as_bytes(batch.column(1))
-            waiting: dict[bytes, list[bytes]] = {}
-            size = 0
-            for lang, text in zip(langs, raw):
-                waiting.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= SLICE_BYTES:
-                    for one, held in waiting.items():
-                        counting.count(one, b"\n".join(held))
-                    waiting, size = {}, 0
-                    yield from counting.runs()
-            for one, held in waiting.items():
-                counting.count(one, b"\n".join(held))
-            yield from counting.runs()
-        yield from counting.runs(everything=True)
+        task = Task(length, shared.value)
+        yield from by_slices(batches, task.count)
+        yield from task.rest()
 
     runs = texts.mapInArrow(run, RUN_TYPE)
-    # Runs meet by the first two words, the prefix under which a subtree leaves; the merge needs no further shuffle.
-    runs = runs.withColumn("prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "prefix")
-    merged = runs.groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
+    # Runs meet by a number of their first two words, the longest prefix under which a subtree leaves; the merge needs no further shuffle.
+    runs = runs.withColumn("prefix", F.hash("lang", F.substring_index("phrase", " ", 2))).repartition("prefix")
+    merged = runs.groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
     return store(merged.filter(F.col("f") >= min_count).select("lang", "phrase", "f"), f"phrases-{length}")
 
 
+def cut_texts(texts: DataFrame, length: int, tables: dict[int, BitTable]) -> DataFrame:
+    """(lang, text): what is left of `texts` for sequences longer than `length` words, stored once."""
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_slices(batches, Task(length, shared.value).cut)
+
+    return store(texts.mapInArrow(run, "lang string, text string"), f"phrase-texts-{length}")
+
+
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, f, words): every sequence of 1 to `longest` words inside a piece that occurs `min_count` times or more,
     and the empty phrase (words 0) with the number of all words of a language that reaches `min_count`."""
