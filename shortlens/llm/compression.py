@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import as_bytes
 from shortlens.llm.toxicity import fit_curve
@@ -73,7 +74,7 @@ def size_difference(text: Column, good: bytes, bad: bytes) -> Column:
     return difference(text)
 
 
-@F.arrow_udf(returnType="array<binary>")
+@F.arrow_udf(returnType=T.ArrayType(T.BinaryType()))
 def _pieces(text: pa.Array) -> pa.Array:
     return pa.array([pieces_of(raw) for raw in as_bytes(text)], pa.list_(pa.binary()))
 

@@ -1,7 +1,7 @@
 """Packing: documents as token ids into sequences of a fixed capacity by multiway differencing (Karmarkar and Karp).
 
-A document is cut into whole sequences and a rest. Rests are dealt into groups of bounded size by a hash of the row. In a
-group every rest starts as a partition of its own into k windows with one window filled; the two partitions that are most
+A document is cut into whole sequences and a rest. A task encodes what it reads and packs rests that follow each other in
+groups of bounded size, so ids never travel. In a group every rest starts as a partition of its own into k windows with one window filled; the two partitions that are most
 uneven are merged, the fullest window of one onto the emptiest of the other, until one partition is left, whose windows
 are nearly equal. If its fullest window exceeds the capacity, k rises by one and the group is done again.
 """
@@ -13,15 +13,14 @@ import itertools
 import re
 import sys
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shortlens.llm.common import as_bytes, process_memory, store
+from shortlens.llm.common import as_bytes, process_memory, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -31,6 +30,9 @@ GROUP_PIECES = 20_000
 # Words a Python process remembers.
 KNOWN_CHUNKS = 100_000
 KNOWN_WORDS = 200_000
+# Bytes of text a task should have, for some groups; ids of one Arrow batch.
+PART_BYTES = 1 << 22
+BATCH_TOKENS = 1 << 20
 # Letters, then marks other than an apostrophe, which may begin a contraction.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -80,7 +82,9 @@ class WordEncoder:
         if marks:
             tail = self.words.get(marks)
             if tail is None:
-                tail = self.words[marks] = self._encode(marks)
+                tail = self._encode(marks)
+                if len(self.words) < KNOWN_WORDS:
+                    self.words[marks] = tail
             ids += tail
         return ids
 
@@ -98,19 +102,6 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
 
-def encoder(path: str, end_id: int):
-    @F.arrow_udf(returnType="array<int>")
-    def ids(text: pa.Array) -> pa.Array:
-        words, parts = WordEncoder(path), []
-        for at in range(0, len(text), 512):
-            lists = [np.append(x, np.int32(end_id)) for x in words.encode(as_bytes(text.slice(at, 512)))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-
-    return ids
-
-
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window, 0 to k - 1, of each piece."""
     n = len(sizes)
@@ -156,72 +147,90 @@ def pack_rests(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += 1
 
 
-PIECE_TYPE = "struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>"
-
-
-def _plan_group(capacity: int):
-    def plan(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values("row", kind="stable")
-        n, group = pieces["n"].to_numpy(np.int64), int(pieces["group"].iloc[0])
-        whole, rest = n // capacity, n % capacity
-        first = np.cumsum(whole) - whole
-        has_rest = np.flatnonzero(rest)
-        window = pack_rests(rest[has_rest], capacity)
-        order = np.lexsort((has_rest, window))
-        ordered = rest[has_rest][order]
-        begin = np.cumsum(ordered) - ordered
-        opens = np.flatnonzero(np.append(True, window[order][1:] != window[order][:-1])) if len(order) else np.zeros(0, int)
-        numbers = np.cumsum(np.isin(np.arange(len(order)), opens)) - 1
-        offset, number = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        if len(order):
-            offset[order] = begin - begin[opens][numbers]
-            number[order] = numbers  # windows that stay empty get no number
-        base, at = group << 32, {int(i): k for k, i in enumerate(has_rest)}
-        rows = []
-        for i in range(len(n)):
-            own = [
-                {"start": w * capacity, "length": capacity, "sequence_id": base + int(first[i]) + w, "offset": 0} for w in range(int(whole[i]))
-            ]
-            if i in at:
-                k = at[i]
-                own.append(
-                    {"start": int(whole[i]) * capacity, "length": int(rest[i]), "sequence_id": base + int(whole.sum() + number[k]), "offset": int(offset[k])}
-                )
-            rows.append(own)
-        return pd.DataFrame({"row": pieces["row"].to_numpy(), "pieces": rows})
-
-    return plan
-
-
-def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, ids, n): ids of the whole text and the end id, stored once; `row` names the row."""
-    table = docs.select(F.col(doc_id).alias("doc_id"), encoder(path, end_id)(F.col(text)).alias("ids"))
-    return store(table.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids", F.size("ids").cast("bigint").alias("n")), "packing-tokens")
-
-
-def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece, each id in exactly one piece.
-
-    Null and empty texts are the end id alone. Repeated rows and null ids are documents of their own. A sequence never
-    exceeds `capacity`; offsets run gapless from 0. An empty table gives an empty result; other columns are not read.
+class Waiting:
+    """Documents a task has encoded and not yet packed: whole sequences leave at once, rests wait for their group."""
+
+    def __init__(self, partition: int, capacity: int):
+        self.capacity, self.next = capacity, partition << 32
+        self.rests: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        self.tokens = 0
+
+    def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
+        """(doc_id, start, ids, doc_tokens, sequence_id, offset) of the whole sequences of a document."""
+        whole = len(ids) // self.capacity * self.capacity
+        for start in range(0, whole, self.capacity):
+            yield doc_id, start, ids[start : start + self.capacity], len(ids), self.next, 0
+            self.next += 1
+        if whole < len(ids):
+            self.rests.append((doc_id, whole, ids[whole:], len(ids)))
+            self.tokens += len(ids) - whole
+
+    def full(self) -> bool:
+        # Twice a group, so that what is left at the end is a whole group too.
+        return self.tokens >= 2 * GROUP_SEQUENCES * self.capacity or len(self.rests) >= 2 * GROUP_PIECES
+
+    def pack(self, everything: bool = False) -> Iterator[tuple]:
+        """Pack the first half of the rests, or all."""
+        group, self.rests = (self.rests, []) if everything else (self.rests[: len(self.rests) // 2], self.rests[len(self.rests) // 2 :])
+        self.tokens = sum(len(r[2]) for r in self.rests)
+        sizes = np.array([len(r[2]) for r in group], np.int64)
+        window = pack_rests(sizes, self.capacity)
+        order = np.argsort(window, kind="stable")
+        last, offset = -1, 0
+        for i in order.tolist():
+            if window[i] != last:  # windows that stay empty get no number
+                self.next, offset, last = self.next + (last >= 0), 0, int(window[i])
+            doc_id, start, ids, doc_tokens = group[i]
+            yield doc_id, start, ids, doc_tokens, self.next, offset
+            offset += len(ids)
+        self.next += last >= 0
+
+
+def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): one row per piece, each id in exactly one piece.
+
+    Null and empty texts are the end id alone. Repeated rows and null ids are documents of their own; very long texts are
+    encoded whole. A sequence never exceeds `capacity`; offsets run gapless from 0. `ids_crc32` is of the ids as unsigned
+    little-endian 32-bit numbers; `with_ids=False` leaves the ids themselves out. An empty table gives an empty result; other
+    columns are not read. A task packs what it reads, so parts that are too small to be packed well are read together.
     """
-    tokens = tokenize(docs, path, doc_id, text, end_id)
-    rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = max(1, round(total / (capacity * GROUP_SEQUENCES)), -(-rows // GROUP_PIECES))
-    sizes = tokens.select("row", "n", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
-    plan = sizes.groupBy("group").applyInPandas(_plan_group(capacity), f"row bigint, pieces array<{PIECE_TYPE}>")
-    joined = tokens.join(plan, "row")
-    cut = F.transform(
-        "pieces",
-        lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), F.slice("ids", (p["start"] + 1).cast("int"), p["length"].cast("int")).alias("ids"), p["sequence_id"].alias("sequence_id"), p["offset"].alias("offset")),
-    )
-    pieces = joined.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(cut).alias("p"))
-    return pieces.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
-
-
-@F.arrow_udf(returnType=T.LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """Of the ids as little-endian unsigned 32-bit numbers."""
-    values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-    return pa.array([zlib.crc32(values[low:high].tobytes()) for low, high in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.int64())
+    from pyspark import TaskContext
+
+    table = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    table = table.coalesce(max(1, size // PART_BYTES))
+    kind = table.schema["doc_id"].dataType
+    schema = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+    def batch(pieces: list[tuple], ids_type: pa.DataType) -> pa.RecordBatch:
+        doc_ids, starts, ids, counts, sequences, offsets = zip(*pieces)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        numbers = [starts, lengths, [zlib.crc32(np.ascontiguousarray(x, "<i4")) for x in ids], counts, sequences, offsets]
+        columns = [pa.array(doc_ids, ids_type), *[pa.array(x, pa.int64()) for x in numbers]]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, waiting, out, held, ids_type = WordEncoder(path), Waiting(TaskContext.get().partitionId(), capacity), [], 0, None
+        for part in slices(batches):
+            ids_type = part.column(0).type
+            for number, ids in zip(part.column(0).to_pylist(), words.encode(as_bytes(part.column(1)))):
+                ready = list(waiting.add(number, np.append(ids, np.int32(end_id))))
+                if waiting.full():
+                    ready += waiting.pack()
+                out += ready
+                held += sum(len(piece[2]) for piece in ready)
+                if held >= BATCH_TOKENS:
+                    yield batch(out, ids_type)
+                    out, held = [], 0
+        out += waiting.pack(everything=True)
+        if out:
+            yield batch(out, ids_type)
+
+    ids = ", ids array<int>" if with_ids else ""
+    pieces = table.mapInArrow(run, f"doc_id {kind.simpleString()}, {schema}{ids}")
+    return pieces.select("doc_id", "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens", "sequence_id", "offset")

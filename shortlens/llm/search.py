@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlens.llm.common import as_bytes, slices, store
 
@@ -50,7 +51,7 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(TO_TERMS).split()
 
 
-@F.arrow_udf(returnType="array<binary>")
+@F.arrow_udf(returnType=T.ArrayType(T.BinaryType()))
 def distinct_terms(text: pa.Array) -> pa.Array:
     return pa.array([sorted(set(terms_of(t))) for t in as_bytes(text)], pa.list_(pa.binary()))
 
