@@ -12,6 +12,7 @@ from shortlens.operators.aggregates import centroids
 from shortlens.operators.joins import attach
 from shortlens.plans import clusters as cl
 from shortlens.plans import embedding as em
+from shortlens.plans import hierarchy as hi
 from shortlens.plans import naming as nm
 from shortlens.plans import quality as ql
 from shortlens.plans.publish import map_points
@@ -210,6 +211,54 @@ def _(t):
     return dense(t)
 
 
+TREE = """WITH RECURSIVE d AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+), core AS (SELECT a, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 2
+), m AS MATERIALIZED (
+  SELECT d.a, d.b, greatest(d.d, x.core, y.core) AS w FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b
+), grow(step, id, w, last, taken) AS (
+  SELECT 0, vec_id, CAST('inf' AS DOUBLE), NULL::BIGINT, NULL::DOUBLE FROM embeddings
+  UNION ALL
+  SELECT step + 1, grow.id, least(grow.w, coalesce(m.w, grow.w)), next.id, next.w
+  FROM grow JOIN (SELECT arg_min(id, (w, id)) AS id, min(w) AS w FROM grow) next ON true LEFT JOIN m ON m.a = next.id AND m.b = grow.id
+  WHERE grow.id <> next.id
+), seen AS MATERIALIZED (
+  SELECT step, last AS id, any_value(taken) AS w FROM grow WHERE last IS NOT NULL GROUP BY 1, 2
+), ranked AS MATERIALIZED (
+  SELECT * FROM seen UNION ALL SELECT max(step) + 1, (SELECT id FROM grow ORDER BY step DESC LIMIT 1), (SELECT w FROM grow ORDER BY step DESC LIMIT 1) FROM seen
+), half AS (
+  SELECT x.id AS a, y.id AS b, max(y.w) OVER (PARTITION BY x.id ORDER BY y.step) AS u FROM ranked x JOIN ranked y ON y.step > x.step
+), u AS MATERIALIZED (
+  SELECT a, b, u FROM half UNION ALL SELECT b, a, u FROM half UNION ALL SELECT vec_id, vec_id, 0 FROM embeddings
+), home AS MATERIALIZED (
+  SELECT a AS id, u AS w FROM u QUALIFY row_number() OVER (PARTITION BY a ORDER BY u) = 5
+), births AS MATERIALIZED (
+  SELECT first AS birth, min(w) AS formed FROM (
+    SELECT h.id, h.w, min(u.b) AS first, min(o.w) AS least FROM home h JOIN u ON u.a = h.id AND u.u <= h.w JOIN home o ON o.id = u.b GROUP BY 1, 2)
+  WHERE least = w GROUP BY 1
+), meets AS MATERIALIZED (
+  SELECT x.birth, u.u AS dist, dense_rank() OVER (PARTITION BY x.birth ORDER BY u.u) AS level
+  FROM births x JOIN births y ON x.birth <> y.birth JOIN u ON u.a = x.birth AND u.b = y.birth
+), ladder AS (
+  SELECT birth, 0 AS level, formed FROM births UNION ALL SELECT DISTINCT birth, level, dist FROM meets
+), nodes AS (
+  SELECT *, lead(formed) OVER (PARTITION BY birth ORDER BY level) AS top, max(level) OVER (PARTITION BY birth) AS last FROM ladder
+), chosen AS (
+  SELECT birth, formed, top FROM nodes WHERE level < last AND (top > 1.14 OR level = last - 1) QUALIFY row_number() OVER (PARTITION BY birth ORDER BY level) = 1
+), rows AS (
+  SELECT DISTINCT u.b AS id, c.formed, min(u.b) OVER (PARTITION BY c.birth) AS first FROM chosen c JOIN u ON u.a = c.birth AND u.u < c.top
+), named AS (SELECT *, dense_rank() OVER (ORDER BY first) - 1 AS number FROM rows)
+SELECT e.vec_id, coalesce(number, -1) AS cluster, round(coalesce(n.formed / greatest(h.w, n.formed), 0), 6) AS probability
+FROM embeddings e LEFT JOIN named n ON n.id = e.vec_id LEFT JOIN home h ON h.id = e.vec_id"""
+
+
+@query("i6_density_tree", TREE)
+def _(t):
+    found = hi.tree_clusters(t("embeddings"), "vec_id", "embedding", 2, 5, "leaf", 1.14)
+    return found.withColumn("probability", r6("probability"))
+
+
 @query(
     "i7_membership",
     f"""WITH RECURSIVE {DENSE}, d AS (SELECT a.vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
