@@ -41,6 +41,26 @@ def _shortest_way_out(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
     return out.drop_duplicates("component")
 
 
+def _joined(ways: DataFrame, schema: str) -> DataFrame:
+    """(component, _new): what components become when they join along `ways`. One task; for at most `STRETCH` components."""
+
+    def run(ways: pd.DataFrame) -> pd.DataFrame:
+        above: dict = {}
+
+        def root(x):
+            while above.setdefault(x, x) != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for a, b in zip(ways["a"], ways["b"]):
+            x, y = root(a), root(b)
+            above[max(x, y)] = min(x, y)
+        return pd.DataFrame({"component": list(above), "_new": [root(x) for x in above]})
+
+    return ways.groupBy(F.lit(0).alias("_all")).applyInPandas(run, schema)
+
+
 def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block: int = BLOCK) -> DataFrame:
     """(a, b, w): edges of a lightest spanning tree of the distinct vectors by mutual reachability.
 
@@ -69,9 +89,9 @@ def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block:
             break
         largest = F.lit(summary[1])
         at_a, at_b = (state.select(F.col("id").alias(e), F.col("component").alias(f"_{e}")) for e in ("a", "b"))
-        edges = settle(edges.join(at_a, "a").join(at_b, "b").filter("_a <> _b").drop("_a", "_b"))
-        known = edges.join(at_a, "a").select(F.col("_a").alias("component"), "w", "a", "b")
-        turned = edges.join(at_b, "b").select(F.col("_b").alias("component"), "w", F.col("b").alias("a"), F.col("a").alias("b"))
+        open_edges = edges.join(at_a, "a").join(at_b, "b").filter("_a <> _b")
+        known = open_edges.select(F.col("_a").alias("component"), "w", "a", "b")
+        turned = open_edges.select(F.col("_b").alias("component"), "w", F.col("b").alias("a"), F.col("a").alias("b"))
         shortest = F.min(F.struct("w", "a", "b")).alias("edge")
         offered = settle(known.unionByName(turned).groupBy("component").agg(shortest).filter(F.col("component") != largest))
         now = placed.join(state, "id")
@@ -85,7 +105,7 @@ def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block:
         chosen = settle(candidates.select(F.least("edge.a", "edge.b").alias("a"), F.greatest("edge.a", "edge.b").alias("b"), "edge.w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
         ways = chosen.join(at_a, "a").join(at_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        joined = components(ways).select(F.col("id").alias("component"), F.col("component").alias("_new"))
+        joined = _joined(ways, f"component {kind}, _new {kind}") if summary[0] <= STRETCH else components(ways).toDF("component", "_new")
         state = settle(state.join(joined, "component", "left").select("id", F.coalesce("_new", "component").alias("component")))
     return tree if tree is not None else edges.limit(0)
 
