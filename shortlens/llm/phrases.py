@@ -381,194 +381,6 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", mi
     return found
 
 
-def _key() -> Column:
-    return F.xxhash64(F.concat_ws("\n", "lang", "phrase"))  # the hash that `BitTable` works out for the same bytes
-
-
-def bit_table(frequent: DataFrame) -> BitTable | None:
-    """The table of all rows of `frequent`; None when there are none. At most `MOST_BITS` bits (16 MB) reach the driver."""
-    rows = frequent.count()
-    if not rows:
-        return None
-    bits = min(MOST_BITS, max(1 << 10, 1 << (rows * BITS_PER_ENTRY - 1).bit_length()))
-    step = F.shiftrightunsigned("h", 32)
-    probes = F.array(*[(F.col("h") + F.lit(p) * step).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)])
-    at = frequent.select(_key().alias("h")).select(F.explode(probes).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
-    found = words.toPandas()
-    table = np.zeros(bits >> 6, np.uint64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return BitTable(bits, table)
-
-
-class Task:
-    """What one task does: read slices of texts of one language and find the sequences that tables leave possible."""
-
-    def __init__(self, length: int, tables: dict[int, BitTable]):
-        self.length, self.tables = length, tables
-        self._start()
-
-    def _start(self) -> None:
-        self.words = Words()
-        self.trie = HashTrie(self.length)
-        self.singles: dict[bytes, np.ndarray] = {}
-        self.verdicts: dict[tuple[bytes, int], dict] = {}
-        self.flags: dict[bytes, np.ndarray] = {}
-
-    def starts(self, lang: bytes, numbers: np.ndarray, length: int) -> np.ndarray:
-        """Per word, whether a sequence of `length` words that begins there is possible."""
-        good = numbers >= 0
-        if 1 in self.tables:
-            good[good] = self._frequent_words(lang)[numbers[good]]
-        for width in range(2, length + 1):
-            good = np.append(good[:-1] & good[1:], False)
-            if width in self.tables:
-                at = np.flatnonzero(good)
-                good[at] = self._frequent(lang, self._windows(numbers, at, width))
-        return good
-
-    @staticmethod
-    def _windows(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-        return numbers[starts[:, None] + np.arange(width)[None, :]]
-
-    def _frequent_words(self, lang: bytes) -> np.ndarray:
-        """By word number, whether the word may be frequent in the language; new words are looked up once."""
-        known = self.flags.get(lang, np.zeros(0, bool))
-        new = self.words.names[len(known) :]
-        if new:
-            known = self.flags[lang] = np.append(known, self.tables[1](lang, new))
-        return known
-
-    def _frequent(self, lang: bytes, windows: np.ndarray) -> np.ndarray:
-        if not len(windows):
-            return np.zeros(0, bool)
-        width = windows.shape[1]
-        known = self.verdicts.setdefault((lang, width), {})
-        keys = row_keys(windows)
-        new = list(set(keys).difference(known))
-        if new:
-            rows = np.frombuffer(b"".join(new), np.int32).reshape(-1, width)
-            known.update(zip(new, self.tables[width](lang, self.words.phrases(rows).to_pylist()).tolist()))
-        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
-
-    def count(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
-        """Count the sequences of a slice; runs of subtrees that must leave."""
-        numbers = self.words.read(text)
-        if self.length == 1:
-            counts = np.bincount(numbers[numbers >= 0], minlength=len(self.words.names))
-            before = self.singles.get(lang, np.zeros(0, np.int64))
-            counts[: len(before)] += before
-            self.singles[lang] = counts
-        else:
-            at = np.flatnonzero(self.starts(lang, numbers, self.length))
-            self.trie.add(lang, self._windows(numbers, at, self.length))
-            for one, leave in self.trie.overflow().items():
-                yield from self._run(one, *self.trie.take(one, leave))
-        yield from self._forget()
-
-    def cut(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
-        """The stretches of a slice in which every sequence of `length` words is possible and there is more than one."""
-        numbers = self.words.read(text)
-        good = self.starts(lang, numbers, self.length)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
-        begins, ends = edges[::2], edges[1::2]
-        long = ends - begins > 1
-        names, parts = self.words.names, []
-        for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
-            parts.append(b" ".join([names[w] for w in numbers[begin : end + self.length - 1].tolist()]))
-        if parts:
-            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b".".join(parts)])], names=["lang", "text"])
-        yield from self._forget()
-
-    def _forget(self) -> Iterator[pa.RecordBatch]:
-        if sum(map(len, self.verdicts.values())) > KNOWN_PHRASES:
-            self.verdicts = {}
-        if len(self.words.names) * max(1, len(self.singles), len(self.flags)) > KNOWN_WORDS * KNOWN_LANGUAGES or len(self.words.names) > KNOWN_WORDS:
-            yield from self.rest()
-            self._start()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        """Runs of all that is left; the empty phrase stands for all words of a language."""
-        for lang, counts in self.singles.items():
-            words = np.flatnonzero(counts).astype(np.int32)
-            yield from self._run(lang, words[:, None], counts[words])
-            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b""]), pa.array([int(counts.sum())], pa.int64())], schema=RUN_SCHEMA)
-        for lang, leave in self.trie.everything().items():
-            yield from self._run(lang, *self.trie.take(lang, leave))
-
-    def _run(self, lang: bytes, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        phrases = self.words.phrases(rows)
-        order = pc.sort_indices(phrases)
-        phrases, counts = _text(phrases.take(order)), pa.array(counts).take(order)
-        for at in range(0, len(counts), RUN_ROWS):
-            part = phrases.slice(at, RUN_ROWS)
-            langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(part), np.int32)))
-            yield pa.RecordBatch.from_arrays([_text(langs), part, counts.slice(at, RUN_ROWS)], schema=RUN_SCHEMA)
-
-
-def _text(values) -> pa.Array:
-    return (values if isinstance(values, pa.Array) else pa.array(values, pa.binary())).cast(pa.string())
-
-
-def by_slices(batches: Iterable[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
-    """`use(lang, text)` on texts of one language at a time, joined by line ends to about `SLICE_BYTES`."""
-    waiting: dict[bytes, list[bytes]] = {}
-    size = 0
-    for batch in batches:
-        for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
-            waiting.setdefault(lang, []).append(text)
-            size += len(text)
-            if size >= SLICE_BYTES:
-                for one, held in waiting.items():
-                    yield from use(one, b"\n".join(held))
-                waiting, size = {}, 0
-    for one, held in waiting.items():
-        yield from use(one, b"\n".join(held))
-
-
-def count_phrases(texts: DataFrame, length: int, tables: dict[int, BitTable], min_count: int) -> DataFrame:
-    """(lang, phrase, f): sequences of `length` words that occur `min_count` times or more. With length 1, the empty phrase
-    stands for all words of a language."""
-    shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most 16 MB a table
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Task(length, shared.value)
-        yield from by_slices(batches, task.count)
-        yield from task.rest()
-
-    runs = texts.mapInArrow(run, RUN_TYPE)
-    # Runs meet by a number of their first two words, the longest prefix under which a subtree leaves; the merge needs no further shuffle.
-    runs = runs.withColumn("prefix", F.hash("lang", F.substring_index("phrase", " ", 2))).repartition("prefix")
-    merged = runs.groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
-    return store(merged.filter(F.col("f") >= min_count).select("lang", "phrase", "f"), f"phrases-{length}")
-
-
-def cut_texts(texts: DataFrame, length: int, tables: dict[int, BitTable]) -> DataFrame:
-    """(lang, text): what is left of `texts` for sequences longer than `length` words, stored once."""
-    shared = texts.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_slices(batches, Task(length, shared.value).cut)
-
-    return store(texts.mapInArrow(run, "lang string, text string"), f"phrase-texts-{length}")
-
-
-def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f, words): every sequence of 1 to `longest` words inside a piece that occurs `min_count` times or more,
-    and the empty phrase (words 0) with the number of all words of a language that reaches `min_count`."""
-    texts = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found, tables = None, []
-    for length in range(1, longest + 1):
-        level = count_phrases(texts, length, tables, min_count)
-        rows = level.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(length))
-        found = rows if found is None else found.unionByName(rows)
-        table = bit_table(level) if length < longest else None
-        if table is None:
-            break
-        tables.append(table)
-    return found
-
-
 def collocations(
     docs: DataFrame,
     lang: str = "lang",
