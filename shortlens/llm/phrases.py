@@ -18,10 +18,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shortlens.llm.common import as_bytes, store
+from shortlens.llm.common import SHINGLE_FACTORS, as_bytes, mix, store
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -33,19 +34,17 @@ UNKNOWN = "und"
 # Entries of a container before it bursts, entries of a trie before subtrees leave.
 BURST = 4_096
 CAPACITY = 400_000
-# Words a task numbers before it starts anew (languages times words: a few bytes each), sequences whose verdict it remembers.
-KNOWN_WORDS = 400_000
-KNOWN_LANGUAGES = 8
-KNOWN_PHRASES = 300_000
-# Bytes of texts counted at a time, rows of an Arrow batch of a run.
+# Words a task numbers before it starts anew; with one word a phrase, words times languages.
+KNOWN_WORDS = 600_000
+# Bytes of texts counted at a time; bytes of all texts for each part in which runs are merged.
 SLICE_BYTES = 1 << 20
-RUN_ROWS = 50_000
+PART_BYTES = 1 << 23
 # Bits of a table of frequent sequences, for each of them and at most; probes for each.
 BITS_PER_ENTRY = 16
 MOST_BITS = 1 << 27
 PROBES = 4
-RUN_TYPE = "lang string, phrase string, f bigint"
-RUN_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+COUNT_TYPE = "lang string, phrase string, f bigint"
+COUNT_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 # Capitals to small letters, tabs to blanks, marks that end a piece to line ends.
 TO_PIECES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -58,6 +57,7 @@ class Words(dict):
     def __init__(self):
         super().__init__({b"\n": BREAK, b"": BLANK})
         self.names: list[bytes] = []
+        self._hashes = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.names)
@@ -69,6 +69,13 @@ class Words(dict):
         numbers = np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
         return numbers[numbers != BLANK]
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, by number."""
+        new = self.names[len(self._hashes) :]
+        if new:
+            self._hashes = np.append(self._hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
+        return self._hashes
+
     def phrases(self, rows: np.ndarray) -> pa.Array:
         """The words of each row of numbers, joined by blanks."""
         names = pa.array(self.names, pa.binary())
@@ -76,6 +83,14 @@ class Words(dict):
         return pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if len(columns) > 1 else columns[0]
 
 
+def sequence_hashes(lang: bytes, columns: list[np.ndarray]) -> np.ndarray:
+    """One hash a sequence, from the hashes of its first, second … words and its language."""
+    total = np.full(len(columns[0]), xxhash.xxh64_intdigest(lang), np.uint64)
+    for factor, column in zip(SHINGLE_FACTORS, columns):
+        total += column * factor
+    return mix(total)
+
+
 def row_keys(rows: np.ndarray) -> list[bytes]:
     return np.ascontiguousarray(rows, np.int32).view(f"V{4 * rows.shape[1]}").ravel().tolist()
 
@@ -172,26 +187,22 @@ class HashTrie:
 
 
 class BitTable:
-    """Membership of (language, sequence) with false alarms and no misses."""
+    """Membership of (language, sequence) by their hashes, with false alarms and no misses."""
 
     def __init__(self, bits: int, table: np.ndarray):
-        self.mask, self.table = bits - 1, table
-
-    def __call__(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        import xxhash
+        self.bits, self.table = bits, table
 
-        digest, head = xxhash.xxh64_intdigest, lang + b"\n"
-        value = np.fromiter([digest(head + phrase, 42) for phrase in phrases], np.uint64, len(phrases))
-        found = np.ones(len(phrases), bool)
-        step = value >> np.uint64(32)
-        for probe in range(PROBES):
-            at = (value + np.uint64(probe) * step) & np.uint64(self.mask)
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for at in probes(hashes, self.bits):
             found &= (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return found
 
 
-def _key() -> Column:
-    return F.xxhash64(F.concat_ws("\n", "lang", "phrase"))  # the hash that `BitTable` works out for the same bytes
+def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    step = hashes >> np.uint64(32)
+    for probe in range(PROBES):
+        yield (hashes + np.uint64(probe) * step) & np.uint64(bits - 1)
 
 
 def bit_table(frequent: DataFrame) -> BitTable | None:
@@ -200,9 +211,16 @@ def bit_table(frequent: DataFrame) -> BitTable | None:
     if not rows:
         return None
     bits = min(MOST_BITS, max(1 << 10, 1 << (rows * BITS_PER_ENTRY - 1).bit_length()))
-    step = F.shiftrightunsigned("h", 32)
-    probes = F.array(*[(F.col("h") + F.lit(p) * step).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)])
-    at = frequent.select(_key().alias("h")).select(F.explode(probes).alias("at"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for lang, phrase in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
+                words = [np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.split(b" ")]
+                places += [int(at[0]) for at in probes(sequence_hashes(lang, words), bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], names=["at"])
+
+    at = frequent.select("lang", "phrase").mapInArrow(run, "at bigint")
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
     found = words.toPandas()
     table = np.zeros(bits >> 6, np.uint64)
@@ -213,53 +231,30 @@ def bit_table(frequent: DataFrame) -> BitTable | None:
 class Task:
     """What one task does: read slices of texts of one language and find the sequences that tables leave possible."""
 
-    def __init__(self, length: int, tables: dict[int, BitTable]):
-        self.length, self.tables = length, tables
+    def __init__(self, length: int, tables: dict[int, BitTable], parts: int = 1):
+        self.length, self.tables, self.parts = length, tables, parts
         self._start()
 
     def _start(self) -> None:
         self.words = Words()
         self.trie = HashTrie(self.length)
         self.singles: dict[bytes, np.ndarray] = {}
-        self.verdicts: dict[tuple[bytes, int], dict] = {}
-        self.flags: dict[bytes, np.ndarray] = {}
 
     def starts(self, lang: bytes, numbers: np.ndarray, length: int) -> np.ndarray:
         """Per word, whether a sequence of `length` words that begins there is possible."""
-        good = numbers >= 0
-        if 1 in self.tables:
-            good[good] = self._frequent_words(lang)[numbers[good]]
-        for width in range(2, length + 1):
-            good = np.append(good[:-1] & good[1:], False)
+        good, hashes = numbers >= 0, self.words.hashes()
+        for width in range(1, length + 1):
+            if width > 1:
+                good = np.append(good[:-1] & good[1:], False)
             if width in self.tables:
                 at = np.flatnonzero(good)
-                good[at] = self._frequent(lang, self._windows(numbers, at, width))
+                good[at] = self.tables[width](sequence_hashes(lang, [hashes[numbers[at + k]] for k in range(width)]))
         return good
 
     @staticmethod
     def _windows(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         return numbers[starts[:, None] + np.arange(width)[None, :]]
 
-    def _frequent_words(self, lang: bytes) -> np.ndarray:
-        """By word number, whether the word may be frequent in the language; new words are looked up once."""
-        known = self.flags.get(lang, np.zeros(0, bool))
-        new = self.words.names[len(known) :]
-        if new:
-            known = self.flags[lang] = np.append(known, self.tables[1](lang, new))
-        return known
-
-    def _frequent(self, lang: bytes, windows: np.ndarray) -> np.ndarray:
-        if not len(windows):
-            return np.zeros(0, bool)
-        width = windows.shape[1]
-        known = self.verdicts.setdefault((lang, width), {})
-        keys = row_keys(windows)
-        new = list(set(keys).difference(known))
-        if new:
-            rows = np.frombuffer(b"".join(new), np.int32).reshape(-1, width)
-            known.update(zip(new, self.tables[width](lang, self.words.phrases(rows).to_pylist()).tolist()))
-        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
-
     def count(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
         """Count the sequences of a slice; runs of subtrees that must leave."""
         numbers = self.words.read(text)
@@ -290,9 +285,7 @@ class Task:
         yield from self._forget()
 
     def _forget(self) -> Iterator[pa.RecordBatch]:
-        if sum(map(len, self.verdicts.values())) > KNOWN_PHRASES:
-            self.verdicts = {}
-        if len(self.words.names) * max(1, len(self.singles), len(self.flags)) > KNOWN_WORDS * KNOWN_LANGUAGES or len(self.words.names) > KNOWN_WORDS:
+        if len(self.words.names) * max(1, len(self.singles)) > KNOWN_WORDS:
             yield from self.rest()
             self._start()
 
@@ -301,24 +294,56 @@ class Task:
         for lang, counts in self.singles.items():
             words = np.flatnonzero(counts).astype(np.int32)
             yield from self._run(lang, words[:, None], counts[words])
-            yield pa.RecordBatch.from_arrays([_text([lang]), _text([b""]), pa.array([int(counts.sum())], pa.int64())], schema=RUN_SCHEMA)
+            yield self._block(0, lang, pa.array([b""], pa.binary()), pa.array([int(counts.sum())], pa.int64()))
         for lang, leave in self.trie.everything().items():
             yield from self._run(lang, *self.trie.take(lang, leave))
 
     def _run(self, lang: bytes, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        phrases = self.words.phrases(rows)
-        order = pc.sort_indices(phrases)
-        phrases, counts = _text(phrases.take(order)), pa.array(counts).take(order)
-        for at in range(0, len(counts), RUN_ROWS):
-            part = phrases.slice(at, RUN_ROWS)
-            langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(part), np.int32)))
-            yield pa.RecordBatch.from_arrays([_text(langs), part, counts.slice(at, RUN_ROWS)], schema=RUN_SCHEMA)
+        """The phrases in order, cut by the part in which their first two words are merged."""
+        if not len(rows):
+            return
+        hashes, phrases = self.words.hashes(), self.words.phrases(rows)
+        heads = sequence_hashes(lang, [hashes[rows[:, k]] for k in range(min(2, self.length))])
+        part = ((heads >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int32)
+        order = pc.sort_indices(phrases).to_numpy()
+        order = order[np.argsort(part[order], kind="stable")]
+        phrases, counts = phrases.take(pa.array(order)), pa.array(counts[order])
+        for low, high in groups(part[order]):
+            yield self._block(int(part[order[low]]), lang, phrases.slice(low, high - low), counts.slice(low, high - low))
+
+    @staticmethod
+    def _block(part: int, lang: bytes, phrases: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+        """One row: a stretch of a sorted run, compressed."""
+        sink = pa.BufferOutputStream()
+        rows = pa.RecordBatch.from_arrays([phrases, counts], names=["phrase", "f"])
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        columns = [pa.array([part], pa.int32()), _text([lang]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "run"])
 
 
 def _text(values) -> pa.Array:
     return (values if isinstance(values, pa.Array) else pa.array(values, pa.binary())).cast(pa.string())
 
 
+def merge_runs(min_count: int):
+    """Add up the runs of one part: the phrases that reach `min_count`."""
+
+    def merge(blocks: pa.Table) -> pa.Table:
+        by_lang: dict[str, list[pa.Table]] = {}
+        for lang, run in zip(blocks.column("lang").to_pylist(), blocks.column("run").to_pylist()):
+            by_lang.setdefault(lang, []).append(pa.ipc.open_stream(run).read_all())
+        out = []
+        for lang, runs in by_lang.items():
+            merged = pa.concat_tables(runs).group_by("phrase").aggregate([("f", "sum")])
+            merged = merged.filter(pc.greater_equal(merged.column("f_sum"), min_count))
+            langs = pa.array([lang] * len(merged), pa.string())
+            out.append(pa.table([langs, merged.column("phrase").cast(pa.string()), merged.column("f_sum").cast(pa.int64())], schema=COUNT_SCHEMA))
+        return pa.concat_tables(out)
+
+    return merge
+
+
 def by_slices(batches: Iterable[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
     """`use(lang, text)` on texts of one language at a time, joined by line ends to about `SLICE_BYTES`."""
     waiting: dict[bytes, list[bytes]] = {}
@@ -339,17 +364,17 @@ def count_phrases(texts: DataFrame, length: int, tables: dict[int, BitTable], mi
     """(lang, phrase, f): sequences of `length` words that occur `min_count` times or more. With length 1, the empty phrase
     stands for all words of a language."""
     shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most 16 MB a table
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PART_BYTES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Task(length, shared.value)
+        task = Task(length, shared.value, parts)
         yield from by_slices(batches, task.count)
         yield from task.rest()
 
-    runs = texts.mapInArrow(run, RUN_TYPE)
-    # Runs meet by a number of their first two words, the longest prefix under which a subtree leaves; the merge needs no further shuffle.
-    runs = runs.withColumn("prefix", F.hash("lang", F.substring_index("phrase", " ", 2))).repartition("prefix")
-    merged = runs.groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
-    return store(merged.filter(F.col("f") >= min_count).select("lang", "phrase", "f"), f"phrases-{length}")
+    # Runs meet by their first two words, the longest prefix under which a subtree leaves.
+    runs = texts.mapInArrow(run, "part int, lang string, run binary")
+    return store(runs.groupBy("part").applyInArrow(merge_runs(min_count), COUNT_TYPE), f"phrases-{length}")
 
 
 def cut_texts(texts: DataFrame, length: int, tables: dict[int, BitTable]) -> DataFrame:

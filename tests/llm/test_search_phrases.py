@@ -137,7 +137,7 @@ def plain_collocations(docs, least, longest=5, top=2_000, covered=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"BURST": 4, "CAPACITY": 60, "KNOWN_WORDS": 300, "KNOWN_PHRASES": 50, "SLICE_BYTES": 2_000, "RUN_ROWS": 7}])
+@pytest.mark.parametrize("options", [{}, {"BURST": 4, "CAPACITY": 60, "KNOWN_WORDS": 300, "SLICE_BYTES": 2_000, "PART_BYTES": 20_000}])
 def test_collocations_equal_brute_force(spark, documents, odd_documents, monkeypatch, options):
     tight = phrases.HashTrie.__init__
     for name, value in options.items():
