@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shortlens.llm.common import as_bytes, slices, store
+from shortlens.runtime import BROADCAST_ROWS
 
 BLOCK = 128
 # A shard ends at so many documents or occurrences of terms; it is what a task holds and searches at a time.
@@ -349,6 +350,11 @@ def _searcher(k: int, documents: int, occurrences: int):
     return run
 
 
+def _small(words: DataFrame) -> DataFrame:
+    """The terms of all items, broadcast while few, so that lists of other terms go nowhere."""
+    return F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
+
+
 def search(index: DataFrame, items: DataFrame, k: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of every row of `items` with a score above 0.
 
@@ -363,9 +369,11 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, item_id: str = "item
     documents, occurrences = heads.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     number = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
     words = asked.select("item", number.alias("part"), F.explode("terms").alias("term"))
-    words = words.groupBy("part", "term").agg(F.collect_list("item").alias("items"))  # at most about ITEMS numbers
-    held = index.filter("term IS NOT NULL").join(words.select("term").distinct(), "term", "left_semi")
-    known = words.join(held.groupBy("term").agg(F.sum("count").alias("df")), "term")
+    # At most about ITEMS numbers a row.
+    words = _small(store(words.groupBy("part", "term").agg(F.collect_list("item").alias("items")), "search-words"))
+    held = index.filter("term IS NOT NULL").select("term", "count")
+    df = held.join(words.select("part", "term"), "term").groupBy("part", "term").agg(F.sum("count").alias("df"))
+    known = _small(store(words.join(df, ["part", "term"]), "search-terms"))
     lists = index.filter("term IS NOT NULL").drop("docs", "lengths", "total").join(known, "term")
     parts = heads.select("shard", "docs", "lengths", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
     rows = lists.unionByName(parts, allowMissingColumns=True)
