@@ -14,6 +14,7 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ CAPACITY = 400_000
 # Words a task numbers before it starts anew; with one word a phrase, words times languages.
 KNOWN_WORDS = 600_000
 # Bytes of texts counted at a time; bytes of all texts for each part in which runs are merged.
-SLICE_BYTES = 1 << 20
-PART_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
+PART_BYTES = 1 << 24
 # Bits of a table of frequent sequences, for each of them and at most; probes for each.
 BITS_PER_ENTRY = 16
 MOST_BITS = 1 << 27
@@ -171,19 +172,22 @@ class HashTrie:
 
     def take(self, lang: bytes, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Remove the subtrees of these first words: rows of word numbers, and counts."""
-        heads, rests, counts = [], [], []
+        containers: dict[int, list[tuple[tuple[int, ...], Counter]]] = {}  # by the length of their path
         for word in words:
             node = self.root.pop((lang, word))
             self.entries -= self.sizes.pop((lang, word))
-            parts = [((), node)] if isinstance(node, Counter) else [((second,), c) for second, c in node.items()]
-            for path, container in parts:
-                width = self.length - 1 - len(path)
-                rest = np.frombuffer(b"".join(container), np.int32).reshape(len(container), width)
-                head = np.empty((len(container), 1 + len(path)), np.int32)
-                head[:] = (word, *path)
-                heads.append(np.hstack([head, rest]))
-                counts.append(np.fromiter(container.values(), np.int64, len(container)))
-        return np.concatenate(heads), np.concatenate(counts)
+            if isinstance(node, Counter):
+                containers.setdefault(1, []).append(((word,), node))
+            else:
+                containers.setdefault(2, []).extend(((word, second), c) for second, c in node.items())
+        rows, counts = [], []
+        for depth, parts in containers.items():
+            sizes = [len(c) for _, c in parts]
+            heads = np.repeat(np.array([path for path, _ in parts], np.int32), sizes, axis=0)
+            rests = np.frombuffer(b"".join(chain.from_iterable(c for _, c in parts)), np.int32)
+            rows.append(np.hstack([heads, rests.reshape(-1, self.length - depth)]))
+            counts.append(np.fromiter(chain.from_iterable(c.values() for _, c in parts), np.int64, sum(sizes)))
+        return np.concatenate(rows), np.concatenate(counts)
 
 
 class BitTable:
@@ -299,15 +303,14 @@ class Task:
             yield from self._run(lang, *self.trie.take(lang, leave))
 
     def _run(self, lang: bytes, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The phrases in order, cut by the part in which their first two words are merged."""
+        """The phrases in order of their word numbers, cut by the part in which their first two words are merged."""
         if not len(rows):
             return
-        hashes, phrases = self.words.hashes(), self.words.phrases(rows)
+        hashes = self.words.hashes()
         heads = sequence_hashes(lang, [hashes[rows[:, k]] for k in range(min(2, self.length))])
         part = ((heads >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int32)
-        order = pc.sort_indices(phrases).to_numpy()
-        order = order[np.argsort(part[order], kind="stable")]
-        phrases, counts = phrases.take(pa.array(order)), pa.array(counts[order])
+        order = np.lexsort((*rows.T[::-1], part))
+        phrases, counts = self.words.phrases(rows[order]), pa.array(counts[order])
         for low, high in groups(part[order]):
             yield self._block(int(part[order[low]]), lang, phrases.slice(low, high - low), counts.slice(low, high - low))
 
