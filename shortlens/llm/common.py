@@ -82,6 +82,14 @@ def text_key(text: str | Column = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, made longer until no column is called so; Spark does not tell upper from lower case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def process_memory(name: str) -> dict:
     """A dict that lives as long as the Python process, so that tasks one after another share what they worked out."""
     home = sys.modules.setdefault("_shortlens_memory", types.ModuleType("_shortlens_memory"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shortlens.llm.common import WordHashes, as_bytes, mix, odd_numbers, shingle_hashes, store, text_key
+from shortlens.llm.common import WordHashes, as_bytes, free_name, mix, odd_numbers, shingle_hashes, store, text_key
 from shortlens.plans.components import components
 
 WIDTH = 5
@@ -364,14 +364,12 @@ def jaccard_join(
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs` per class, the one with the smallest id (then text digest); rows without words all stay."""
-    key = "_text_key"
-    while key in docs.columns:
-        key += "_"
+    key, head, head_key = (free_name(docs.columns, name) for name in ("_text_key", "_head", "_head_key"))
     joined = jaccard_join(docs, doc_id, text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    heads = joined.filter("class_key is not null").groupBy("class_key").agg(first).select(F.col("first.doc_id").alias("_head"), F.col("first.text_key").alias("_head_key"))
+    heads = joined.filter("class_key is not null").groupBy("class_key").agg(first).select(F.col("first.doc_id").alias(head), F.col("first.text_key").alias(head_key))
     keyed = docs.withColumn(key, text_key(F.col(text)))
     blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
-    chosen = keyed.filter(~blank).join(heads, F.col(doc_id).eqNullSafe(F.col("_head")) & (F.col(key) == F.col("_head_key")), "left_semi")
+    chosen = keyed.filter(~blank).join(heads, F.col(doc_id).eqNullSafe(F.col(head)) & (F.col(key) == F.col(head_key)), "left_semi")
     # Rows equal in id and text are copies of each other too.
     return chosen.dropDuplicates([doc_id, key]).unionByName(keyed.filter(blank)).drop(key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlens.llm.common import store, text_key
+from shortlens.llm.common import free_name, store, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 # A pattern needs this many different seeds, and this share of its occurrences must lead to known identifiers.
@@ -92,16 +92,17 @@ def _with_matches(df: DataFrame, text: Column, name: str, pattern: str, guard: s
     """Column `name`: where the pattern matches, leftmost first, not overlapping. Texts that fail the guard are not searched."""
     none = F.array().cast("array<string>")
     hit = text.rlike(guard)
-    df = df.withColumn("_matches", F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("_pieces", F.when(F.size("_matches") > 0, F.split(text, pattern, -1)).otherwise(none))
-    return df.withColumn(name, _located(F.col("_pieces"), F.col("_matches"), keep)).drop("_matches", "_pieces")
+    matches, pieces = (free_name(df.columns, own) for own in ("_matches", "_pieces"))
+    df = df.withColumn(matches, F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn(pieces, F.when(F.size(matches) > 0, F.split(text, pattern, -1)).otherwise(none))
+    return df.withColumn(name, _located(F.col(pieces), F.col(matches), keep)).drop(matches, pieces)
 
 
 def base_spans(df: DataFrame, text: Column, into: str = "_spans") -> DataFrame:
     """`df` with a struct `into` that holds (start, end) of each kind's matches, in code points, end exclusive."""
     names = []
     for kind in KINDS:
-        name = f"{into}_{kind}"
+        name = free_name(df.columns, f"{into}_{kind}")
         df = _with_matches(df, text, name, PATTERNS[kind], _GUARDS[kind], lambda match, kind=kind: _valid(kind, match))
         df = df.withColumn(name, F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
         names.append(name)
@@ -272,23 +273,21 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     Spans that overlap are one, named by the kind of the first.
     """
     columns = docs.columns
-    key = "_text_key"
-    while key in columns:
-        key += "_"
+    key, own, every, flat_name, learned_name = (free_name(columns, name) for name in ("_text_key", "_pii_spans", "_pii_all", "_pii_flat", "_pii_added"))
     whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = _analysed(whole, "text").withColumn("key", F.when(F.size("identifiers") > 0, text_key("text")))
     found = store(found.select("key", "_spans", "seeds", "identifiers").filter(F.size("identifiers") + F.size("seeds") > 0), "pii-found")
     learned = learn(found, whole, "text")
-    df = base_spans(docs, F.coalesce(F.col(text), F.lit("")), "_pii_spans")
+    df = base_spans(docs, F.coalesce(F.col(text), F.lit("")), own)
     if learned.isEmpty():
-        df = df.withColumn("_pii_all", F.col("_pii_spans"))
+        df = df.withColumn(every, F.col(own))
     else:
-        added = _added(found.filter("key is not null").dropDuplicates(["key"]), learned).withColumnRenamed("key", key)
+        added = _added(found.filter("key is not null").dropDuplicates(["key"]), learned).select(F.col("key").alias(key), F.col("added").alias(learned_name))
         df = df.withColumn(key, text_key(F.col(text))).join(added, key, "left")
-        df = df.withColumn("_pii_all", _all_spans(F.col("_pii_spans"), F.col("added"))).drop(key, "added")
+        df = df.withColumn(every, _all_spans(F.col(own), F.col(learned_name))).drop(key, learned_name)
 
     def ordered(kind):
-        return F.transform(F.col("_pii_all")[kind], lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind).alias("kind")))
+        return F.transform(F.col(every)[kind], lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind).alias("kind")))
 
     flat = F.concat(*[ordered(kind) for kind in KINDS])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -305,6 +304,6 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         rest = F.substring(source, (state["at"] + 1).cast("int"), F.greatest(F.length(source) - state["at"], F.lit(0)).cast("int"))
         return F.array_join(F.concat(state["out"], F.array(rest)), "")
 
-    df = df.withColumn("_pii_flat", F.array_sort(flat))
-    masked = F.when(F.size("_pii_flat") == 0, source).otherwise(F.aggregate("_pii_flat", start, step, finish))
+    df = df.withColumn(flat_name, F.array_sort(flat))
+    masked = F.when(F.size(flat_name) == 0, source).otherwise(F.aggregate(flat_name, start, step, finish))
     return df.withColumn(text, masked).select(*[F.col(f"`{c}`") for c in columns])

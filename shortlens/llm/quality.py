@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shortlens.llm.common import SHINGLE_FACTORS, WordHashes, as_bytes, mix, store
+from shortlens.llm.common import SHINGLE_FACTORS, WordHashes, as_bytes, free_name, mix, store
 
 REPEAT_WIDTH = 5
 MIN_WORDS = 10
@@ -302,22 +302,23 @@ def fit(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, into: str, estimates: DataFrame) -> DataFrame:
     """`docs` with `{into}.kept` and `{into}.distance` beside what `measured` gave."""
-    e = estimates.select(F.struct("lang", "source").alias("_cell_of"), F.struct("cell", "n", "centre", "whiten").alias("_estimate"))
+    cell_of, estimate = (free_name(docs.columns, name) for name in ("_cell_of", "_estimate"))
+    e = estimates.select(F.struct("lang", "source").alias(cell_of), F.struct("cell", "n", "centre", "whiten").alias(estimate))
     # The table of cells is small next to the rows; the optimizer broadcasts it by its real size or splits a hot cell.
     m = F.col(into)
-    joined = docs.join(e, m["lang"].eqNullSafe(F.col("_cell_of.lang")) & m["source"].eqNullSafe(F.col("_cell_of.source")), "left")
+    joined = docs.join(e, m["lang"].eqNullSafe(F.col(f"{cell_of}.lang")) & m["source"].eqNullSafe(F.col(f"{cell_of}.source")), "left")
     total, k = F.lit(0.0), 0
     for i in range(D):
         z = F.lit(0.0)
         for j in range(i + 1):
-            z = z + F.col("_estimate.whiten")[k] * (m["x"][f"x{j}"] - F.col("_estimate.centre")[j])
+            z = z + F.col(f"{estimate}.whiten")[k] * (m["x"][f"x{j}"] - F.col(f"{estimate}.centre")[j])
             k += 1
         total = total + z * z
     limit = chi_square_quantile(1 - TAIL, D)
-    enough = F.coalesce(F.col("_estimate.n") >= MIN_CELL_ROWS * CORE_SHARE * 0.9, F.lit(False))
+    enough = F.coalesce(F.col(f"{estimate}.n") >= MIN_CELL_ROWS * CORE_SHARE * 0.9, F.lit(False))
     outlier = enough & F.coalesce(total > limit, F.lit(False))
     verdict = F.struct(m["counts"].alias("counts"), m["base_failed"].alias("base_failed"), total.alias("distance"), (~m["base_failed"] & ~outlier).alias("kept"))
-    return joined.withColumn(into, verdict).drop("_cell_of", "_estimate")
+    return joined.withColumn(into, verdict).drop(cell_of, estimate)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -335,15 +336,16 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of `docs` that pass, with their columns as they are.
+    """The rows of `docs` that pass, with their columns as they are, whatever their names.
+
+    Rows with null, empty or very short texts fail the base rule and go; null languages and sources are a value like any other.
+    Repeated rows are judged alike. An empty table gives an empty result.
 
     The statistics are worked out twice, once narrow for the estimates and once to judge, so texts are never stored.
     """
     columns = docs.columns
     slim = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     rows = store(measured(slim, "text", "lang", "source", "_m").select("_m.lang", "_m.source", "_m.x.*"), "quality-statistics")
-    into = "_quality"
-    while into in columns:
-        into += "_"
+    into = free_name(columns, "_quality")
     judged = judge(measured(docs, text, lang, source, into), into, fit(rows))
     return judged.filter(F.col(into)["kept"]).select(*[F.col(f"`{c}`") for c in columns])

@@ -1,5 +1,6 @@
 """Sharding by fixed virtual slots: a record hashes into one of thousands of slots for good; a small table says which shard
-holds each slot. Rebalancing edits that table by the bytes the slots hold, and every edit is a new version of it."""
+holds each slot. Rebalancing edits the latest version of that table by the bytes the slots now hold, and every edit is a new
+version of it; earlier ones stay as they are."""
 
 from __future__ import annotations
 
@@ -21,23 +22,34 @@ def first_map(slots: int, shards: int) -> list[int]:
     return [slot * shards // slots for slot in range(slots)]
 
 
-def rebalance(shard_of: list[int], sizes: list[int], shards: int) -> list[int]:
+def rebalance(shard_of: list[int], sizes: list[int], shards: int, tolerance: float = 0.0, most_moved: int | None = None) -> list[int]:
     """Move slots from the fullest shard to the emptiest while that narrows the gap; ties to the smaller number.
 
-    Shards beyond those in the map start empty, so growing by one shard only moves slots into it first.
+    Shards beyond those in the map start empty, so growing by one shard only moves slots into it first. Slots of shards that
+    are no more go to the emptiest, largest first. Nothing else moves once the gap is at most `tolerance` of a shard's fair
+    share of the bytes, nor after `most_moved` moves.
     """
     shard_of, load = list(shard_of), [0] * shards
     members: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     for slot, shard in enumerate(shard_of):
+        if shard < shards:
+            load[shard] += sizes[slot]
+            members[shard].append((sizes[slot], slot))
+    homeless = [slot for slot, shard in enumerate(shard_of) if shard >= shards]
+    for slot in sorted(homeless, key=lambda s: (-sizes[s], s)):
+        # Slots without bytes are dealt out by number.
+        shard = shard_of[slot] = min(range(shards), key=lambda s: (load[s], len(members[s]), s))
         load[shard] += sizes[slot]
         members[shard].append((sizes[slot], slot))
+    fair, moves = sum(sizes) / shards, 0
     while True:
         full, empty = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[full] - load[empty]
         # The best move halves the gap; one of the gap's size or more would not narrow it.
         fitting = [(abs(gap - 2 * size), size, slot) for size, slot in members[full] if 0 < size < gap]
-        if not fitting:
+        if not fitting or gap <= tolerance * fair or moves == most_moved:
             return shard_of
+        moves += 1
         _, size, slot = min(fitting)
         members[full].remove((size, slot))
         members[empty].append((size, slot))
@@ -57,6 +69,34 @@ def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
     return [shard for _, shard in sorted(rows)]
 
 
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest whole version of the map under `path`; one whose writer died before its end has no rows and does not count."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home):
+        return None
+    return spark.read.schema(MAP_TYPE).parquet(path).agg(F.max("version")).first()[0]
+
+
+def edit_map(spark: SparkSession, path: str, sizes: list[int], shards: int, tolerance: float = 0.0, most_moved: int | None = None) -> tuple[int, list[int]]:
+    """(version, shard of each slot): the latest version under `path`, edited by the bytes that slots hold now.
+
+    Without any, version 0 deals slots out evenly. An edit that moves nothing adds no version. Of two writers that edit the
+    same version the later one fails, since the next version is there already, and can run again.
+    """
+    version = latest_version(spark, path)
+    if version is None:
+        version = 0
+        save_map(spark, path, version, first_map(len(sizes), shards))
+    before = load_map(spark, path, version)
+    if len(before) != len(sizes):
+        raise ValueError(f"the map has {len(before)} slots, not {len(sizes)}; their number is fixed")
+    after = rebalance(before, sizes, shards, tolerance, most_moved)
+    if after != before:
+        version += 1
+        save_map(spark, path, version, after)
+    return version, after
+
+
 def measured(docs: DataFrame, doc_id: str, text: str, slots: int) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     table = docs.select(
@@ -65,12 +105,23 @@ def measured(docs: DataFrame, doc_id: str, text: str, slots: int) -> DataFrame:
     return table.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", map_path: str | None = None) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    shards: int = 8,
+    slots: int = SLOTS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    map_path: str | None = None,
+    tolerance: float = 0.0,
+    most_moved: int | None = None,
+) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, slot, map_version): one row per row of `docs`.
 
-    `slot` numbers the rows of a shard from 0 without gaps, virtual slot after virtual slot. Version 0 of the map deals
-    slots out evenly, version 1 is edited by their bytes; both are stored under `map_path` (default: the shared folder).
-    Null texts count as empty, null ids are a value like any other, rows equal in id and text share a virtual slot. An empty
+    `slot` numbers the rows of a shard from 0 without gaps, virtual slot after virtual slot. The latest map under `map_path`
+    is edited by the bytes of its slots and stored as the next version, so rows of slots that need not move stay in their
+    shard from run to run, also with more or fewer shards; `tolerance` and `most_moved` bound the moves. Without a path the
+    map is a new one in the shared folder, which goes with the application. Equal texts under different ids are records of
+    their own and spread over slots: a text that fills a third of the table would else fill a shard. Null texts count as empty, null ids are a value like any other, rows equal in id and text share a virtual slot. An empty
     table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -80,9 +131,7 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "d
     for slot, size, n in held:
         sizes[slot], counts[slot] = size, n
     path = map_path or scratch_path(spark, "slot-map")
-    save_map(spark, path, 0, first_map(slots, shards))
-    save_map(spark, path, 1, rebalance(load_map(spark, path, 0), sizes, shards))
-    shard_of = load_map(spark, path, 1)
+    version, shard_of = edit_map(spark, path, sizes, shards, tolerance, most_moved)
     before = [0] * slots
     for _, group in itertools.groupby(sorted(range(slots), key=lambda s: (shard_of[s], s)), key=lambda s: shard_of[s]):
         total = 0
@@ -94,4 +143,4 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "d
     # One row per slot, a fixed number: it may travel to every task.
     placed = numbered.join(F.broadcast(places), "virtual_slot")
     slot = (F.col("_before") + F.col("_position") - 1).cast("bigint")
-    return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", slot.alias("slot"), F.lit(1).alias("map_version"))
+    return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", slot.alias("slot"), F.lit(version).alias("map_version"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import itertools
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +84,39 @@ def attribute(ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarr
     return tokens, np.bincount(owner[crossing], minlength=n), share
 
 
-def counter(path: str, pattern: str, section_end: str):
+def ended_by(section_end: str) -> Callable:
+    """(UTF-8, starts of sections) of texts whose sections end behind each match."""
+
+    def cut(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        find = re.compile(section_end.encode()).finditer
+        for raw in as_bytes(texts):
+            yield raw, np.array([0, *[m.end() for m in find(raw) if m.end() < len(raw)]], np.int64)
+
+    return cut
+
+
+def joined_by(mark: str) -> Callable:
+    """The same of lists of texts, which `mark` joins; where each begins follows from the lengths of those before."""
+
+    def cut(lists: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        between = mark.encode()
+        for texts in lists.to_pylist():
+            raws = [(t or "").encode() for t in texts]
+            sizes = np.array([len(r) + len(between) for r in raws], np.int64)
+            yield between.join(raws), sizes.cumsum() - sizes
+
+    return cut
+
+
+def counter(path: str, pattern: str, cut: Callable):
     @F.arrow_udf(returnType=SECTIONS_TYPE)
     def sections(text: pa.Array) -> pa.Array:
-        pieces, split, cut = PieceLengths(path, pattern), regex.compile(pattern).findall, re.compile(section_end.encode())
+        pieces, split = PieceLengths(path, pattern), regex.compile(pattern).findall
         parts = []
         for at in range(0, len(text), 128):
             columns, sizes = [], []
-            for raw in as_bytes(text.slice(at, 128)):
+            for raw, starts in cut(text.slice(at, 128)):
                 ends = token_ends(raw.decode("utf-8", "replace"), pieces, split)
-                starts = np.array([0, *[m.end() for m in cut.finditer(raw) if m.end() < len(raw)]], np.int64)
                 tokens, crossing, share = attribute(ends, starts, len(raw))
                 data = np.frombuffer(raw, np.uint8)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -122,13 +146,17 @@ def section_tokens(
     """
     column = F.col(text) if isinstance(text, str) else text
     table = docs.select(F.col(doc_id).alias("doc_id"), column.alias("text"))
-    counted = table.select("doc_id", counter(path, pattern, section_end)("text").alias("s"))
+    counted = table.select("doc_id", counter(path, pattern, ended_by(section_end))("text").alias("s"))
     return counted.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
 
 
 def field_tokens(docs: DataFrame, fields: list[str], path: str, pattern: str, doc_id: str = "doc_id", mark: str = "\x1e") -> DataFrame:
-    """(doc_id, field, n_tokens, n_crossing, share): the fields of a row joined by line ends and encoded as one text."""
-    joined = F.concat_ws(mark, *[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    counted = section_tokens(docs, path, pattern, doc_id, joined, re.escape(mark))
-    names = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("section") + 1)
-    return counted.select("doc_id", names.alias("field"), "n_tokens", "n_crossing", "share")
+    """(doc_id, field, n_tokens, n_crossing, share): the fields of a row joined by `mark` and encoded as one text.
+
+    Every row gives one row per field, whatever its texts hold; a field has the mark behind it. Null and empty fields are
+    empty. Null ids are kept, repeated rows counted each. An empty table gives an empty result.
+    """
+    texts = F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    counted = docs.select(F.col(doc_id).alias("doc_id"), counter(path, pattern, joined_by(mark))(texts).alias("s"))
+    names = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("s.section") + 1)
+    return counted.select("doc_id", F.explode("s").alias("s")).select("doc_id", names.alias("field"), "s.n_tokens", "s.n_crossing", "s.share")

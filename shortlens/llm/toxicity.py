@@ -165,7 +165,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for k in (0, 1)]
     # At most 2 * per_label rows of two numbers: they may travel to every task.
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates(["_id"]))
-    return docs.join(chosen, F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "toxic")
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(chosen, "_id").select("text", "toxic")
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
