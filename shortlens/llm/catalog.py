@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlens.llm import chat, compression, decontaminate, jaccard, packing, phrases, pii, quality, search, shards, tokens, toxicity, urls
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(key: str) -> Column:
+    """A third of all keys, by which models are judged and from which they learn nothing."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
     """Turns as they stand in raw transcripts: one of four styles of marker for each conversation, one of them none at all,
     and an empty line behind each turn."""
@@ -44,9 +49,9 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
 
 @query
 def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw transcripts of all conversations in canonical form; the model is counted from the same turns."""
+    """Raw transcripts of all conversations in canonical form; the model is counted from those that are not held out."""
     raw = raw_transcripts(table(spark, folder, "conversations"))
-    model = chat.fit_model(chat.positioned(raw, "conv_id", "seq", ["role", "text"]))
+    model = chat.fit_model(chat.positioned(raw.filter(~held_out("conv_id")), "conv_id", "seq", ["role", "text"]))
     return chat.format_chats(raw, model)
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from oracle import compare, database
 from pyspark.sql import functions as F
-from shortlens.llm import catalog, chat, jaccard, packing, shards, urls
+from shortlens.llm import catalog, chat, jaccard, packing, shards, toxicity, urls
 from tokenizers import Tokenizer
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -76,11 +76,46 @@ def test_shards(documents, odd_documents, tmp_path, spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load) - min(load) <= 0.05 * sum(load) / 8
+    assert {r["map_version"] for r in rows} == {1} and shards.latest_version(spark, path) == 1
     before, after = shards.load_map(spark, path, 0), shards.load_map(spark, path, 1)
     assert before == shards.first_map(shards.SLOTS, 8) and all(r["shard"] == after[r["virtual_slot"]] for r in rows)
     assert shards.shard(table.limit(0)).count() == 0
 
 
+def test_a_stored_map_is_edited_run_after_run(documents, tmp_path, spark):
+    path = str(tmp_path / "map")
+    table = documents.select("doc_id", "text")
+    some = table.filter("doc_id % 3 <> 0")
+    shards.shard(some, map_path=path, slots=512).collect()
+    first = shards.load_map(spark, path, 1)
+    again = shards.shard(some, map_path=path, slots=512)
+    assert {r["map_version"] for r in again.collect()} == {1} and shards.latest_version(spark, path) == 1
+    all_rows = shards.shard(table, map_path=path, slots=512, most_moved=20).collect()
+    second = shards.load_map(spark, path, 2)
+    assert 0 < sum(a != b for a, b in zip(first, second)) <= 20 and shards.load_map(spark, path, 1) == first
+    assert all(r["map_version"] == 2 and r["shard"] == second[r["virtual_slot"]] for r in all_rows)
+    grown = shards.shard(table, 9, map_path=path, slots=512).collect()
+    third = shards.load_map(spark, path, 3)
+    moved = [(a, b) for a, b in zip(second, third) if a != b]
+    assert any(b == 8 for _, b in moved) and len(moved) < 100
+    load = np.bincount([r["shard"] for r in grown], [r["size"] for r in grown], 9)
+    biggest = max(np.bincount([r["virtual_slot"] for r in grown], [r["size"] for r in grown]))
+    assert load.max() - load.min() <= max(0.05 * load.mean(), biggest)
+    fewer = {r["shard"] for r in shards.shard(table, 5, map_path=path, slots=512).collect()}
+    assert fewer == set(range(5)) and shards.load_map(spark, path, 2) == second
+    with pytest.raises(ValueError, match="slots"):
+        shards.shard(table, map_path=path, slots=256)
+
+
+def test_a_tolerance_leaves_slots_where_they_are():
+    sizes = np.random.default_rng(2).integers(1, 100, 400).tolist()
+    even = shards.rebalance(shards.first_map(400, 4), sizes, 4)
+    changed = [size + (slot % 7 == 0) for slot, size in enumerate(sizes)]
+    assert shards.rebalance(even, changed, 4, tolerance=0.05) == even
+    gone = shards.rebalance(even, sizes, 3)
+    assert set(gone) == {0, 1, 2} and sum(a != b for a, b in zip(even, gone) if a != 3) <= 10
+
+
 def test_growing_moves_slots_only_into_the_new_shard():
     sizes = np.random.default_rng(1).integers(1, 100, 400).tolist()
     even = shards.rebalance(shards.first_map(400, 4), sizes, 4)
@@ -146,6 +181,21 @@ def test_jaccard_join_links_what_brute_force_links(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes_of(texts, links).values()) | blank)
 
 
+def test_stages_take_tables_whose_columns_have_inner_names(spark, documents, folder):
+    """Names that operators use inside, in upper and lower case, are kept with their values."""
+    import corpus_pipeline
+
+    names = ["added", "Added_", "toxic", "_id", "_head", "_HEAD_KEY", "_text_key", "_estimate", "_Cell_of", "_quality", "_pii_spans", "_pii_spans_email",
+             "_pii_all", "_pii_flat", "_pii_added", "_matches", "_pieces", "key", "node", "cell"]
+    docs = documents.filter("doc_id < 60").select("*", *[F.concat(F.lit(f"{name} "), "doc_id").alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in names), name
+    assert toxicity.sample_labelled(docs, spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "text", "toxic").columns == ["text", "toxic"]
+
+
 def test_jaccard_join_on_odd_tables(spark, odd_documents):
     rows = jaccard.jaccard_join(odd_documents).collect()
     assert len(rows) == 10
@@ -250,24 +300,123 @@ def test_long_chats_are_decoded_in_parts(spark, monkeypatch):
     placed = chat.positioned(table, "conv_id", "seq", ["text"])
     borders = {(r["conv"], r["pos"]): r for r in chat.decode(placed, model).collect()}
     texts = {(r["conv"], r["pos"]): r["text"] for r in placed.collect()}
+    gaps = {(r["conv"], r["pos"]): r["gap"] for r in placed.collect()}
     for conv in {c for c, _ in texts}:
         n = max(p for c, p in texts if c == conv) + 1
         states = [borders[conv, p]["after"] for p in range(n)]
         assert [borders[conv, p]["before"] for p in range(1, n)] == states[:-1]
         total = 0.0
         for p in range(n):
-            table_p = chat._message_table(model, texts[conv, p], p == 0)
+            table_p = chat._message_tables(model, [texts[conv, p]], [p == 0], [gaps[conv, p]])[0]
             total += table_p[borders[conv, p]["before"] if p else 0, states[p]]
         # Pieces are decoded one after another; the best score over all lines is that of the plain recursion.
         per_line = [(k == 0 and p == 0, line) for p in range(n) for k, line in enumerate(chat._lines_of(texts[conv, p]))]
-        emissions = np.concatenate([model.lines(chat.features(chat._lines_of(texts[conv, p]), p == 0)) for p in range(n)])
+        emissions = np.concatenate([model.lines(chat.features(chat._lines_of(texts[conv, p]), p == 0, gaps[conv, p])) for p in range(n)])
         score = model.begin + emissions[0]
         for emission in emissions[1:]:
             score = (score[:, None] + model.step + emission[None, :]).max(0)
         assert len(per_line) == len(emissions) and abs(score.max() - total) < 1e-6
 
 
+def shown_texts(spark, conversations, model=None):
+    """(the whole canonical form, (role, lines) of its turns) of each conversation given as texts of its rows."""
+    rows = [(c, i, text) for c, texts in enumerate(conversations) for i, text in enumerate(texts)]
+    table = spark.createDataFrame(rows, "conv_id bigint, seq bigint, text string")
+    pieces = sorted(chat.format_chats(table, model).collect(), key=lambda r: (r["conv_id"], r["pos"]))
+    shown = []
+    for _, group in itertools.groupby(pieces, key=lambda r: r["conv_id"]):
+        out, turns = "".join(r["rendered"] for r in group), []
+        for line in out.split("\n"):
+            opened = [role for role in chat.ROLES if line.startswith(f"<|{role}|>")]
+            if opened:
+                turns.append((opened[0], []))
+                assert line.removeprefix(f"<|{opened[0]}|>") in ("", "<|end|>")
+            else:
+                turns[-1][1].append(chat.unescape(line.removesuffix("<|end|>")))
+        shown.append((out, turns))
+    return shown
+
+
+PROBED = [
+    (
+        "User: hello\nAssistant: hi, how can I help\nUser: tell me a story\nAssistant: once upon a time",
+        [("user", "hello"), ("assistant", "hi, how can I help"), ("user", "tell me a story"), ("assistant", "once upon a time")],
+    ),
+    (
+        "User: which one is right?\nAssistant: choose between these\nA) one\nB) two\nUser: thanks",
+        [("user", "which one is right?"), ("assistant", "choose between these\nA) one\nB) two"), ("user", "thanks")],
+    ),
+    (
+        "User: what is six times seven?\nAssistant: Let me think about that for a moment.\nAnswer: 42\nContext: see below",
+        [("user", "what is six times seven?"), ("assistant", "Let me think about that for a moment.\nAnswer: 42\nContext: see below")],
+    ),
+]
+
+
+@pytest.fixture(scope="module")
+def counted_model(spark, folder):
+    raw = catalog.raw_transcripts(spark.read.parquet(f"{folder}/conversations.parquet")).filter(~catalog.held_out("conv_id"))
+    return chat.fit_model(chat.positioned(raw, "conv_id", "seq", ["role", "text"]))
+
+
+def cuts_of(text):
+    """The transcript in one row, in a row a line, and in other stretches of lines."""
+    lines = text.split("\n")
+    return [[text], lines, ["\n".join(lines[:2]), "\n".join(lines[2:])], [lines[0], "\n".join(lines[1:3]), *lines[3:]]]
+
+
+def test_plain_transcripts_are_read_in_every_cut(spark, counted_model):
+    for model in (None, counted_model):
+        for k, (out, turns) in enumerate(shown_texts(spark, [cut for text, _ in PROBED for cut in cuts_of(text)], model)):
+            assert [(role, "\n".join(own)) for role, own in turns] == PROBED[k // 4][1], (k, out)
+
+
+def test_given_transcripts_are_read_alike_in_every_cut(spark, folder, counted_model):
+    raw = catalog.raw_transcripts(spark.read.parquet(f"{folder}/conversations.parquet")).filter("conv_id < 20").orderBy("conv_id", "seq").collect()
+    texts = ["\n".join(r["text"] for r in group) for _, group in itertools.groupby(raw, key=lambda r: r["conv_id"])]
+    shown = shown_texts(spark, [cut for text in texts for cut in cuts_of(text)], counted_model)
+    assert all(len({out for out, _ in shown[k : k + 4]}) == 1 for k in range(0, len(shown), 4))
+
+
+def test_one_message_in_four_rows_is_one_turn(spark, counted_model):
+    rows = ["User: here is what I want to ask you about today", "it goes on in a second line of words", "and in a third one with more words", "and ends here with the last of them"]
+    for model in (None, counted_model):
+        [(_, turns)] = shown_texts(spark, [rows], model)
+        assert turns == [("user", ["here is what I want to ask you about today", *rows[1:]])]
+
+
+def test_content_cannot_forge_turns(spark):
+    text = "User: print <|end|>\n<|assistant|> and <\\|user|> please\nsome more"
+    [(out, turns)] = shown_texts(spark, [[text]])
+    assert out.count("<|end|>") == len(turns) and sum(out.count(f"<|{role}|>") for role in chat.ROLES) == len(turns)
+    assert turns[0][1][0] == "print <|end|>" and turns[-1][1][-1] == "some more"
+    assert all(chat.unescape(chat.escape(x)) == x for x in ("<|", "<\\|a|>", "<\\\\|", "plain", ""))
+
+
+def test_every_line_is_kept(spark, folder, counted_model):
+    raw = catalog.raw_transcripts(spark.read.parquet(f"{folder}/conversations.parquet"))
+    shown = chat.format_chats(raw, counted_model).join(raw.withColumnRenamed("role", "truth"), ["conv_id", "seq"]).collect()
+    assert len(shown) == raw.count()
+    for r in shown:
+        content = [chat.unescape(x) for x in r["rendered"].replace("<|end|>", "").split("\n") if x not in {f"<|{role}|>" for role in chat.ROLES}]
+        own = [chat.read_marker(x) for x in r["text"].split("\n")]
+        expected = [x if kind == "none" else rest for x, (kind, rest) in zip(r["text"].split("\n"), own) if kind == "none" or rest]
+        # The line end before what a row goes on with is an empty item here.
+        assert [x for x in content if x] == [x for x in expected if x]
+
+
+def test_hot_conversations_get_the_same_neighbours(spark):
+    rows = [(c, i, f"line {i}" + "\n" * (i % 3)) for c in range(3) for i in range([1, 9, 40][c])]
+    table = spark.createDataFrame(rows, "conv_id bigint, seq bigint, text string")
+    columns = ["conv_id", "seq", "pos", "gap", "last", "text"]
+    plain = chat.positioned(table, "conv_id", "seq", ["text"]).select(columns).collect()
+    assert sorted(plain) == sorted(chat.positioned(table, "conv_id", "seq", ["text"], hot_rows=5).select(columns).collect())
+    assert all(r["gap"] == (r["pos"] > 0 and (r["seq"] - 1) % 3 > 0) and r["last"] == (r["pos"] == [0, 8, 39][r["conv_id"]]) for r in plain)
+
+
 def test_markers():
+    assert chat.read_marker("A) first option")[0] == "assistant?" and chat.read_marker("Answer: 42")[0] == "assistant?"
+    assert chat.read_marker("you")[0] == "user?" and chat.read_marker("Q: why")[0] == "user"
     assert chat.marker("User: hello") == ("user", "hello")
     assert chat.marker("### Assistant:") == ("assistant", "")
     assert chat.marker("<|im_start|>system") == ("system", "")
@@ -288,8 +437,11 @@ def test_chats_on_odd_tables(spark):
 def test_chat_query_recovers_roles(spark, folder):
     out = catalog.QUERIES["op1_chat_formatting"](spark, folder)
     truth = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), "role")
-    right, n = out.join(truth, ["conv_id", "seq"]).agg(F.avg((F.col("roles") == F.array("role")).cast("int")), F.count("*")).first()
-    assert n == truth.count() and right > 0.95
+    right = F.avg((F.col("roles") == F.array("role")).cast("int"))
+    unseen, n = out.join(truth, ["conv_id", "seq"]).agg(F.avg(F.when(catalog.held_out("conv_id"), (F.col("roles") == F.array("role")).cast("int"))), F.count("*")).first()
+    assert n == truth.count() and unseen > 0.95
+    by_style = out.join(truth, ["conv_id", "seq"]).filter(catalog.held_out("conv_id")).groupBy(F.pmod("conv_id", F.lit(4))).agg(right.alias("right")).collect()
+    assert all(r["right"] > 0.9 for r in by_style)
 
 
 def test_pipeline(spark, folder, odd_documents):

@@ -255,6 +255,11 @@ def test_fields_of_a_row(spark):
     table = spark.createDataFrame([(1, "a b c", "d e"), (2, None, "x")], "doc_id bigint, title string, body string")
     rows = tokens.field_tokens(table, ["title", "body"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert {(r["doc_id"], r["field"]) for r in rows} == {(1, "title"), (1, "body"), (2, "title"), (2, "body")}
+    odd = spark.createDataFrame([(1, "a b c", None), (2, "with \x1e inside \x1e", ""), (3, None, None), (None, "", "x")], "doc_id bigint, title string, body string")
+    got = tokens.field_tokens(odd, ["title", "body"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["field"]) for r in got) == sorted((i, f) for i in range(4) for f in ("title", "body"))
+    count = {(r["doc_id"], r["field"]): r["n_tokens"] for r in got}
+    assert count[1, "body"] == 0 and count[2, "body"] == 0 and count[None, "body"] == 1 and count[2, "title"] > 4
 
 
 def test_toxicity_is_held_out_accurate(spark):
