@@ -15,6 +15,7 @@ from shortlens.plans import embedding as em
 from shortlens.plans import hierarchy as hi
 from shortlens.plans import naming as nm
 from shortlens.plans import quality as ql
+from shortlens.plans.layout import neighbor_map
 from shortlens.plans.publish import map_points
 from shortlens.sources import from_rows
 
@@ -143,6 +144,12 @@ def _(t):
     return em.project_2d(t("embeddings"), "embedding").select("vec_id", r6(F.abs("x")).alias("x"), r6(F.abs("y")).alias("y"))
 
 
+@query("i4_neighbor_map")
+def _(t):
+    """Not in SQL: gradient steps. tests/ measures how far neighbours stay together."""
+    return neighbor_map(t("embeddings"), "vec_id", "embedding").select("vec_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
 def chains_sql(edges):
     """Components of an edge list (id1, id2) in both directions, labelled by the smallest member."""
     return f"""e AS MATERIALIZED ({edges}), walk(id, spot) AS (SELECT DISTINCT id1, id1 FROM e UNION

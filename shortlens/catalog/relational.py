@@ -171,6 +171,12 @@ def _(t):
     return nb.similar_pairs(t("embeddings"), "vec_id", "embedding", 0.35).withColumn("similarity", r6("similarity"))
 
 
+@query("c14_similar_pairs_approx")
+def _(t):
+    """Not in SQL: random directions. tests/ holds it against all pairs."""
+    return nb.pairs(t("embeddings"), "vec_id", "embedding", "cosine", 0.5, approx=True).withColumn("similarity", r6("similarity"))
+
+
 @query(
     "c14_near_pairs",
     """SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)

@@ -7,7 +7,8 @@ and each block pair is one small matrix product in a task; a cell with a third o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,14 @@ BLOCK = 2048
 REMEASURED = 1 << 20
 # Pivots travel with each task, so their number is bounded.
 MAX_PIVOTS = 4096
+# Hash tables of the approximate join: how many, how many signs each, and how many rows may be compared for the price of
+# sending one row to another table.
+MAX_TABLES = 512
+MAX_BITS = 24
+ROWS_FOR_A_COPY = 64
+# Points whose exact partners are looked up to measure recall, and pairs of theirs that are looked at.
+SAMPLE_POINTS = 256
+SAMPLE_PAIRS = 5_000
 
 
 def distinct_vectors(df: DataFrame, id: str, vec: str, within=None) -> DataFrame:
@@ -209,14 +218,145 @@ def similar_pairs(df: DataFrame, id: str, vec: str, min_sim: float, within=None,
     return close_pairs(points, min_sim, "cosine", within, block).withColumnRenamed("value", "similarity")
 
 
+@dataclass
+class Tables:
+    """Hash tables over directions: in each, a vector's bucket is the signs of its products with `bits` random ones.
+
+    `recall` is the share of `sampled` exact pairs that meet in one of the tables; null where the sample held none.
+    """
+
+    bits: int
+    tables: int
+    dims: int
+    seed: int
+    recall: float | None = None
+    sampled: int = 0
+
+    def planes(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).standard_normal((self.tables * self.bits, self.dims))
+
+    def codes(self, x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+        """One bucket number per row and table."""
+        signs = (x @ planes.T > 0).reshape(len(x), self.tables, self.bits)
+        return signs @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
+
+
+def sampled_pairs(points: DataFrame, min_sim: float, sample: int = SAMPLE_POINTS) -> DataFrame:
+    """(id1, id2, vec1, vec2): every pair of `min_sim` or more that has one of `sample` chosen points in it, exact.
+
+    The chosen ones travel with the tasks; all points are compared with them.
+    """
+    rows = points.orderBy(F.xxhash64("id", F.lit("sample")), "id").select("id", "vec").limit(sample).collect()
+    ids, chosen = [r["id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)
+    kind = _type_of(points, "id")
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch["vec"])
+            i, j = np.nonzero(x @ chosen.T >= min_sim)
+            own = batch["id"].to_numpy()
+            out = pd.DataFrame({"id1": [ids[k] for k in j], "id2": own[i], "vec1": [chosen[k].tolist() for k in j], "vec2": [x[k].tolist() for k in i]})
+            yield out[out["id1"] != out["id2"]]
+
+    return points.select("id", "vec").mapInPandas(run, f"id1 {kind}, id2 {kind}, vec1 array<double>, vec2 array<double>")
+
+
+def choose_tables(points: DataFrame, min_sim: float, recall: float = 0.95, seed: int = 11, sample: int = SAMPLE_POINTS) -> Tables:
+    """Tables that meet `recall` of all pairs of `min_sim` or more: enough for a pair right at the limit, then as many more as
+    the exact pairs of a sample ask for. `points` are settled unit vectors.
+    """
+    n = points.count()
+    first = points.select(F.size("vec")).first()
+    dims = first[0] if first else 1
+    agree = 1 - np.arccos(np.clip(min_sim, -1, 1)) / np.pi
+    best = None
+    for bits in range(1, MAX_BITS + 1):
+        share = agree**bits
+        tables = 1 if share >= recall else int(np.ceil(np.log(1 - recall) / np.log1p(-share)))
+        if tables <= MAX_TABLES:
+            # A row is sent once per table and meets those that share its bucket.
+            cost = tables * (1 + n / 2.0**bits / ROWS_FOR_A_COPY)
+            if best is None or cost < best[0]:
+                best = cost, bits, tables
+    if best is None:
+        raise ValueError(f"a cosine of {min_sim} takes more than {MAX_TABLES} tables; the exact join is cheaper there")
+    _, bits, tables = best
+    pairs = sampled_pairs(points, min_sim, sample).orderBy(F.xxhash64("id1", "id2")).limit(SAMPLE_PAIRS).collect()
+    while True:
+        made = Tables(bits, tables, dims, seed)
+        if not pairs:
+            return made
+        planes = made.planes()
+        one, two = (made.codes(np.array([r[c] for r in pairs], np.float64), planes) for c in ("vec1", "vec2"))
+        made.recall, made.sampled = float((one == two).any(1).mean()), len(pairs)
+        if made.recall >= recall or tables == MAX_TABLES:
+            return made
+        tables = min(MAX_TABLES, tables + max(1, tables // 4))
+
+
+def approx_pairs(points: DataFrame, min_sim: float, found: Tables, within=None, block: int = BLOCK) -> DataFrame:
+    """(within…, id1, id2, value): the pairs of `close_pairs` that meet in a table, each once, with their exact cosine.
+
+    A pair is given by the first table in which it meets, so tables need not be made distinct. Full buckets are more blocks.
+    """
+    within = as_list(within) if within else []
+    kind = _type_of(points, "id")
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = found.planes()
+        for part in parts:
+            x, out = matrix(part), []
+            for k in range(0, len(x), BLOCK):
+                out += list(found.codes(x[k : k + BLOCK], planes))
+            yield pd.Series(out, dtype=object)
+
+    coded = settle(points.select(*within, "id", "vec").withColumn("codes", buckets("vec")))
+    placed = coded.select("*", F.posexplode("codes").alias("table", "bucket"))
+
+    def kernel(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        value = matrix(v["vec"]) @ matrix(m["vec"]).T
+        i, j = np.nonzero((value >= min_sim) & (v["id"].to_numpy()[:, None] < m["id"].to_numpy()[None, :]))
+        table = int(m["table"].iloc[0]) if len(m) else 0
+        if len(i) and table:
+            a, b = (np.array([codes[:table] for codes in side["codes"]], np.int64) for side in (v, m))
+            new = np.concatenate([~(a[i[k : k + BLOCK]] == b[j[k : k + BLOCK]]).any(1) for k in range(0, len(i), BLOCK)])
+            i, j = i[new], j[new]
+        out = pd.DataFrame({"id1": v["id"].to_numpy()[i], "id2": m["id"].to_numpy()[j], "value": value[i, j]})
+        for w in within:
+            out[w] = m[w].iloc[0] if len(m) else None
+        return out[["id1", "id2", "value", *within]]
+
+    extra = "".join(f", {w} {_type_of(points, w)}" for w in within)
+    return meet(placed, placed, [*within, "table", "bucket"], kernel, f"id1 {kind}, id2 {kind}, value double{extra}", block)
+
+
+def similar_pairs_approx(df: DataFrame, id: str, vec: str, min_sim: float, recall: float = 0.95, within=None, block: int = BLOCK) -> tuple[DataFrame, Tables]:
+    """(pairs as `similar_pairs` gives them, the tables by which they were found with their measured recall).
+
+    For vectors without structure, on which the exact join has nothing to leave out. No pair below `min_sim` is given;
+    `recall` of the others are, or more, as measured on the exact pairs of a sample.
+    """
+    points = settle(unit(distinct_vectors(df, id, vec, within).drop("copies")))
+    found = choose_tables(points, min_sim, recall)
+    return approx_pairs(points, min_sim, found, within, block).withColumnRenamed("value", "similarity"), found
+
+
 def near_pairs(df: DataFrame, id: str, vec: str, max_dist: float, within=None, block: int = BLOCK) -> DataFrame:
     """(within…, id1, id2, distance): the same by Euclidean distance of at most `max_dist`."""
     points = distinct_vectors(df, id, vec, within).drop("copies")
     return close_pairs(points, max_dist, "euclidean", within, block).withColumnRenamed("value", "distance")
 
 
-def pairs(df: DataFrame, id: str, vec: str, metric: str, limit: float, within=None) -> DataFrame:
-    """Every pair once, globally or per category, down to a stated limit; there is no unlimited form."""
+def pairs(df: DataFrame, id: str, vec: str, metric: str, limit: float, within=None, approx: bool = False) -> DataFrame:
+    """Every pair once, globally or per category, down to a stated limit; there is no unlimited form.
+
+    With `approx`, pairs by cosine are looked for in hash tables and 0.95 of them or more are found.
+    """
+    if approx:
+        if metric != "cosine":
+            raise ValueError("the approximate form compares by cosine")
+        return similar_pairs_approx(df, id, vec, limit, within=within)[0]
     return (similar_pairs if metric == "cosine" else near_pairs)(df, id, vec, limit, within)
 
 

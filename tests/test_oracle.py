@@ -6,7 +6,7 @@ from shortlens.catalog import QUERIES, SQL
 from shortlens.operators import aggregates as agg
 
 DIRECTORY = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"i3_pca", "i4_project_2d"}
+ROWS_ONLY = {"i3_pca", "i4_project_2d", "i4_neighbor_map", "c14_similar_pairs_approx"}
 
 
 @pytest.fixture(scope="module")
