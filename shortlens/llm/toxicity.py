@@ -2,15 +2,17 @@
 
 Words are read as classes: insult (with a weight), threat, target, negation, reported speech. Insult stems and their weights
 are learned from labelled texts: the stem is the shortest beginning of words that tells toxic texts as well as the words do.
-A clause runs through a chain of small transducers: negation and reported speech weaken what follows, a target strengthens
-it, a threat counts only together with a target. Clause scores add up to a few numbers per text; a logistic curve fitted to
-labels turns them into a probability.
+Each class has a small transducer: negation and reported speech weaken the insults and threats behind them, a target
+strengthens those of its clause, a threat counts only together with a target. They are composed into one table, through which a
+clause runs from left to right. Clause scores add up to a few numbers per text; a logistic curve fitted to labels turns
+them into a probability.
 """
 
 from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +25,28 @@ from shortlens.llm.common import REMEMBERED_WORDS, as_bytes
 # Labelled texts the model is fitted on: up to so many of each label, chosen by a hash of the id.
 SAMPLE_PER_LABEL = 8_000
 STEM_LENGTHS = range(4, 9)
-# A stem must occur in this many toxic sample texts, and this share of them, and be this many times (log) as frequent there.
+# A stem must occur in this many toxic sample texts, be this many times (log) as frequent there, and its texts must be this
+# unlikely (in nats) to be so often toxic by chance, whatever the size of the sample.
 MIN_TEXTS = 3
-MIN_SHARE = 0.01
 MIN_LOG_ODDS = 2.5
+MIN_EVIDENCE = 6.0
 THRESHOLD = 0.7
 
 # Word classes of the grammar, by language.
 TARGETS = "you your you're youre he she they him her them du dich dir ihr euch sie tu te toi vous il elle ils elles usted ustedes él ella ellos"
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais aucun ne non nunca jamás ningún"
 REPORTS = "said says quoted quote wrote called reported allegedly sagte sagt schrieb zitiert dit disait écrit cité dijo dice escribió citó"
-THREATS = "kill hurt destroy beat punch shoot stab die töten schlagen zerstören sterben tuer frapper détruire mourir matar golpear destruir morir"
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
-_WORDS = {w: k for k, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words.split()}
+THREATS = "kill hurt destroy beat punch shoot stab töten schlagen zerstören sterben tuer frapper détruire mourir matar golpear destruir morir"
+CONTRASTS = "but however yet aber doch sondern jedoch mais pourtant pero sino"
+# SOFT is a comma or a colon: the clause goes on behind it.
+INSULT, THREAT, TARGET, NEGATION, REPORT, CONTRAST, SOFT = KINDS = 1, 2, 3, 4, 5, 6, 7
+_LISTS = ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (CONTRAST, CONTRASTS))
+_WORDS = {w: k for k, words in _LISTS for w in words.split()}
 _OUTER = string.punctuation + "“”‘’«»¿¡…–—"
-_ENDS = (b".", b"!", b"?", b";", b":", b",")
+_CLOSING = "\"'”’»)]"
+_ENDS, _SOFT_ENDS = (".", "!", "?", ";"), (":", ",")
+# How a word ends: inside a clause, at its end, before a comma or colon.
+INSIDE, END, PAUSE = 0, -1, -2
 # What the transducers do to a weight.
 NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 0.5, 0.6, 1.25, 2.0
 FEATURES = ("total", "largest", "clauses", "density")
@@ -58,77 +67,145 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Reads classes and writes a factor for each. `moves` has (state, class) -> (next state, factor); what it lacks stays in its
+    state with factor 1. `final` has state -> (factor on the insults of the clause, factor on its threats) at the end."""
+
+    moves: dict[tuple[int, int], tuple[int, float]]
+    final: dict[int, tuple[float, float]]
+
+    def step(self, state: int, kind: int) -> tuple[int, float]:
+        return self.moves.get((state, kind), (state, 1.0))
+
+    def end(self, state: int) -> tuple[float, float]:
+        return self.final.get(state, (1.0, 1.0))
+
+
+def compose(left: Transducer, right: Transducer) -> Transducer:
+    """One transducer that does what both do one after the other; its states are the pairs that can be reached."""
+    number, queue, moves, final = {(0, 0): 0}, [(0, 0)], {}, {}
+    for a, b in queue:
+        here = number[a, b]
+        for kind in KINDS:
+            (to_a, f), (to_b, g) = left.step(a, kind), right.step(b, kind)
+            if (to_a, to_b) not in number:
+                number[to_a, to_b] = len(number)
+                queue.append((to_a, to_b))
+            moves[here, kind] = number[to_a, to_b], f * g
+        final[here] = tuple(f * g for f, g in zip(left.end(a), right.end(b)))
+    return Transducer(moves, final)
+
+
+def _scope(opened_by: int, factor: float, again: int, closed_by: tuple[int, ...]) -> Transducer:
+    """Weakens insults and threats between its word and what closes its scope; a second such word leads to state `again`."""
+    moves = {(0, opened_by): (1, 1.0), (1, opened_by): (again, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor)}
+    return Transducer(moves | {(1, kind): (0, 1.0) for kind in closed_by}, {})
+
+
+# Two negations cancel; a contrast, a comma or a colon ends what a negation reaches. A report reaches to the clause's end.
+NEGATING = _scope(NEGATION, NEGATED, 0, (CONTRAST, SOFT))
+REPORTING = _scope(REPORT, REPORTED, 1, ())
+TARGETING = Transducer({(0, TARGET): (1, 1.0)}, {0: (1.0, 0.0), 1: (TARGETED, 1.0)})
+THREATENING = Transducer({(0, THREAT): (0, THREAT_WEIGHT)}, {})
+GRAMMAR = reduce(compose, (NEGATING, REPORTING, TARGETING, THREATENING))
+
+
 class Classes(dict):
-    """word as written -> (class, weight, whether a clause ends behind it)."""
+    """word as written -> (class, weight, how it ends)."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems, self.codes = stems, []
 
     def __missing__(self, word: bytes) -> int:
-        """0 for a word without meaning inside a clause, -1 for one that ends a clause, else 1 + a place in `codes`."""
+        """INSIDE, END or PAUSE for a word without a class, else 1 + a place in `codes`."""
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        ends = word.endswith(_ENDS)
-        plain = word.decode("utf-8", "replace").lower().strip(_OUTER)
+            self.codes.clear()
+        text = word.decode("utf-8", "replace")
+        tail = text.rstrip(_CLOSING)
+        ends = END if tail.endswith(_ENDS) else PAUSE if tail.endswith(_SOFT_ENDS) else INSIDE
+        plain = text.lower().strip(_OUTER)
         weight = self.stems.get(plain)
         for size in reversed(STEM_LENGTHS):
             if weight is None and len(plain) >= size:
                 weight = self.stems.get(plain[:size] + "*")
         kind = INSULT if weight is not None else _WORDS.get(plain, 0)
         if not kind:
-            value = -1 if ends else 0
+            value = ends
         else:
-            self.codes.append((kind, weight or 0.0, ends))
+            self.codes.append((kind, weight if kind == INSULT else 1.0, ends))
             value = len(self.codes)
         self[word] = value
         return value
 
 
+def clause_scores(items) -> list[float]:
+    """Scores of the clauses that (class or 0, weight, how the word ends) make up, run through the composed table."""
+    moves, final = GRAMMAR.moves, GRAMMAR.final
+    scores, state, insults, threats = [], 0, 0.0, 0.0
+    for kind, weight, ends in items:
+        if kind:
+            state, factor = moves[state, kind]
+            if kind == INSULT:
+                insults += weight * factor
+            elif kind == THREAT:
+                threats += weight * factor
+        if ends == PAUSE:
+            state = moves[state, SOFT][0]
+        elif ends == END:
+            on_insults, on_threats = final[state]
+            scores.append(insults * on_insults + threats * on_threats)
+            state, insults, threats = 0, 0.0, 0.0
+    on_insults, on_threats = final[state]
+    return [*scores, insults * on_insults + threats * on_threats]
+
+
 def clause_score(clause: list[tuple[int, float]]) -> float:
-    """Run the classes of one clause through the chain: each transducer passes on a factor for what follows."""
-    factor, targeted, threats, score = 1.0, False, 0.0, 0.0
-    for kind, weight in clause:
-        if kind == NEGATION:
-            factor *= NEGATED
-        elif kind == REPORT:
-            factor *= REPORTED
-        elif kind == TARGET:
-            targeted = True
-        elif kind == THREAT:
-            threats += THREAT_WEIGHT * factor
-        else:
-            score += weight * factor
-    return score * (TARGETED if targeted else 1.0) + (threats if targeted else 0.0)
+    return clause_scores([(kind, weight if kind == INSULT else 1.0, INSIDE) for kind, weight in clause])[0]
+
+
+def sentence_scores(text: str, stems: dict[str, float]) -> list[float]:
+    """Score of each clause of a text, those that do not match included."""
+    classes = Classes(stems)
+    return clause_scores(_items([classes[w] for w in text.encode().split()], classes))
+
+
+def _items(values: list[int], classes: Classes):
+    return [classes.codes[v - 1] if v > 0 else (0, 0.0, v) for v in values]
 
 
 def read_texts(texts: list[bytes], classes: Classes) -> np.ndarray:
     """The numbers of each text: sum and largest of its clause scores, clauses that match, sum by root of length."""
     out = np.zeros((len(texts), len(FEATURES)))
     for row, text in enumerate(texts):
-        words = np.array(list(map(classes.__getitem__, text.split())), np.int64)
-        marked = np.flatnonzero(words > 0)
-        if not len(marked):
-            continue
-        codes = [classes.codes[i - 1] for i in words[marked].tolist()]
-        if not any(kind in (INSULT, THREAT) for kind, _, _ in codes):
-            continue
-        ended = words == -1
-        ended[marked[[c[2] for c in codes]]] = True
-        clause_of = np.cumsum(ended) - ended  # words before the end share its number
-        scores, at = [], 0
-        numbers = clause_of[marked].tolist()
-        while at < len(codes):
-            stop = at
-            while stop < len(codes) and numbers[stop] == numbers[at]:
-                stop += 1
-            scores.append(clause_score([c[:2] for c in codes[at:stop]]))
-            at = stop
-        hit = [s for s in scores if s > 0]
+        # Numbers of words hold until the memory is cleared, so that happens between texts; a longer text is read word by word.
+        raw = text.split()
+        if len(classes) + len(raw) > REMEMBERED_WORDS:
+            classes.clear()
+            classes.codes.clear()
+        words = [classes[w] for w in raw] if len(raw) <= REMEMBERED_WORDS else None
+        if words is None:
+            items = _streamed(raw, classes)
+        else:
+            told = [v for v in words if v]
+            if not any(v > 0 and classes.codes[v - 1][0] <= THREAT for v in told):
+                continue
+            items = _items(told, classes)
+        hit = [s for s in clause_scores(items) if s > 0]
         if hit:
-            out[row] = sum(hit), max(hit), len(hit), sum(hit) / np.sqrt(len(words))
+            out[row] = sum(hit), max(hit), len(hit), sum(hit) / np.sqrt(len(raw))
     return out
 
 
+def _streamed(raw: list[bytes], classes: Classes):
+    """Words of a text with more of them than are remembered, each looked up as it comes."""
+    for word in raw:
+        value = classes[word]
+        if value:
+            yield classes.codes[value - 1] if value > 0 else (0, 0.0, value)
+
+
 def reader(stems: dict[str, float]):
     @F.arrow_udf(returnType=FEATURES_TYPE)
     def numbers(text: pa.Array) -> pa.Array:
@@ -169,7 +246,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Words and stems with their log odds. Bounded: a text has few words, each stem is in `MIN_SHARE` of the toxic texts."""
+    """Words and stems with their log odds. Bounded by the sample, which is."""
     totals = dict(sample.groupBy("toxic").count().collect())
     good, bad = totals.get(0, 0), totals.get(1, 0)
     if not good or not bad:
@@ -177,7 +254,11 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     in_bad, in_good = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     counted = sample.select("toxic", F.explode_outer(_stems_in("text")).alias("stem")).filter("stem is not null").groupBy("stem").agg(in_bad.alias("bad"), in_good.alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    kept = counted.withColumn("odds", odds).filter((F.col("bad") >= max(MIN_TEXTS, MIN_SHARE * bad)) & (F.col("odds") >= MIN_LOG_ODDS))
+    n, share = F.col("bad") + F.col("good"), bad / (bad + good)
+    clean = F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
+    evidence = F.col("bad") * F.log(F.col("bad") / (n * share)) + clean
+    kept = counted.withColumn("odds", odds).filter((F.col("bad") >= MIN_TEXTS) & (F.col("odds") >= MIN_LOG_ODDS))
+    kept = kept.filter(evidence >= MIN_EVIDENCE)
     found = {r["stem"]: (r["odds"], r["bad"]) for r in kept.select("stem", "odds", "bad").collect()}
     stems: dict[str, float] = {}
     for stem in sorted(found, key=lambda s: (len(s), s)):
@@ -206,6 +287,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0)
     return w.tolist(), centre.tolist(), spread.tolist()
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float], list[float]]:
+    """The same without falling weights: a clause that matches never lowers a score. Columns that would are left out."""
+    used = list(range(x.shape[1]))
+    weights, centre, spread = [0.0] * (x.shape[1] + 1), [0.0] * x.shape[1], [1.0] * x.shape[1]
+    while True:
+        w, c, s = fit_curve(x[:, used], y)
+        falling = {k for k, value in zip(used, w[1:]) if value < 0}
+        if not falling:
+            break
+        used = [k for k in used if k not in falling]
+    weights[0] = w[0]
+    for k, value, middle, width in zip(used, w[1:], c, s):
+        weights[k + 1], centre[k], spread[k] = value, middle, width
+    return weights, centre, spread
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> Grammar:
     """Stems and curve from at most `per_label` labelled texts of each label. Without both labels every score is 0.5 or less."""
     sample = sample_labelled(docs, labels, doc_id, text, label, per_label)
@@ -214,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not stems or not rows:
         return Grammar({}, [-1.0, *[0.0] * len(FEATURES)], [0.0] * len(FEATURES), [1.0] * len(FEATURES))
     table = np.array([tuple(r) for r in rows], float)
-    return Grammar(stems, *fit_curve(table[:, :-1], table[:, -1]))
+    return Grammar(stems, *fit_rising(table[:, :-1], table[:, -1]))
 
 
 def score_text(text: Column, grammar: Grammar) -> Column:

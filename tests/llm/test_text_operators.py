@@ -281,6 +281,43 @@ def test_clauses_weaken_and_strengthen():
     assert toxicity.clause_score([(toxicity.THREAT, 0)]) == 0 < toxicity.clause_score([(toxicity.TARGET, 0), (toxicity.THREAT, 0)])
 
 
+def test_composed_transducers_do_what_each_does():
+    parts = [toxicity.NEGATING, toxicity.REPORTING, toxicity.TARGETING, toxicity.THREATENING]
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        clause = [(int(k), float(w)) for k, w in zip(rng.integers(1, 8, rng.integers(0, 9)), rng.random(8) * 5)]
+        insults, threats, ends = 0.0, 0.0, np.ones(2)
+        factors = np.ones(len(clause))
+        for part in parts:
+            state = 0
+            for i, (kind, _) in enumerate(clause):
+                state, factor = part.step(state, kind)
+                factors[i] *= factor
+            ends *= part.end(state)
+        insults = sum(w * f for (k, w), f in zip(clause, factors) if k == toxicity.INSULT)
+        threats = sum(f for (k, _), f in zip(clause, factors) if k == toxicity.THREAT)
+        assert abs(toxicity.clause_score(clause) - (insults * ends[0] + threats * ends[1])) < 1e-9
+
+
+def test_scopes_in_sentences():
+    def best(text):
+        return max(toxicity.sentence_scores(text, {"idiot*": 4.0}))
+
+    direct = best("You are an idiot.")
+    assert direct == 5.0 and best("An idiot.") == 4.0 and best("A friend.") == 0
+    assert best("He said: you are an idiot.") == best("He said you are an idiot") == best("He said, \"you are an idiot.\"") == 3.0
+    assert best("You are not an idiot") == 2.5 and best("You are not nice but an idiot") == best("No, you are an idiot") == direct
+    assert best("Die Frau und sie lesen die Zeitung") == 0 and best("I will kill you") == 2.0 and best("He said. You are an idiot") == direct
+    assert best("You are never not an idiot") == direct
+
+
+def test_toxicity_reads_texts_longer_than_its_memory(monkeypatch):
+    text = " ".join(f"word{i}" for i in range(400)) + ". You idiot. " + " ".join(f"other{i}" for i in range(400))
+    plain = toxicity.read_texts([text.encode(), b"You idiot."], toxicity.Classes({"idiot*": 4.0}))
+    monkeypatch.setattr(toxicity, "REMEMBERED_WORDS", 50)
+    assert np.allclose(plain, toxicity.read_texts([text.encode(), b"You idiot."], toxicity.Classes({"idiot*": 4.0}))) and plain[0, 0] == 5.0
+
+
 def test_toxicity_takes_odd_tables(spark, odd_documents):
     labels = spark.createDataFrame([(5, 0), (7, 1), (None, 1)], "doc_id bigint, toxic int")
     grammar = toxicity.fit(odd_documents, labels)
