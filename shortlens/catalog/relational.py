@@ -174,7 +174,7 @@ def _(t):
 @query("c14_similar_pairs_approx")
 def _(t):
     """Not in SQL: random directions. tests/ holds it against all pairs."""
-    return nb.pairs(t("embeddings"), "vec_id", "embedding", "cosine", 0.5, approx=True).withColumn("similarity", r6("similarity"))
+    return nb.pairs(t("embeddings"), "vec_id", "embedding", "cosine", 0.35, approx=True).withColumn("similarity", r6("similarity"))
 
 
 @query(
