@@ -13,10 +13,12 @@ from shortlens.operators.joins import attach
 from shortlens.plans import clusters as cl
 from shortlens.plans import embedding as em
 from shortlens.plans import hierarchy as hi
+from shortlens.plans import model as dm
 from shortlens.plans import naming as nm
 from shortlens.plans import quality as ql
 from shortlens.plans.layout import neighbor_map
 from shortlens.plans.publish import map_points
+from shortlens.runtime import scratch_path
 from shortlens.sources import from_rows
 
 LEXICON = [("bolt", "NN"), ("gear", "NN"), ("ring", "NN"), ("plate", "VB"), ("rod", "NNS"), ("red", "JJ"), ("cold", "JJ")]
@@ -266,6 +268,67 @@ def _(t):
     return found.withColumn("probability", r6("probability"))
 
 
+# The tree of the rows that have a label, asked about all rows. A row the model holds keeps its place.
+KNOWN_TREE = TREE[: TREE.rindex("SELECT e.vec_id")].replace("embeddings", "known").replace("WITH RECURSIVE d AS", "WITH RECURSIVE known AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)), d AS")
+ASKED = """, spot AS (
+  SELECT n.id, number, formed, first, w AS taken, min(c.top) AS top
+  FROM named n JOIN home USING (id) JOIN u ON u.b = n.id JOIN (SELECT DISTINCT birth, formed, top FROM chosen) c USING (formed)
+  WHERE c.birth = u.a AND u.u < c.top GROUP BY ALL
+), far AS (
+  SELECT e.vec_id, k.vec_id AS p, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS d
+  FROM embeddings e JOIN known k ON true WHERE e.vec_id NOT IN (SELECT vec_id FROM known)
+), own AS (SELECT vec_id, d AS core FROM far QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d) = 2
+), entry AS (
+  SELECT far.vec_id, p, greatest(d, own.core, core.core) AS reach FROM far JOIN own USING (vec_id) JOIN core ON core.a = p
+  QUALIFY row_number() OVER (PARTITION BY far.vec_id ORDER BY reach, p) = 1
+), placed AS (
+  SELECT id AS vec_id, number, formed / greatest(taken, formed) AS probability FROM spot UNION ALL
+  SELECT vec_id, number, formed / greatest(taken, reach, formed) FROM entry JOIN spot ON spot.id = p WHERE greatest(taken, reach) < top
+)"""
+MODEL_SAMPLES, MODEL_SIZE, MODEL_EPSILON = 2, 5, 1.14
+
+
+def stored_model(t, known):
+    path = scratch_path(t.spark, "model")
+    dm.fit_model(known, "vec_id", "embedding", path, MODEL_SAMPLES, MODEL_SIZE, "leaf", MODEL_EPSILON)
+    return dm.load_model(t.spark, path)
+
+
+@query(
+    "i9_stored_model",
+    KNOWN_TREE + ASKED + """ SELECT e.vec_id, coalesce(number, -1) AS cluster, round(coalesce(probability, 0), 6) AS probability
+    FROM embeddings e LEFT JOIN placed USING (vec_id)""",
+)
+def _(t):
+    known = t("embeddings").join(t("labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    found = dm.assign(stored_model(t, known), t("embeddings"), "vec_id", "embedding")
+    return found.withColumn("probability", r6("probability"))
+
+
+EXEMPLARS = """, marks AS (
+  SELECT DISTINCT u.b AS id, number, n.formed FROM births x JOIN u ON u.a = x.birth AND u.u <= x.formed JOIN home h ON h.id = u.b AND h.w = x.formed
+  JOIN named n ON n.id = u.b
+), near AS (
+  SELECT e.vec_id, number, any_value(formed) AS formed, min(d) AS d, min(greatest(d, own.core, core.core)) AS reach
+  FROM (SELECT e.vec_id, m.id, number, formed, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS d
+    FROM embeddings e JOIN marks m ON true JOIN embeddings k ON k.vec_id = m.id) e
+  JOIN core own ON own.a = e.vec_id JOIN core ON core.a = e.id GROUP BY 1, 2
+), merged AS (SELECT vec_id, number, formed / greatest(reach, formed) AS strength, strength / greatest(d, 1e-9) AS value FROM near),
+soft AS (
+  SELECT vec_id, arg_min(number, (-value, number)) AS soft_cluster, max(value) / sum(value) * max(strength) AS soft_probability FROM merged GROUP BY 1
+)"""
+
+
+@query(
+    "i8_soft_exemplars",
+    TREE[: TREE.rindex("SELECT e.vec_id")] + EXEMPLARS + """ SELECT vec_id, coalesce(soft_cluster, -1) AS soft_cluster, round(coalesce(soft_probability, 0), 6) AS soft_probability
+    FROM embeddings LEFT JOIN soft USING (vec_id)""",
+)
+def _(t):
+    found = dm.exemplar_membership(stored_model(t, t("embeddings")), t("embeddings"), "vec_id", "embedding")
+    return found.withColumn("soft_probability", r6("soft_probability"))
+
+
 @query(
     "i7_membership",
     f"""WITH RECURSIVE {DENSE}, d AS (SELECT a.vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d

@@ -287,6 +287,23 @@ def choose_clusters(clusters: DataFrame, points: DataFrame, method: str = "leaf"
     return _climb(clusters, settle(chosen)).withColumnRenamed("target", "chosen")
 
 
+def tree_points(df: DataFrame, id: str, vec: str, min_samples: int = 2, min_cluster_size: int = 5, method: str = "leaf", epsilon: float = 0.75, block: int = BLOCK) -> DataFrame:
+    """(id, w, cluster, formed, top, exemplar): the distinct vectors inside chosen clusters, which are numbered from 0 by their smallest id.
+
+    `w` is the distance at which the tree takes a point in, `formed` and `top` those at which the chosen cluster appears and
+    merges. Exemplars are the points with which a leaf inside the chosen cluster appears: its densest ones.
+    """
+    tree = settle(spanning_tree(df, id, vec, min_samples, block))
+    clusters, points = condense(tree, min_cluster_size)
+    chosen = choose_clusters(clusters, points, method, epsilon).join(clusters.select(F.col("cluster").alias("chosen"), "formed", "top"), "chosen")
+    inner = clusters.select("cluster", F.col("formed").alias("_born")).join(clusters.select(F.col("parent").alias("cluster")).distinct(), "cluster", "left_anti")
+    found = points.join(chosen, "cluster").join(inner, "cluster", "left")
+    found = settle(found.select("id", "w", "chosen", "formed", "top", F.coalesce(F.col("w") == F.col("_born"), F.lit(False)).alias("exemplar")))
+    firsts = found.groupBy("chosen").agg(F.min("id").alias("first"))
+    names = with_position(firsts.withColumn("_all", F.lit(0)), "_all", "first", "number")
+    return found.join(names.select("chosen", (F.col("number") - 1).alias("cluster")), "chosen").drop("chosen")
+
+
 def tree_clusters(
     df: DataFrame,
     id: str,
@@ -303,13 +320,8 @@ def tree_clusters(
     cluster takes the point in, at most that of the cluster itself, as a share of the latter; noise has 0. Equal vectors are
     one point of the tree and share its answer; null vectors are noise.
     """
-    tree = settle(spanning_tree(df, id, vec, min_samples, block))
-    clusters, points = condense(tree, min_cluster_size)
-    chosen = choose_clusters(clusters, points, method, epsilon).join(clusters.select(F.col("cluster").alias("chosen"), "formed"), "chosen")
-    found = settle(points.join(chosen, "cluster").select(F.col("id").alias("rep"), "chosen", (F.col("formed") / F.greatest("w", "formed")).alias("probability")))
-    firsts = found.groupBy("chosen").agg(F.min("rep").alias("first"))
-    names = with_position(firsts.withColumn("_all", F.lit(0)), "_all", "first", "number")
-    numbered = found.join(names.select("chosen", (F.col("number") - 1).alias("cluster")), "chosen")
+    found = settle(tree_points(df, id, vec, min_samples, min_cluster_size, method, epsilon, block))
+    numbered = found.select(F.col("id").alias("rep"), "cluster", (F.col("formed") / F.greatest("w", "formed")).alias("probability"))
     reps = copies_of(df, id, vec, distinct_vectors(df, id, vec))
     rows = reps.join(numbered, "rep").select(id, "cluster", "probability")
     out = df.select(id).join(rows, id, "left")
