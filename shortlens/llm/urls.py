@@ -61,6 +61,11 @@ def _words(name: Column) -> Column:
     return F.split(F.lower(name), r"[^\p{L}\p{N}]+")
 
 
+def _with(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once; inside lambdas an expression is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def items_of(url: Column, host: Column, path: Column) -> Column:
     """The items of a URL, array<struct<item, kind, depth>>, each once at its least depth; a port or a user name belongs to the host only.
 
@@ -70,10 +75,9 @@ def items_of(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     keys = F.array_join(F.array_sort(F.transform(F.split(query, "&"), lambda pair: F.substring_index(pair, "=", 1))), "&")
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    labels = F.reverse(F.split(name, r"\."))
     parts = F.split(path, "/")
     file = F.regexp_replace(F.element_at(parts, -1), r"\.[A-Za-z0-9]+$", "")
-    folders = F.when(F.size(parts) > 2, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    above = F.when(F.size(parts) > 2, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
     def made(kind: int, prefix: str, value: Column, depth: Column) -> Column:
         return F.struct(F.concat(F.lit(f"{prefix}:"), value).alias("item"), F.lit(kind).alias("kind"), depth.cast("int").alias("depth"))
@@ -81,25 +85,36 @@ def items_of(url: Column, host: Column, path: Column) -> Column:
     def words(kind: int, prefix: str, listed: Column, first: int) -> Column:
         return F.flatten(F.transform(listed, lambda text, i: F.transform(_words(text), lambda word: made(kind, prefix, word, i + first))))
 
-    single = {
-        "scheme": F.lower(F.substring_index(url, "://", 1)),
-        "host": host,
-        "sub": F.when(F.size(labels) > 2, F.element_at(labels, -1)),
-        "ext": F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1),
-        "query": keys,
-        "anchor": F.when(F.instr(url, "#") > 0, F.lit("yes")),
-    }
-    listed = F.concat(
-        F.array_compact(F.array(*[F.when(value != "", made(SINGLE, kind, value, F.lit(0))) for kind, value in single.items()])),
-        F.transform(labels, lambda _, i: made(SUFFIX, "suffix", F.array_join(F.reverse(F.slice(labels, F.lit(1), i + 1)), "."), i + 1)),
-        F.transform(folders, lambda _, i: made(FOLDERS, "folders", F.array_join(F.slice(folders, F.lit(1), i + 1), "/"), i + 1)),
-        F.transform(labels, lambda label, i: made(HOST_WORD, "label", label, i + 1)),
-        words(HOST_WORD, "hostword", labels, 1),
-        words(PATH_WORD, "pathword", F.concat(folders, F.array(file)), 1),
-    )
+    def single(labels: Column) -> Column:
+        values = {
+            "scheme": F.lower(F.substring_index(url, "://", 1)),
+            "host": host,
+            "sub": F.when(F.size(labels) > 2, F.element_at(labels, -1)),
+            "ext": F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1),
+            "query": keys,
+            "anchor": F.when(F.instr(url, "#") > 0, F.lit("yes")),
+        }
+        return F.array_compact(F.array(*[F.when(value != "", made(SINGLE, kind, value, F.lit(0))) for kind, value in values.items()]))
+
+    def of_host(labels: Column) -> Column:
+        return F.concat(
+            single(labels),
+            F.transform(labels, lambda _, i: made(SUFFIX, "suffix", F.array_join(F.reverse(F.slice(labels, F.lit(1), i + 1)), "."), i + 1)),
+            F.transform(labels, lambda label, i: made(HOST_WORD, "label", label, i + 1)),
+            words(HOST_WORD, "hostword", labels, 1),
+        )
+
+    def of_path(folders: Column) -> Column:
+        return F.concat(
+            F.transform(folders, lambda _, i: made(FOLDERS, "folders", F.array_join(F.slice(folders, F.lit(1), i + 1), "/"), i + 1)),
+            words(PATH_WORD, "pathword", F.concat(folders, F.array(file)), 1),
+        )
+
+    listed = F.concat(_with(F.reverse(F.split(name, r"\.")), of_host), _with(above, of_path))
     kept = F.array_sort(F.filter(listed, lambda one: ~one["item"].endswith(":")))
     # Sorted by item, then kind and depth: the first of each item has its least depth.
-    return F.filter(kept, lambda one, i: (i == 0) | (F.get(kept, i - 1)["item"] != one["item"])).cast(f"array<{ITEM}>")
+    first = _with(kept, lambda all: F.filter(all, lambda one, i: (i == 0) | (F.get(all, i - 1)["item"] != one["item"])))
+    return first.cast(f"array<{ITEM}>")
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
