@@ -264,6 +264,16 @@ def test_mined_url_rules_equal_counting(spark):
     rules = [set(i) for i, n in bad_count.items() if n >= 20 and n / count[i] >= urls.MIN_CONFIDENCE]
     assert rules
     assert got == {k: any(r <= set(t) for r in rules) for k, t in tokens_of.items()}
+    items = urls.items_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    known = pages.select("page_id", items.alias("items")).join(labels.filter("bad is not null"), "page_id").select("items", "bad")
+    mined = urls.mine_rules(known, min_rows=20)[0].collect()
+    assert mined
+    for r in mined:
+        key = tuple(sorted(r["items"]))
+        share = sum(bool(bad) for _, _, bad in rows) / sum(bad is not None for _, _, bad in rows)
+        assert r["support"] == bad_count[key] and abs(r["confidence"] - bad_count[key] / count[key]) < 1e-12
+        assert abs(r["lift"] - r["confidence"] / share) < 1e-9
+        assert not any(set(other["items"]) < set(key) for other in mined)
 
 
 def test_mined_url_rules_add_up_hosts_words_and_deep_folders(spark):
