@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlens.operators.neighbors import BLOCK, copies_of, distances, distinct_vectors, matrix, meet, nearest, place, placed_by_pivot
+from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, matrix, meet, nearest, place, placed_by_pivot
 from shortlens.operators.ranking import with_position
 from shortlens.plans.components import components
 from shortlens.runtime import settle
@@ -37,8 +37,12 @@ def _shortest_way_out(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
     reach = _reach(v, m)
     at = reach.argmin(1)
     out = pd.DataFrame({"component": v["component"], "w": reach[np.arange(len(v)), at], "a": v["id"], "b": m["id"].to_numpy()[at]})
-    out = out[np.isfinite(out["w"])].sort_values("w", kind="stable")
-    return out.drop_duplicates("component")
+    return _shortest(out[np.isfinite(out["w"])])
+
+
+def _shortest(ways: pd.DataFrame) -> pd.DataFrame:
+    """The first of the shortest ways of each component."""
+    return ways.sort_values(["w", "a", "b"]).drop_duplicates("component")
 
 
 def _joined(ways: DataFrame, schema: str) -> DataFrame:
@@ -96,11 +100,11 @@ def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block:
         offered = settle(known.unionByName(turned).groupBy("component").agg(shortest).filter(F.col("component") != largest))
         now = placed.join(state, "id")
         bound = F.coalesce(F.col("edge.w"), F.lit(float("inf")))
-        asking = now.filter(F.col("component") != largest).join(offered, "component", "left").withColumn("reach", bound)
-        asking = asking.filter(F.col("least") < F.col("reach")).drop("edge")
+        visitors = now.filter(F.col("component") != largest).join(offered, "component", "left").withColumn("reach", bound)
+        visitors = visitors.filter(F.col("least") < F.col("reach")).drop("edge")
         if len(pivots):
-            asking = asking.withColumn("_cell", F.explode(place(F.col("vec"), F.col("reach"), pivots, False)["visits"]))
-        found = meet(now, asking, ["_cell"], _shortest_way_out, f"component {kind}, w double, a {kind}, b {kind}", block)
+            visitors = asking(visitors, place(F.col("vec"), F.col("reach"), pivots, False)["visits"])
+        found = meet(now, visitors, ["_group"], _shortest_way_out, f"component {kind}, w double, a {kind}, b {kind}", block, _shortest)
         candidates = offered.select("component", "edge.*").unionByName(found).groupBy("component").agg(shortest)
         chosen = settle(candidates.select(F.least("edge.a", "edge.b").alias("a"), F.greatest("edge.a", "edge.b").alias("b"), "edge.w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shortlens.operators.neighbors import BLOCK, copies_of, distances, distinct_vectors, matrix, meet, nearest, place, placed_by_pivot
+from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, grouped, matrix, meet, nearest, place, placed_by_pivot
 from shortlens.plans.hierarchy import tree_points
 from shortlens.runtime import settle
 
@@ -117,30 +117,33 @@ def _look_up(model: DensityModel, asked: DataFrame, block: int) -> DataFrame:
     """(id, core, reach, neighbor): by which stored point each of `asked` (id, vec) would enter the tree, and at which distance."""
     kind, own_kind = asked.schema["id"].dataType.simpleString(), model.points.schema["id"].dataType.simpleString()
     k, pivots = model.min_samples, model.pivots
-    members = model.points.select("id", "vec", "core", F.col("home").alias("_cell"))
+    members = grouped(model.points.select("id", "vec", "core", "home"), "home", max(1, len(pivots))).drop("home")
 
-    def cells(rows: DataFrame, reach) -> DataFrame:
-        if not len(pivots):
-            return rows.withColumns({"_cell": F.lit(0), "_home": F.lit(0)})
-        at = rows.withColumn("_at", place(F.col("vec"), reach, pivots, False))
-        return at.withColumn("_cell", F.explode("_at.visits")).withColumn("_home", F.col("_at.home")).drop("_at")
+    def visitors(rows: DataFrame, reach) -> DataFrame:
+        return asking(rows, place(F.col("vec"), reach, pivots, False)["visits"]) if len(pivots) else rows.withColumn("_group", F.lit(0))
 
     def best(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("id").orderBy("distance", "neighbor")
         return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     schema = f"id {kind}, neighbor {own_kind}, distance double, core double"
-    home = cells(asked, F.lit(-1.0)).filter("_cell = _home")
-    near = settle(best(meet(members, home, ["_cell"], _closest(k), schema, block)))
+    def top(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["id", "distance", "neighbor"]).groupby("id", sort=False).head(k)
+
+    def first(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["id", "reach", "neighbor"]).drop_duplicates("id")
+
+    at = place(F.col("vec"), F.lit(-1.0), pivots, False)["home"] if len(pivots) else F.lit(0)
+    near = settle(best(meet(members, asked.withColumn("_cell", at), ["_cell"], _closest(k), schema, block, top)))
     if len(pivots):
         bound = near.filter(F.col("rank") == k).select("id", F.col("distance").alias("_reach"))
-        far = cells(asked.join(bound, "id", "left"), F.coalesce("_reach", F.lit(float("inf")))).filter("_cell <> _home").drop("_reach")
-        near = settle(best(near.drop("rank").unionByName(meet(members, far, ["_cell"], _closest(k), schema, block))))
+        far = visitors(asked.join(bound, "id", "left"), F.coalesce("_reach", F.lit(float("inf")))).drop("_reach")
+        near = settle(best(meet(members, far, ["_group"], _closest(k), schema, block, top)))
     cores = near.groupBy("id").agg(F.max("distance").alias("_core"))
     # One of the nearest offers a way in; a better one is nearer than that offer.
     offered = near.join(cores, "id").groupBy("id", F.col("_core").alias("core")).agg(F.min(F.greatest("distance", "_core", "core")).alias("_reach"))
-    asking = cells(asked.join(offered, "id"), F.col("_reach")).drop("_reach")
-    found = meet(members, asking, ["_cell"], _entry, f"id {kind}, reach double, neighbor {own_kind}", block)
+    offers = visitors(asked.join(offered, "id"), F.col("_reach")).drop("_reach")
+    found = meet(members, offers, ["_group"], _entry, f"id {kind}, reach double, neighbor {own_kind}", block, first)
     least = found.groupBy("id").agg(F.min(F.struct("reach", "neighbor")).alias("entry"))
     return least.join(cores, "id").select("id", F.col("_core").alias("core"), "entry.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shortlens.functions.vectors import dot, doubles, euclidean, l2_normalize, norm, squared_distance
 from shortlens.operators.aggregates import group_means
-from shortlens.operators.neighbors import BLOCK, core_distances, distances, matrix, meet, place, placed_by_pivot
+from shortlens.operators.neighbors import BLOCK, asking, core_distances, distances, matrix, meet, place, placed_by_pivot
 from shortlens.plans.components import components
 from shortlens.runtime import settle
 
@@ -47,7 +47,10 @@ def silhouette(
         return pd.DataFrame({"id": v["id"], "at": v["_at"], "own": v["cluster"] == v["_at"], "total": total})
 
     schema = f"id {kind}, at {points.schema['cluster'].dataType.simpleString()}, own boolean, total double"
-    sums = meet(members, visits, ["_at"], kernel, schema).groupBy("id", "at", "own").agg(F.sum("total").alias("total"))
+    def added(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby(["id", "at", "own"], as_index=False, sort=False).sum()
+
+    sums = meet(members, visits, ["_at"], kernel, schema, merge=added).groupBy("id", "at", "own").agg(F.sum("total").alias("total"))
     sums = sums.join(stats.select(F.col("cluster").alias("at"), "members"), "at")
     a = F.max(F.when(F.col("own") & (F.col("members") > 1), F.col("total") / F.greatest(F.col("members") - 1, F.lit(1))))
     b = F.min(F.when(~F.col("own"), F.col("total") / F.col("members")))
@@ -165,20 +168,33 @@ def davies_bouldin(df: DataFrame, id: str, vec: str, cluster: str = "cluster", d
     return worst.agg(F.avg("worst").alias("davies_bouldin"))
 
 
-def _light_tree(weight: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """A lightest spanning forest of one dense block; inf means no edge."""
-    n = len(ids)
-    best, parent = np.full(n, np.inf), np.full(n, -1)
-    waiting = np.ones(n, dtype=bool)
-    edges = []
-    for _ in range(n):
-        at = int(np.where(waiting, best, np.inf).argmin()) if np.isfinite(best[waiting]).any() else int(waiting.argmax())
-        if np.isfinite(best[at]) and parent[at] >= 0:
-            edges.append((ids[parent[at]], ids[at], best[at]))
-        waiting[at] = False
-        closer = waiting & (weight[at] < best)
-        best[closer], parent[closer] = weight[at][closer], at
-    return pd.DataFrame(edges, columns=["a", "b", "w"])
+def _light_tree(weight: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> pd.DataFrame:
+    """A lightest spanning forest of the edges between rows and columns, named by ids that are unique on each side; inf means no
+    edge. An id on both sides is one point."""
+    ids, at = np.unique(np.concatenate([rows, columns]), return_inverse=True)
+    row, column = at[: len(rows)], at[len(rows) :]
+    weight, turned = np.ascontiguousarray(weight), np.ascontiguousarray(weight.T)
+    as_row, as_column = np.full(len(ids), -1), np.full(len(ids), -1)
+    as_row[row], as_column[column] = np.arange(len(row)), np.arange(len(column))
+    best, parent, waiting = np.full(len(ids), np.inf), np.full(len(ids), -1), np.ones(len(ids), dtype=bool)
+    edges, start = [], 0
+    for _ in range(len(ids)):
+        at = int(best.argmin())
+        if np.isinf(best[at]):
+            start += int(waiting[start:].argmax())
+            at = start
+        else:
+            edges.append((parent[at], at, best[at]))
+        best[at], waiting[at] = np.inf, False
+        for place, ways, ends in ((as_row[at], weight, column), (as_column[at], turned, row)):
+            if place >= 0:
+                way = ways[place]
+                closer = ends[(way < best[ends]) & waiting[ends]]
+                if len(closer):
+                    best[ends] = np.where(waiting[ends], np.minimum(way, best[ends]), np.inf)
+                    parent[closer] = at
+    a, b, w = (np.array(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 3
+    return pd.DataFrame({"a": ids[a], "b": ids[b], "w": w.astype(np.float64)})
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -205,12 +221,51 @@ def _mutual_reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:
     return np.maximum(distances(matrix(v["vec"]), matrix(m["vec"])), cores)
 
 
+def _light_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """(a, b, w): a lightest spanning forest of edges between the numbered `ids`."""
+    order = np.argsort(w, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    tree, kept = np.arange(len(ids)), []
+    live = np.flatnonzero(a != b)
+    while len(live):
+        x, y = tree[a[live]], tree[b[live]]
+        # Edges lie in order of weight, so the first one of a tree is its lightest; one order of all leaves no cycle.
+        first = np.full(len(ids), len(w))
+        np.minimum.at(first, x, live)
+        np.minimum.at(first, y, live)
+        taken = np.unique(first[first < len(w)])
+        kept.append(taken)
+        x, y = tree[a[taken]], tree[b[taken]]
+        name = np.arange(len(ids))
+        while True:
+            low = np.minimum(name[x], name[y])
+            new = name.copy()
+            for end in (x, y):
+                np.minimum.at(new, name[end], low)
+                np.minimum.at(new, end, low)
+            new = new[new]
+            if (new == name).all():
+                break
+            name = new
+        tree = name[tree]
+        live = live[tree[a[live]] != tree[b[live]]]
+    at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": ids[a[at]], "b": ids[b[at]], "w": w[at]})
+
+
 def _block_tree(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-    """A lightest forest of one block pair of a cluster, over edges within the cluster's reach."""
-    both = pd.concat([m, v]).drop_duplicates("id")
-    weight = _mutual_reach(both, both)
-    out = _light_tree(np.where(weight <= both["reach"].iloc[0], weight, np.inf), both["id"].to_numpy())
-    return out.assign(cluster=both["cluster"].iloc[0])
+    """A lightest forest of the edges between both sides of one block pair of a cluster, within the cluster's reach."""
+    m, v = m.drop_duplicates("id"), v.drop_duplicates("id")
+    weight = _mutual_reach(v, m)
+    out = _light_tree(np.where(weight <= v["reach"].iloc[0], weight, np.inf), v["id"].to_numpy(), m["id"].to_numpy())
+    return out.assign(cluster=v["cluster"].iloc[0])
+
+
+def _lighter(found: pd.DataFrame) -> pd.DataFrame:
+    """A lightest forest of what block pairs of one cluster gave."""
+    ids, at = np.unique(found[["a", "b"]].to_numpy(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    return _light_forest(at[:, 0], at[:, 1], found["w"].to_numpy(), ids).assign(cluster=found["cluster"].iloc[0])
 
 
 def _longest_edges(points: DataFrame, sizes: DataFrame, schema: str) -> DataFrame:
@@ -222,20 +277,16 @@ def _longest_edges(points: DataFrame, sizes: DataFrame, schema: str) -> DataFram
     """
     small = points.join(sizes.filter(F.col("members") <= BLOCK).select("cluster"), "cluster")
     small = small.withColumn("reach", F.lit(float("inf")))
-    longest = meet(small, small, ["cluster"], _block_tree, schema, BLOCK).groupBy("cluster").agg(F.max("w").alias("loose"))
+    longest = meet(small, small, ["cluster"], _block_tree, schema, BLOCK, _lighter).groupBy("cluster").agg(F.max("w").alias("loose"))
     large = settle(points.join(sizes.filter(F.col("members") > BLOCK).select("cluster"), "cluster"))
     if large.isEmpty():
         return longest
     placed, pivots = placed_by_pivot(large, BLOCK)
-    if not len(pivots):
-        placed = placed.withColumn("_visits", F.array(F.lit(0)))
     todo = settle(large.groupBy("cluster").agg(F.max("core").alias("reach")))
     while not todo.isEmpty():
         near = placed.join(todo, "cluster")
-        if len(pivots):
-            near = near.withColumn("_visits", place(F.col("vec"), F.col("reach"), pivots, True)["visits"])
-        asking = near.withColumn("_cell", F.explode("_visits")).drop("_visits")
-        edges = settle(meet(near.drop("_visits"), asking, ["cluster", "_cell"], _block_tree, schema, BLOCK))
+        visitors = asking(near, place(F.col("vec"), F.col("reach"), pivots, True)["visits"]) if len(pivots) else near
+        edges = settle(meet(near, visitors, ["cluster", "_group"], _block_tree, schema, BLOCK, _lighter))
         parts = near.select("id", "cluster").join(components(edges), "id", "left")
         parts = parts.groupBy("cluster").agg(F.count_distinct(F.coalesce("component", F.col("id"))).alias("parts"))
         parts = settle(parts)
@@ -264,17 +315,19 @@ def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster",
     def gaps(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         same = v["cluster"].to_numpy()[:, None] == m["cluster"].to_numpy()[None, :]
         out = pd.DataFrame({"cluster": v["cluster"], "apart": np.where(same, np.inf, _mutual_reach(v, m)).min(1)})
-        return out.groupby("cluster", as_index=False).min()
+        return closest(out)
+
+    def closest(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby("cluster", as_index=False).min()
 
     # What a cluster finds in the cells of its own points bounds how far those points must look in other cells.
     schema = f"cluster {kind}, apart double"
     placed, pivots = placed_by_pivot(points, BLOCK)
-    near = settle(meet(placed, placed, ["_cell"], gaps, schema, BLOCK).groupBy("cluster").agg(F.min("apart").alias("apart")))
+    near = settle(meet(placed, placed, ["_cell"], gaps, schema, BLOCK, closest).groupBy("cluster").agg(F.min("apart").alias("apart")))
     apart = near
     if len(pivots):
-        asking = placed.join(near, "cluster").withColumn("_at", place(F.col("vec"), F.col("apart"), pivots, False)["visits"])
-        asking = asking.withColumn("_cell", F.explode("_at")).filter("_cell <> _home").drop("_at", "apart")
-        apart = near.unionByName(meet(placed, asking, ["_cell"], gaps, schema, BLOCK))
+        visitors = asking(placed.join(near, "cluster"), place(F.col("vec"), F.col("apart"), pivots, False)["visits"]).drop("apart")
+        apart = near.unionByName(meet(placed, visitors, ["_group"], gaps, schema, BLOCK, closest))
     apart = apart.groupBy("cluster").agg(F.min("apart").alias("apart"))
     rows = sizes.join(apart, "cluster").join(loose, "cluster", "left").withColumn("loose", F.coalesce("loose", F.lit(0.0)))
     score = F.try_divide(F.col("apart") - F.col("loose"), F.nullif(F.greatest("apart", "loose"), F.lit(0.0)))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from shortlens.functions import vectors as vec
@@ -243,3 +244,62 @@ def test_pca_keeps_most_variance_first(spark, cloud):
     assert (np.diff(variance) <= 0).all() and np.allclose(variance, values, rtol=1e-6)
     flat = em.project_2d(table(spark, cloud), "vec")
     assert set(flat.columns) == {"id", "vec", "x", "y"}
+
+
+def test_a_row_travels_once_to_a_group_of_cells_and_meets_all_the_same(spark):
+    x = np.random.default_rng(5).standard_normal((640, 8))
+    points = nb.distinct_vectors(table(spark, x), "id", "vec").select("id", "vec").cache()
+    placed, pivots = nb.cover(points, 3.0, False, block=16)
+    assert len(pivots) > 2 * nb.LEAST_GROUPS
+    # With a reach that leaves little out every row visited nearly every cell.
+    assert nb.visitors_of(placed).count() <= len(x) * nb.LEAST_GROUPS
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    found = nb.close_pairs(points, 3.0, "euclidean", block=16).collect()
+    assert {(r["id1"], r["id2"]) for r in found} == {(i, j) for i, j in zip(*np.nonzero(apart <= 3.0)) if i < j}
+    assert len(found) == len({(r["id1"], r["id2"]) for r in found})
+    near = {(r["id"], r["rank"]): r["neighbor"] for r in nb.nearest(points, 2, block=16).collect()}
+    order = apart.argsort(1, kind="stable")
+    assert near == {(i, k + 1): order[i, k] for i in range(len(x)) for k in range(2)}
+
+
+def test_block_pairs_of_a_task_give_one_merged_answer(spark):
+    x = np.random.default_rng(6).standard_normal((200, 4))
+    points = nb.distinct_vectors(table(spark, x), "id", "vec").select("id", "vec").withColumn("_all", F.lit(0)).cache()
+
+    def kernel(m, v):
+        return pd.DataFrame({"id": v["id"], "n": len(m)})
+
+    def added(found):
+        return found.groupby("id", as_index=False).sum()
+
+    found = nb.meet(points, points, ["_all"], kernel, "id bigint, n bigint", 16, added).collect()
+    assert [r["n"] for r in found] == [200] * 200 and len({r["id"] for r in found}) == 200
+
+
+def test_lightest_forest_of_block_pairs():
+    rng = np.random.default_rng(7)
+    w = rng.random((30, 30))
+    w = np.minimum(w, w.T)
+    ids = np.array([f"p{i:02}" for i in range(30)])
+
+    def weight(a, b, w):
+        tree, total = {i: i for i in ids}, 0.0
+        for k in np.argsort(w, kind="stable"):
+            one, two = a[k], b[k]
+            while tree[one] != one:
+                one = tree[one]
+            while tree[two] != two:
+                two = tree[two]
+            if one != two:
+                tree[one] = two
+                total += w[k]
+        return total
+
+    i, j = np.nonzero(~np.eye(30, dtype=bool))
+    least = weight(ids[i], ids[j], w[i, j])
+    parts = [(r, c) for r in (slice(0, 12), slice(12, 30)) for c in (slice(0, 20), slice(20, 30))]
+    found = pd.concat(ql._light_tree(w[r, c], ids[r], ids[c]) for r, c in parts)
+    merged = ql._lighter(found.assign(cluster=1))
+    assert len(merged) == 29 and np.isclose(merged["w"].sum(), least)
+    assert np.isclose(ql._light_tree(w, ids, ids)["w"].sum(), least)
