@@ -303,3 +303,16 @@ def test_lightest_forest_of_block_pairs():
     merged = ql._lighter(found.assign(cluster=1))
     assert len(merged) == 29 and np.isclose(merged["w"].sum(), least)
     assert np.isclose(ql._light_tree(w, ids, ids)["w"].sum(), least)
+
+
+def test_approximate_pairs_in_many_tables_do_not_copy_rows_for_each(spark):
+    x = np.random.default_rng(8).standard_normal((150, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = nb.distinct_vectors(table(spark, x), "id", "vec").select("id", "vec").cache()
+    found = nb.Tables(3, 40, 6, 1)
+    out = nb.approx_pairs(points, 0.4, found, block=16)
+    codes = found.codes(x, found.planes())
+    wanted = {(i, j) for i in range(150) for j in range(i + 1, 150) if x[i] @ x[j] >= 0.4 and (codes[i] == codes[j]).any()}
+    rows = out.collect()
+    assert len(rows) == len(wanted) and {(r["id1"], r["id2"]) for r in rows} == wanted
+    assert "bucket" not in out._jdf.queryExecution().toString()
