@@ -176,3 +176,14 @@ def test_hierarchical_names_regroup(spark):
     assert [out[1][c] for c in nm.layer_names(3, 1)] == ["a, b, c", "a, b", "a"]
     assert out[5].layer_0 == "b, a, c" and out[5].layer_1 == "b, a"
     assert out[3].layer_0 == "Unlabelled" and out[4].layer_2 == "Unlabelled"
+
+
+def test_job_record_does_not_wait_for_thousands_of_pages(spark):
+    page = "<h1>Cook</h1><article>" + "x" * 50 + "</article><div class='ad'>Here</div>"
+    marks = {"title": ("h1", None), "description": ("article", None), "location": ("div", "ad")}
+    df = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "id int, html string")
+    out = df.select("id", pg.job_record(F.col("html"), marks).alias("job"))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    found = {r["id"]: r["job"] for r in out.collect()}
+    assert found[2] is None and found[3] is None
+    assert found[1].asDict() == {"title": "Cook", "description": "x" * 50, "location": "Here", "post_time": None, "criterias": {}}
