@@ -19,8 +19,8 @@ from shortlens.runtime import settle
 
 # Neighbours of each point known from the start; most merges need no further search.
 NEIGHBORS = 8
-# Edges that one task merges in order of length; longer trees are merged stretch by stretch.
-STRETCH = 1_000_000
+# Edges that one task merges in order of length, about 2 KB each there; longer trees are merged stretch by stretch.
+STRETCH = 250_000
 
 
 def _reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:

@@ -172,3 +172,8 @@ def test_small_tables_are_noise(spark):
     for n in (0, 3):
         rows = hi.tree_clusters(frame(spark, np.eye(4)[:n]), "id", "vec").collect()
         assert [r["cluster"] for r in rows] == [-1] * n and all(r["probability"] == 0 for r in rows)
+
+
+def test_a_stretch_is_small_enough_for_one_task():
+    # About 2 KB an edge in the task that merges it: a fraction of what an executor's Python may hold.
+    assert hi.STRETCH * 2_048 <= 600 << 20
