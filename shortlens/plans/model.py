@@ -117,7 +117,7 @@ def _look_up(model: DensityModel, asked: DataFrame, block: int) -> DataFrame:
     """(id, core, reach, neighbor): by which stored point each of `asked` (id, vec) would enter the tree, and at which distance."""
     kind, own_kind = asked.schema["id"].dataType.simpleString(), model.points.schema["id"].dataType.simpleString()
     k, pivots = model.min_samples, model.pivots
-    members = grouped(model.points.select("id", "vec", "core", "home"), "home", max(1, len(pivots))).drop("home")
+    members = grouped(model.points.select("id", "vec", "core", "home"), "home", pivots, model.points.count(), block).drop("home")
 
     def visitors(rows: DataFrame, reach) -> DataFrame:
         return asking(rows, place(F.col("vec"), reach, pivots, False)["visits"]) if len(pivots) else rows.withColumn("_group", F.lit(0))

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from shortlens.functions import vectors as vec
 from shortlens.operators import neighbors as nb
@@ -277,6 +278,29 @@ def test_block_pairs_of_a_task_give_one_merged_answer(spark):
     assert [r["n"] for r in found] == [200] * 200 and len({r["id"] for r in found}) == 200
 
 
+def test_copies_of_a_row_do_not_grow_with_the_table(spark):
+    cells = {n: nb.cells_a_group(np.empty((n, 64))) for n in (6, 51, 301)}
+    assert all(-(-n // per) <= 5 for n, per in cells.items()) and max(cells.values()) < 63
+    assert nb.cells_a_group(np.empty((301, 1024))) == 16  # wide vectors: less rows at a time
+    x = np.random.default_rng(9).standard_normal((1280, 8))
+    copies = []
+    # At this reach no point is apart from the first pivot; at the other there is a cell for each block.
+    for n, reach in ((320, 100.0), (1280, 100.0), (1280, 3.0)):
+        points = nb.distinct_vectors(table(spark, x[:n]), "id", "vec").select("id", "vec").cache()
+        placed, _ = nb.cover(points, reach, False, block=16)
+        # Every block pair of a task names its members and visitors; those a task holds are the copies sent to it.
+        where = "m bigint, v bigint, task string"
+
+        def pairs(m, v):
+            task = f"{TaskContext.get().partitionId()}-{m['_group'].iloc[0]}-{v['_group'].iloc[0]}"
+            return pd.DataFrame([(i, j, task) for i in m["id"] for j in v["id"]], columns=["m", "v", "task"])
+
+        met = nb.meet(nb.members_of(placed), nb.visitors_of(placed), ["_group"], pairs, where, 16).cache()
+        assert reach < 100 or met.count() == n * n
+        copies.append((met.select("m", "task").distinct().count() + met.select("v", "task").distinct().count()) / n)
+    assert max(copies) <= 2 * nb.LEAST_GROUPS + 1 and copies[1] <= 1.2 * copies[0]
+
+
 def test_lightest_forest_of_block_pairs():
     rng = np.random.default_rng(7)
     w = rng.random((30, 30))
