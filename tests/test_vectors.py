@@ -301,6 +301,22 @@ def test_copies_of_a_row_do_not_grow_with_the_table(spark):
     assert max(copies) <= 2 * nb.LEAST_GROUPS + 1 and copies[1] <= 1.2 * copies[0]
 
 
+def test_best_match_reads_its_pairs_once_and_keeps_the_larger_key(spark):
+    rows = [(1, 2, 0.5), (1, 3, 0.5), (2, 3, 0.9), (4, 5, None), (6, 7, float("nan")), (6, 8, 0.3), (9, 10, -0.1)]
+    pairs = spark.createDataFrame(rows, "id1 long, id2 long, similarity double").repartition(3)
+    expected = {1: (3, 0.5), 2: (3, 0.9), 3: (2, 0.9), 4: (5, None), 5: (4, None), 6: (7, "nan"), 7: (6, "nan"), 8: (6, 0.3), 9: (10, -0.1), 10: (9, -0.1)}
+
+    def found(out):
+        return {r["id"]: (r["match"], "nan" if r["similarity"] is not None and np.isnan(r["similarity"]) else r["similarity"]) for r in out.collect()}
+
+    out = nb.best_match(pairs)
+    assert found(out) == expected
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    named = pairs.select(F.format_string("p%02d", "id1").alias("id1"), F.format_string("p%02d", "id2").alias("id2"), "similarity")
+    assert found(nb.best_match(named)) == {f"p{i:02}": (f"p{m:02}", v) for i, (m, v) in expected.items()}
+    assert nb.best_match(pairs.limit(0)).count() == 0
+
+
 def test_lightest_forest_of_block_pairs():
     rng = np.random.default_rng(7)
     w = rng.random((30, 30))
