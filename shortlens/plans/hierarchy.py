@@ -65,17 +65,23 @@ def _joined(ways: DataFrame, schema: str) -> DataFrame:
     return ways.groupBy(F.lit(0).alias("_all")).applyInPandas(run, schema)
 
 
-def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block: int = BLOCK) -> DataFrame:
+def known_neighbors(points: DataFrame, min_samples: int = 2, block: int = BLOCK) -> DataFrame:
+    """(id, rank, neighbor, distance): the neighbours that `spanning_tree` starts from; the one of rank `min_samples` gives a point's core distance."""
+    return nearest(points, max(min_samples, NEIGHBORS), block)
+
+
+def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
     """(a, b, w): edges of a lightest spanning tree of the distinct vectors by mutual reachability.
 
     In each round every component but the largest takes its shortest edge to another. The nearest neighbours of its points
     offer one; only points that could have a shorter one than that look around, and only in cells within that reach. Where
     edges are equally long a few more than needed may come back; they close cycles of equal edges and change no cluster.
+    `near` are the settled `known_neighbors`, where the caller has them.
     """
     points = settle(distinct_vectors(df, id, vec).select("id", "vec"))
     kind = points.schema["id"].dataType.simpleString()
     k = max(min_samples, NEIGHBORS)
-    near = settle(nearest(points, k, block))
+    near = near if near is not None else settle(known_neighbors(points, min_samples, block))
     far = near.groupBy("id").agg(F.max(F.when(F.col("rank") == min_samples, F.col("distance"))).alias("core"), F.max("distance").alias("least"), F.count("*").alias("known"))
     # Fewer neighbours than asked for: all points are known, so nothing shorter can be missed.
     far = far.select("id", F.coalesce("core", "least").alias("core"), F.when(F.col("known") < k, float("inf")).otherwise(F.col("least")).alias("least"))
@@ -291,13 +297,13 @@ def choose_clusters(clusters: DataFrame, points: DataFrame, method: str = "leaf"
     return _climb(clusters, settle(chosen)).withColumnRenamed("target", "chosen")
 
 
-def tree_points(df: DataFrame, id: str, vec: str, min_samples: int = 2, min_cluster_size: int = 5, method: str = "leaf", epsilon: float = 0.75, block: int = BLOCK) -> DataFrame:
+def tree_points(df: DataFrame, id: str, vec: str, min_samples: int = 2, min_cluster_size: int = 5, method: str = "leaf", epsilon: float = 0.75, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
     """(id, w, cluster, formed, top, exemplar): the distinct vectors inside chosen clusters, which are numbered from 0 by their smallest id.
 
     `w` is the distance at which the tree takes a point in, `formed` and `top` those at which the chosen cluster appears and
     merges. Exemplars are the points with which a leaf inside the chosen cluster appears: its densest ones.
     """
-    tree = settle(spanning_tree(df, id, vec, min_samples, block))
+    tree = settle(spanning_tree(df, id, vec, min_samples, block, near))
     clusters, points = condense(tree, min_cluster_size)
     chosen = choose_clusters(clusters, points, method, epsilon).join(clusters.select(F.col("cluster").alias("chosen"), "formed", "top"), "chosen")
     inner = clusters.select("cluster", F.col("formed").alias("_born")).join(clusters.select(F.col("parent").alias("cluster")).distinct(), "cluster", "left_anti")

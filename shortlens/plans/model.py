@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, grouped, matrix, meet, nearest, place, placed_by_pivot
-from shortlens.plans.hierarchy import tree_points
+from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, grouped, matrix, meet, place, placed_by_pivot
+from shortlens.plans.hierarchy import known_neighbors, tree_points
 from shortlens.runtime import settle
 
 # Distances below this count as this, so that a point on an exemplar has a share of nearly 1 there.
@@ -62,8 +62,10 @@ def fit_model(
     spark = df.sparkSession
     number = max(_versions(spark, path), default=0) + 1
     points = settle(distinct_vectors(df, id, vec).select("id", "vec"))
-    core = nearest(points, min_samples, block).groupBy("id").agg(F.max("distance").alias("core"))
-    found = tree_points(df, id, vec, min_samples, min_cluster_size, method, epsilon, block)
+    # One search serves the tree and the core distances.
+    near = settle(known_neighbors(points, min_samples, block))
+    core = near.filter(F.col("rank") <= min_samples).groupBy("id").agg(F.max("distance").alias("core"))
+    found = tree_points(df, id, vec, min_samples, min_cluster_size, method, epsilon, block, near)
     placed, pivots = placed_by_pivot(points, block)
     rows = placed.select("id", "vec", F.col("_home").cast("int").alias("home")).join(core, "id", "left").join(found, "id", "left")
     fields = ["id", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), "w", "cluster", "formed", "top", F.coalesce("exemplar", F.lit(False)).alias("exemplar"), "home"]

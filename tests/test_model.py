@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from shortlens.operators import neighbors as nb
 from shortlens.plans import hierarchy as hi
 from shortlens.plans import model as dm
 
@@ -101,3 +102,20 @@ def test_odd_rows(spark, fitted, tmp_path):
         ask = frame(spark, np.eye(3))
         assert [r["cluster"] for r in dm.assign(got, ask, "id", "vec").collect()] == [-1] * 3
         assert [r["soft_cluster"] for r in dm.exemplar_membership(got, ask, "id", "vec").collect()] == [-1] * 3
+
+
+def test_fitting_searches_neighbours_once(spark, tmp_path, monkeypatch):
+    searches, search = [], nb.nearest
+
+    def counted(*args, **named):
+        searches.append(args[1])
+        return search(*args, **named)
+
+    for module in (hi, dm):
+        monkeypatch.setattr(module, "nearest", counted, raising=False)
+    x = blobs(4)[:60]
+    path = str(tmp_path / "once")
+    dm.fit_model(frame(spark, x), "id", "vec", path, min_samples=3, epsilon=0.5, block=16)
+    assert searches == [hi.NEIGHBORS]
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 3]
+    assert np.allclose(d, [r["core"] for r in stored(spark, path)])
