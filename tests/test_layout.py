@@ -53,6 +53,25 @@ def test_map_keeps_neighbours(spark, groups, block):
     assert (np.arange(len(groups)) // 30 == gap.argmin(1) // 30).mean() > 0.97
 
 
+def test_edges_of_the_map_stay_where_they_are(spark, groups, monkeypatch):
+    one_round = lt._round
+
+    def watched(state, edges, *args):
+        out = one_round(state, edges, *args)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+        # A point is sent once to each other share that asks for it, not once for each edge.
+        asked = state.selectExpr("id", "share", "explode(asked) AS other").collect()
+        assert len(asked) == len(set(asked)) and all(r["share"] != r["other"] for r in asked)
+        return out
+
+    monkeypatch.setattr(lt, "_round", watched)
+    monkeypatch.setattr(lt, "LEAST_SHARES", 3)
+    out = lt.neighbor_map(table(spark, groups), "id", "vec", 8, steps=50, block=40)
+    assert out.filter("x IS NOT NULL").count() == len(groups)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("shortlens_dealt")]
+
+
 def test_map_is_the_same_on_every_run(spark, groups):
     one, two = (places(lt.neighbor_map(table(spark, groups[:150]), "id", "vec", 8, steps=100, block=60), 150) for _ in range(2))
     assert np.abs(one - two).max() <= 1e-6 * np.abs(one).max()
