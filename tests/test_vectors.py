@@ -1,10 +1,13 @@
 import itertools
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import compare
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from shortlens.catalog import QUERIES, SQL
 from shortlens.functions import vectors as vec
 from shortlens.operators import neighbors as nb
 from shortlens.plans import clusters as cl
@@ -356,3 +359,23 @@ def test_approximate_pairs_in_many_tables_do_not_copy_rows_for_each(spark):
     rows = out.collect()
     assert len(rows) == len(wanted) and {(r["id1"], r["id2"]) for r in rows} == wanted
     assert "bucket" not in out._jdf.queryExecution().toString()
+
+
+def with_copies():
+    """(ids, vectors): groups, two vectors that many ids share, a row that comes twice, and an id with two vectors."""
+    rng = np.random.default_rng(17)
+    x = np.vstack([rng.normal(c, 0.3, (25, 4)) for c in ([0, 0, 0, 3], [3, 0, 0, 3])])
+    x = np.vstack([x, np.repeat(x[:2], 20, 0), x[5:6], x[30:31]])
+    return [*range(90), 5, 6], x
+
+
+@pytest.mark.parametrize("name", ["c14_near_pairs"])
+def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 8))
+    x = np.vstack([x, np.repeat(x[:3], 4, 0)]) / 8
+    rows = [(i, [float(f) for f in row], i % 3) for i, row in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) == ""
