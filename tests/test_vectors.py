@@ -369,7 +369,7 @@ def with_copies():
     return [*range(90), 5, 6], x
 
 
-@pytest.mark.parametrize("name", ["c14_near_pairs"])
+@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs"])
 def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 8))
