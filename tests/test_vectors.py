@@ -369,7 +369,27 @@ def with_copies():
     return [*range(90), 5, 6], x
 
 
-@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs"])
+@pytest.mark.parametrize("metric, limit", [("cosine", 0.995), ("euclidean", 0.4)])
+@pytest.mark.parametrize("within", [None, "cluster"])
+def test_pairs_of_all_rows_with_copies(spark, metric, limit, within):
+    ids, x = with_copies()
+    kinds = [i % 2 for i in ids]
+    rows = [(i, [float(f) for f in row], k) for i, row, k in zip(ids, x, kinds)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1], 0), (200, None, 0)], "id long, vec array<double>, cluster int").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = (u @ u.T >= limit) if metric == "cosine" else (brute(x) <= limit)
+    some = [(a, b) for a, b in itertools.permutations(range(len(ids)), 2) if ids[a] < ids[b] and close[a, b]]
+    expected = sorted((ids[a], ids[b]) for a, b in some if not within or kinds[a] == kinds[b])
+    out = nb.pairs(df, "id", "vec", metric, limit, within)
+    assert sorted((r["id1"], r["id2"]) for r in out.collect()) == expected
+    form = nb.similar_pairs if metric == "cosine" else nb.near_pairs
+    out = form(df, "id", "vec", limit, within, block=16, copies=True)
+    assert sorted((r["id1"], r["id2"]) for r in out.collect()) == expected
+    named = form(df.withColumn("id", F.format_string("p%03d", "id")).filter("id <> 'pnull'"), "id", "vec", limit, within, block=16, copies=True)
+    assert sorted((int(r["id1"][1:]), int(r["id2"][1:])) for r in named.collect()) == expected
+
+
+@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs", "c6_pairs_within"])
 def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 8))
