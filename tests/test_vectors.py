@@ -389,7 +389,22 @@ def test_pairs_of_all_rows_with_copies(spark, metric, limit, within):
     assert sorted((int(r["id1"][1:]), int(r["id2"][1:])) for r in named.collect()) == expected
 
 
-@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs", "c6_pairs_within"])
+@pytest.mark.parametrize("block", [16, 2048])
+def test_nearest_of_every_id_with_copies(spark, block):
+    ids, x = with_copies()
+    x = x[:90]
+    dist = brute(x)
+    np.fill_diagonal(dist, np.inf)
+    found = {(r["id"], r["rank"]): (r["neighbor"], r["distance"]) for r in nb.knn(table(spark, x), "id", "vec", 3, block=block).collect()}
+    assert len(found) == 3 * len(x)
+    for i in range(len(x)):
+        for k, j in enumerate(np.lexsort((np.arange(len(x)), dist[i]))[:3], 1):
+            assert found[i, k][0] == j and abs(found[i, k][1] - dist[i, j]) < 1e-9
+    one = nb.knn(table(spark, [[1, 2]] * 3), "id", "vec", 1, block=block).collect()
+    assert sorted((r["id"], r["neighbor"], r["distance"]) for r in one) == [(0, 1, 0.0), (1, 0, 0.0), (2, 0, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs", "c6_pairs_within", "e5_knn"])
 def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 8))
