@@ -404,7 +404,7 @@ def test_nearest_of_every_id_with_copies(spark, block):
     assert sorted((r["id"], r["neighbor"], r["distance"]) for r in one) == [(0, 1, 0.0), (1, 0, 0.0), (2, 0, 0.0)]
 
 
-@pytest.mark.parametrize("name", ["c14_near_pairs", "c14_similar_pairs", "c6_pairs_within", "e5_knn", "e6_best_match"])
+@pytest.mark.parametrize("name", ["c14_similar_pairs", "c14_near_pairs", "c6_pairs_within", "e5_knn", "e6_best_match", "g2_symmetrize"])
 def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 8))
