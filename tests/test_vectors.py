@@ -414,3 +414,42 @@ def test_queries_give_the_pairs_of_copies(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) == ""
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e30])
+def test_likely_pairs_leave_nothing_out(scale):
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((200, 24)), rng.standard_normal((300, 24))
+    y[:20] = x[:20] + rng.normal(0, 1e-9, (20, 24))
+    y[20:40] = x[20:40]
+    dist = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    reach = np.sort(dist, 1)[:, 5]
+    reach[:5] = 0
+    reach[20] = 0
+    i, j = nb.likely(x * scale, y * scale, reach * scale)
+    wanted = set(zip(*np.nonzero(dist <= reach[:, None])))
+    assert wanted <= set(zip(i, j)) and len(i) < 2 * len(wanted)
+    assert np.allclose(nb.measured(x * scale, y * scale, i, j), dist[i, j] * scale)
+    assert nb.likely(x, y, np.full(200, np.inf)) is None
+    assert nb.likely(x * np.nan, y, reach) is None
+
+
+@pytest.mark.parametrize("block", [7, 16, 90])
+def test_nearest_of_a_task_hold_k_of_each_visitor_and_measure_few(block, monkeypatch):
+    x = np.vstack([with_copies()[1][:90], np.random.default_rng(2).normal(0, 3, (400, 4))])
+    rows = pd.DataFrame({"id": [f"p{i:03}" for i in range(len(x))], "vec": list(x)}).sample(frac=1, random_state=1, ignore_index=True)
+    dist = brute(x)
+    np.fill_diagonal(dist, np.inf)
+    seen, measured = [], nb.measured
+    monkeypatch.setattr(nb, "measured", lambda x, y, i, j: (seen.append(len(i)), measured(x, y, i, j))[1])
+    task = nb._Nearest(rows.copy(), rows.copy().assign(_reach=[np.sort(dist[int(i[1:])])[2] for i in rows["id"]]), 3)
+    v = rows.assign(_code=pd.factorize(rows["id"], sort=True)[0])
+    for b in nb._blocks(v, block):
+        for a in nb._blocks(v, block):
+            task.add(a, b)
+    out = pd.concat(task.parts()).sort_values(["id", "distance", "neighbor"])
+    assert task.far.shape == (len(x), 3) and len(out) == 3 * len(x)
+    for i in range(len(x)):
+        wanted = np.lexsort((np.arange(len(x)), dist[i]))[:3]
+        assert out[out["id"] == f"p{i:03}"]["neighbor"].tolist() == [f"p{j:03}" for j in wanted]
+    assert sum(seen) < len(x) ** 2 / 10
