@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, matrix, meet, nearest, place, placed_by_pivot
+from shortlens.operators.neighbors import BLOCK, asking, copies_of, distances, distinct_vectors, likely, matrix, measured, meet, nearest, place, placed_by_pivot
 from shortlens.operators.ranking import with_position
 from shortlens.plans.components import components
 from shortlens.runtime import settle
@@ -32,20 +32,31 @@ def _reach(v: pd.DataFrame, m: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _shortest_way_out(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-    """(component, w, a, b): per component of the visitors the shortest edge to a member of another."""
-    reach = _reach(v, m)
-    at = reach.argmin(1)
-    out = pd.DataFrame({"component": v["component"], "w": reach[np.arange(len(v)), at], "a": v["id"], "b": m["id"].to_numpy()[at]})
-    return _shortest(out[np.isfinite(out["w"])])
+def shortest_way_out(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    """(component, w, a, b): per component of the visitors the shortest edge to a member of another, no longer than their `reach`."""
+    limit = v["reach"].to_numpy(np.float64)
+    x, y = matrix(v["vec"]), matrix(m["vec"])
+    found = likely(x, y, limit * (1 + 1e-9)) if np.isfinite(limit).any() else None
+    if found is None:
+        reach = _reach(v, m)
+        j = reach.argmin(1)
+        i, w = np.arange(len(v)), reach[np.arange(len(v)), j]
+    else:
+        i, j = found
+        apart = v["component"].to_numpy()[i] != m["component"].to_numpy()[j]
+        i, j = i[apart], j[apart]
+        w = np.maximum(np.maximum(measured(x, y, i, j), v["core"].to_numpy()[i]), m["core"].to_numpy()[j])
+    kept = np.isfinite(w) & (w <= limit[i])
+    i, j = i[kept], j[kept]
+    return shortest_of_each(pd.DataFrame({"component": v["component"].to_numpy()[i], "w": w[kept], "a": v["id"].to_numpy()[i], "b": m["id"].to_numpy()[j]}))
 
 
-def _shortest(ways: pd.DataFrame) -> pd.DataFrame:
+def shortest_of_each(ways: pd.DataFrame) -> pd.DataFrame:
     """The first of the shortest ways of each component."""
     return ways.sort_values(["w", "a", "b"]).drop_duplicates("component")
 
 
-def _joined(ways: DataFrame, schema: str) -> DataFrame:
+def join_parts(ways: DataFrame, schema: str) -> DataFrame:
     """(component, _new): what components become when they join along `ways`. One task; for at most `STRETCH` components."""
 
     def run(ways: pd.DataFrame) -> pd.DataFrame:
@@ -110,12 +121,12 @@ def spanning_tree(df: DataFrame, id: str, vec: str, min_samples: int = 2, block:
         visitors = visitors.filter(F.col("least") < F.col("reach")).drop("edge")
         if len(pivots):
             visitors = asking(visitors, place(F.col("vec"), F.col("reach"), pivots, False)["visits"])
-        found = meet(now, visitors, ["_group"], _shortest_way_out, f"component {kind}, w double, a {kind}, b {kind}", block, _shortest)
+        found = meet(now, visitors, ["_group"], shortest_way_out, f"component {kind}, w double, a {kind}, b {kind}", block, shortest_of_each)
         candidates = offered.select("component", "edge.*").unionByName(found).groupBy("component").agg(shortest)
         chosen = settle(candidates.select(F.least("edge.a", "edge.b").alias("a"), F.greatest("edge.a", "edge.b").alias("b"), "edge.w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
         ways = chosen.join(at_a, "a").join(at_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        joined = _joined(ways, f"component {kind}, _new {kind}") if summary[0] <= STRETCH else components(ways).toDF("component", "_new")
+        joined = join_parts(ways, f"component {kind}, _new {kind}") if summary[0] <= STRETCH else components(ways).toDF("component", "_new")
         state = settle(state.join(joined, "component", "left").select("id", F.coalesce("_new", "component").alias("component")))
     return tree if tree is not None else edges.limit(0)
 

@@ -1,6 +1,7 @@
 """The density hierarchy against a brute-force version that works on the matrix of all distances."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from shortlens.plans import hierarchy as hi
 
@@ -177,3 +178,21 @@ def test_small_tables_are_noise(spark):
 def test_a_stretch_is_small_enough_for_one_task():
     # About 2 KB an edge in the task that merges it: a fraction of what an executor's Python may hold.
     assert hi.STRETCH * 2_048 <= 600 << 20
+
+
+def test_the_shortest_way_out_measures_what_is_within_reach(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((60, 6)), rng.standard_normal((300, 6))
+    dist = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    reach = np.sort(dist, 1)[:, 3]
+    v = pd.DataFrame({"id": np.arange(60), "vec": list(x), "core": 0.1, "component": np.arange(60) % 7, "reach": reach})
+    m = pd.DataFrame({"id": np.arange(300) + 60, "vec": list(y), "core": rng.uniform(0, 2, 300), "component": np.arange(300) % 9})
+    seen, measured = [], hi.measured
+    monkeypatch.setattr(hi, "measured", lambda *of: (seen.append(len(of[2])), measured(*of))[1])
+    w = np.maximum(np.maximum(dist, 0.1), m["core"].to_numpy()[None, :])
+    w[(v["component"].to_numpy()[:, None] == m["component"].to_numpy()[None, :]) | (w > reach[:, None])] = np.inf
+    found = hi.shortest_way_out(m, v).set_index("component")["w"]
+    least = {c: w[c::7].min() for c in range(7) if np.isfinite(w[c::7].min())}
+    assert found.to_dict() == pytest.approx(least) and 0 < sum(seen) < dist.size / 10
+    every = hi.shortest_way_out(m, v.assign(reach=np.inf)).set_index("component")["w"]
+    assert len(every) == 7 and all(every[c] <= least[c] + 1e-12 for c in least)
