@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shortlens.functions.vectors import dot, doubles, euclidean, l2_normalize, norm, squared_distance
 from shortlens.operators.aggregates import group_means
-from shortlens.operators.neighbors import BLOCK, asking, core_distances, distances, matrix, meet, place, placed_by_pivot
+from shortlens.operators.neighbors import BLOCK, asking, core_distances, distances, goes_first, likely, matrix, measured, meet, nearby_forest, place, placed_by_pivot
 from shortlens.plans.components import components
+from shortlens.plans.hierarchy import STRETCH, join_parts, shortest_of_each, shortest_way_out
 from shortlens.runtime import settle
 
 
@@ -271,31 +272,92 @@ def _lighter(found: pd.DataFrame) -> pd.DataFrame:
 def _longest_edges(points: DataFrame, sizes: DataFrame, schema: str) -> DataFrame:
     """(cluster, loose): the longest edge of each cluster's lightest spanning tree; 0 for a single point.
 
-    A cluster of one block is one task. Points of a larger one meet by pivot cells within a reach that starts at its
-    largest core distance, which the tree cannot stay below, and doubles until the cluster hangs together; all edges of
-    its tree are then within reach.
+    A cluster of one block is one task. The tree of a larger one cannot stay below its largest core distance, and within
+    that reach mutual reachability is nothing but distance. So where its points hang together within that reach, that is the
+    longest edge. They meet those of their own cell first, and some look around; then only points outside the largest part of
+    the cluster do. Parts that are left take their shortest way out in rounds, as far as a reach that doubles.
     """
     small = points.join(sizes.filter(F.col("members") <= BLOCK).select("cluster"), "cluster")
     small = small.withColumn("reach", F.lit(float("inf")))
     longest = meet(small, small, ["cluster"], _block_tree, schema, BLOCK, _lighter).groupBy("cluster").agg(F.max("w").alias("loose"))
-    large = settle(points.join(sizes.filter(F.col("members") > BLOCK).select("cluster"), "cluster"))
+    large = points.join(sizes.filter(F.col("members") > BLOCK).select("cluster"), "cluster")
+    least = large.groupBy("cluster").agg(F.max("core").alias("reach"))
+    large = settle(large.join(least, "cluster"))
     if large.isEmpty():
         return longest
+    kind = large.schema["id"].dataType.simpleString()
     placed, pivots = placed_by_pivot(large, BLOCK)
-    todo = settle(large.groupBy("cluster").agg(F.max("core").alias("reach")))
-    while not todo.isEmpty():
-        near = placed.join(todo, "cluster")
-        visitors = asking(near, place(F.col("vec"), F.col("reach"), pivots, True)["visits"]) if len(pivots) else near
-        edges = settle(meet(near, visitors, ["cluster", "_group"], _block_tree, schema, BLOCK, _lighter))
-        parts = near.select("id", "cluster").join(components(edges), "id", "left")
-        parts = parts.groupBy("cluster").agg(F.count_distinct(F.coalesce("component", F.col("id"))).alias("parts"))
-        parts = settle(parts)
-        whole = parts.filter("parts = 1").select("cluster")
-        ready = settle(edges.join(whole, "cluster"))
-        tree = spanning_forest(ready.select("a", "b", "w")).join(large.select(F.col("id").alias("a"), "cluster"), "a")
-        longest = longest.unionByName(tree.groupBy("cluster").agg(F.max("w").alias("loose")))
-        todo = settle(todo.join(whole, "cluster", "left_anti").withColumn("reach", F.col("reach") * 2))
-    return longest
+    at_home = placed.drop("_group")
+    edges = meet(placed, at_home, ["cluster", "_cell"], _within_reach, f"a {kind}, b {kind}", BLOCK, nearby_forest)
+
+    def around(rows: DataFrame) -> DataFrame:
+        rows = asking(rows, place(F.col("vec"), F.col("reach"), pivots, False)["visits"]) if len(pivots) else rows
+        return meet(placed, rows, ["cluster", "_group"], _within_reach, f"a {kind}, b {kind}", BLOCK, nearby_forest)
+
+    edges = settle(edges.unionByName(around(placed.filter(goes_first("id")))))
+    state = _parts(placed.select("id", "cluster", F.col("id").alias("component")), edges)
+    state = _parts(state, settle(around(placed.join(_outside(state), ["id", "cluster"], "left_semi"))))
+    found = settle(placed.groupBy("cluster").agg(F.max("reach").alias("loose"), F.max("reach").alias("reach")))
+    while True:
+        apart = state.groupBy("cluster").agg(F.count_distinct("component").alias("parts")).filter("parts > 1")
+        todo = settle(found.join(apart, "cluster"))
+        if todo.isEmpty():
+            return longest.unionByName(found.select("cluster", "loose"))
+        now = placed.drop("reach").join(state, ["id", "cluster"]).join(todo.select("cluster", (2 * F.col("reach")).alias("reach")), "cluster")
+        now = settle(now)
+        out = now.join(_outside(state), ["id", "cluster"], "left_semi")
+        out = asking(out, place(F.col("vec"), F.col("reach"), pivots, False)["visits"]) if len(pivots) else out
+        ways = meet(now, out, ["cluster", "_group"], _ways_out, f"cluster {_kind(points, 'cluster')}, component {kind}, w double, a {kind}, b {kind}", BLOCK, _shortest_ways)
+        chosen = settle(ways.groupBy("cluster", "component").agg(F.min(F.struct("w", "a", "b")).alias("edge")).select("cluster", "edge.*"))
+        steps = chosen.groupBy("cluster").agg(F.max("w").alias("_w"))
+        # Where nothing was in reach the reach doubles, where parts joined it stays.
+        widened = todo.select("cluster", (2 * F.col("reach")).alias("_wide")).join(steps.select("cluster"), "cluster", "left_anti")
+        found = found.join(steps, "cluster", "left").join(widened, "cluster", "left")
+        found = settle(found.select("cluster", F.greatest("loose", "_w").alias("loose"), F.coalesce("_wide", "reach").alias("reach")))
+        few = todo.agg(F.sum("parts")).first()[0] <= STRETCH
+        state = _parts(state, chosen, few)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _within_reach(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): edges that connect what is within the `reach` of each other."""
+    x, y, reach = matrix(v["vec"]), matrix(m["vec"]), v["reach"].to_numpy(np.float64)
+    found = likely(x, y, reach * (1 + 1e-9))
+    if found is None:
+        found = np.nonzero(distances(x, y) <= reach[:, None])
+    else:
+        kept = measured(x, y, *found) <= reach[found[0]]
+        found = found[0][kept], found[1][kept]
+    a, b = v["id"].to_numpy()[found[0]], m["id"].to_numpy()[found[1]]
+    return nearby_forest(pd.DataFrame({"a": a, "b": b})[a != b])
+
+
+def _ways_out(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    return shortest_way_out(m, v).assign(cluster=v["cluster"].iloc[0])
+
+
+def _shortest_ways(found: pd.DataFrame) -> pd.DataFrame:
+    """Of one cluster."""
+    return shortest_of_each(found)
+
+
+def _parts(state: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+    """(id, cluster, component) after parts of clusters joined along edges between their points; `few` of them in one task."""
+    at = state.select("id", "component")
+    ends = edges.join(at.toDF("a", "_a"), "a").join(at.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    kind = _kind(state, "component")
+    joined = join_parts(ends, f"component {kind}, _new {kind}") if few else components(ends).toDF("component", "_new")
+    return settle(state.join(joined, "component", "left").select("id", "cluster", F.coalesce("_new", "component").alias("component")))
+
+
+def _outside(state: DataFrame) -> DataFrame:
+    """(id, cluster): the points outside the largest part of their cluster."""
+    sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("component"))
+    return state.join(largest, ["cluster", "component"], "left_anti").select("id", "cluster")
 
 
 def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster", min_samples: int = 2) -> DataFrame:
@@ -326,8 +388,11 @@ def density_validity(df: DataFrame, id: str, vec: str, cluster: str = "cluster",
     near = settle(meet(placed, placed, ["_cell"], gaps, schema, BLOCK, closest).groupBy("cluster").agg(F.min("apart").alias("apart")))
     apart = near
     if len(pivots):
-        visitors = asking(placed.join(near, "cluster"), place(F.col("vec"), F.col("apart"), pivots, False)["visits"]).drop("apart")
-        apart = near.unionByName(meet(placed, visitors, ["_group"], gaps, schema, BLOCK, closest))
+        # Nothing is nearer to a point than its core distance.
+        asked = settle(placed.join(near, "cluster").filter(F.col("core") <= F.col("apart")))
+        visitors = asking(asked, place(F.col("vec"), F.col("apart"), pivots, False)["visits"]).drop("apart")
+        most = near.agg(F.max("apart")).first()[0]
+        apart = near.unionByName(meet(placed.filter(F.col("core") <= most), visitors, ["_group"], gaps, schema, BLOCK, closest))
     apart = apart.groupBy("cluster").agg(F.min("apart").alias("apart"))
     rows = sizes.join(apart, "cluster").join(loose, "cluster", "left").withColumn("loose", F.coalesce("loose", F.lit(0.0)))
     score = F.try_divide(F.col("apart") - F.col("loose"), F.nullif(F.greatest("apart", "loose"), F.lit(0.0)))

@@ -474,3 +474,34 @@ def test_only_points_apart_from_the_largest_part_look_around(spark, metric, limi
         cores = {r.id for r in nb.core_points(points, limit, 2, block=16).collect()}
         assert cores == {i for i in range(len(x)) if close[i].sum() - 1 >= 2}
         assert sum(asked) < len(x) / 2
+
+
+def test_longest_edges_of_clusters_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ql, "BLOCK", 16)
+    monkeypatch.setattr(nb, "FIRST_OF", 6)
+    rng = np.random.default_rng(13)
+    # One cluster hangs together, one has two parts and points far away, one is of a block.
+    x = np.vstack([rng.normal(0, 1, (120, 3)), rng.normal([12, 0, 0], 0.5, (60, 3)), rng.normal([20, 3, 0], 0.5, (50, 3)), rng.uniform(-40, 40, (6, 3)), rng.normal([0, 9, 0], 1, (10, 3))])
+    kinds = [0] * 120 + [1] * 116 + [2] * 10
+    dist = brute(x)
+    core = np.sort(dist, 1)[:, 2]
+    w = np.maximum(np.maximum(dist, core[:, None]), core[None, :])
+
+    def longest(some):
+        tree, rest, most = [some[0]], list(some[1:]), 0.0
+        while rest:
+            step = w[np.ix_(tree, rest)].min(0)
+            most = max(most, step.min())
+            tree.append(rest.pop(int(step.argmin())))
+        return most
+
+    rows = [(i, [float(f) for f in x[i]], kinds[i], float(core[i])) for i in range(len(x))]
+    points = spark.createDataFrame(rows, "id long, vec array<double>, cluster int, core double").cache()
+    asked, meet = [], ql.meet
+    monkeypatch.setattr(ql, "meet", lambda m, v, on, *rest: (on == ["cluster", "_group"] and asked.append(v.filter("cluster = 0").count()), meet(m, v, on, *rest))[1])
+    sizes = points.groupBy("cluster").agg(F.count("*").alias("members"))
+    found = {r["cluster"]: r["loose"] for r in ql._longest_edges(points, sizes, "a long, b long, w double, cluster int").collect()}
+    expected = {k: longest([i for i in range(len(x)) if kinds[i] == k]) for k in range(3)}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+    # Of a cluster that hangs together few points look beyond their cells.
+    assert sum(asked) < 60
