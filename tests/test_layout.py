@@ -109,3 +109,17 @@ def test_approximate_pairs_within_a_category_and_odd_tables(spark):
     assert nb.pairs(df.limit(0), "id", "vec", "cosine", 0.9, approx=True).count() == 0
     with pytest.raises(ValueError, match="cosine"):
         nb.pairs(df, "id", "vec", "euclidean", 0.9, approx=True)
+
+
+def test_edges_come_to_a_round_as_one_row_for_each_point(spark, groups, monkeypatch):
+    one_round, rows = lt._round, []
+
+    def watched(state, edges, *args):
+        if not rows:
+            rows.extend(edges.selectExpr("a", "size(ends) AS n", "size(p) AS m").collect())
+        return one_round(state, edges, *args)
+
+    monkeypatch.setattr(lt, "_round", watched)
+    places(lt.neighbor_map(table(spark, groups[:150]), "id", "vec", 8, steps=30, block=60), 150)
+    assert len(rows) == len({r["a"] for r in rows}) == 150
+    assert all(r["n"] == r["m"] >= 24 for r in rows)
